@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import stage
 
-# A fact row is a few longs and a short key, so this many fit into every executor.
+# A broadcast stays below both bounds; they are checked against the facts themselves.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 # Largest groups treated one by one; any other group holds less than 1/10,000 of all rows.
 HOT_GROUPS = 10_000
 
@@ -33,7 +34,7 @@ def attach_facts(
     """Left join of `rows` with `facts`, which has at most one row per `keys`.
 
     `size` names the column of `facts` with the number of rows in the group. The facts are
-    written out once, so they can be counted before a way is chosen:
+    written out once, so that they can be measured before a way is chosen:
 
     * few facts: they are broadcast and the rows are not shuffled at all;
     * many facts: the `hot_groups` largest groups are broadcast, which bounds the broadcast by
@@ -42,18 +43,21 @@ def attach_facts(
     """
     facts = stage(facts, "facts")
     values = [c for c in facts.columns if c not in keys]
-    if facts.count() <= broadcast_rows:
+    text = F.length(F.to_json(F.struct(*facts.columns)))
+    count, total, widest = facts.agg(F.count(F.lit(1)), F.sum(text), F.max(text)).first()
+    if count <= broadcast_rows and (total or 0) <= BROADCAST_BYTES:
         small = facts.select(*[F.col(k).alias(f"_f_{k}") for k in keys], *values)
         joined = rows.join(F.broadcast(small), same_keys(rows, small, keys, "_f_"), "left")
         return joined.select(*[rows[c] for c in rows.columns], *[small[v] for v in values])
 
-    order = [F.desc(size), *keys]
-    hot = facts.orderBy(*order).limit(hot_groups).select(
+    hot_groups = min(hot_groups, BROADCAST_BYTES // widest)
+    hot = facts.orderBy(F.desc(size), *keys).limit(hot_groups).select(
         *[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*values).alias("_hot")
     )
     marked = rows.join(F.broadcast(hot), same_keys(rows, hot, keys, "_h_"), "left").select(
         *[rows[c] for c in rows.columns],
         hot["_hot"],
+        # The task number is the same when a task is run again, unlike a random number.
         F.when(hot["_hot"].isNotNull(), 1 + F.spark_partition_id()).otherwise(0).alias("_spread"),
     )
     cold = facts.select(

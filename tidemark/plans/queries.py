@@ -50,8 +50,9 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_poll_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scan.poll_scan(feeds.changes(spark, sf_dir), "2024-01-05 06:30:00", "2024-01-27 12:00:00.5")
-    return rows.orderBy("change_timestamp").select(
+    lo, hi = "2024-01-05 06:30:00", "2024-01-27 12:00:00.5"
+    rows = scan.poll_scan(feeds.changes(spark, sf_dir), lo, hi)
+    return scan.in_time_order(rows).select(
         "event_id", "change_type", ORDER, PRICE, to_micros(F.col("change_timestamp")).alias("us")
     )
 
@@ -237,7 +238,8 @@ def dup_flag_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lookback(spark, sf_dir).withColumn("change_timestamp", iso_text(F.col("change_timestamp")))
+    stamp = iso_text(F.col("change_timestamp"))
+    rows = _lookback(spark, sf_dir).withColumn("change_timestamp", stamp)
     keyed = rows.select(change_key_text().alias("change_key"), ORDER, "poll", "is_late")
     return duplicates.drop_duplicates(keyed, ["change_key"], ["poll"])
 
@@ -334,13 +336,19 @@ def compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(spark, target)
 
 
-def append_change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _change_tables(spark: SparkSession, sf_dir: str) -> str:
     root = shared_path(spark, "tables")
     tables.create_tables(spark, root, feeds.TABLES)
     tables.append_changes(feeds.changes(spark, sf_dir), root)
+    return root
+
+
+def append_change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _change_tables(spark, sf_dir)
+    lo, hi = START, START + 25 * DAY
     stored = scan.fan_in(
         {
-            name: scan.poll_scan_micros(tables.read_table(spark, root, name), START, START + 25 * DAY)
+            name: scan.poll_scan_micros(tables.read_table(spark, root, name, lo, hi), lo, hi)
             for name in feeds.TABLES
         }
     )
@@ -369,13 +377,6 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(kept, "stream-dedup").select("table_name", "event_id")
 
 
-def _change_tables(spark: SparkSession, sf_dir: str) -> str:
-    root = shared_path(spark, "tables")
-    tables.create_tables(spark, root, feeds.TABLES)
-    tables.append_changes(feeds.changes(spark, sf_dir), root)
-    return root
-
-
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = stream_tables(spark, _change_tables(spark, sf_dir), feeds.TABLES, "30 seconds")
     return run_available(stream_window_counts(merged, seconds=3600), "stream-windows")
@@ -400,7 +401,7 @@ def _poll_on(spark: SparkSession, sf_dir: str, lookback: bool) -> PollLoop:
     loop = PollLoop(
         spark,
         [TableConfig(name, poll_interval=5 * 86_400) for name in feeds.TABLES],
-        lambda name: tables.read_table(spark, root, name),
+        lambda name, lo, hi: tables.read_table(spark, root, name, lo, hi),
         shared_path(spark, "polls"),
         lookback=lookback,
         start_us=START,
@@ -411,8 +412,9 @@ def _poll_on(spark: SparkSession, sf_dir: str, lookback: bool) -> PollLoop:
 
 
 def live_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    poll = F.col("batch_id").cast("long").alias("poll")
     return _poll_on(spark, sf_dir, lookback=True).records().select(
-        "table_name", "event_id", ORDER, "us", F.col("batch_id").cast("long").alias("poll"), "is_late"
+        "table_name", "event_id", ORDER, "us", poll, "is_late"
     )
 
 

@@ -10,6 +10,7 @@ from tidemark.functions.times import window_text
 from tidemark.operators.groups import attach_facts
 from tidemark.operators.windows import with_destination
 from tidemark.schema import WINDOW_SECONDS
+from tidemark.session import stage
 
 PLACE = ["dest", "win"]
 STORED_DDL = "value string, dest string, win string"
@@ -58,15 +59,18 @@ def one_file_per_window(
     A window with more than `max_rows_per_file` rows is cut into shards of about that size, one
     file each, so no task has to take a window of unbounded size.
     """
-    groups = lines.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_rows"))
+    groups = stage(lines.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_rows")), "groups")
+    total = groups.agg(F.sum("_rows")).first()[0] or 0
     large = groups.filter(F.col("_rows") > max_rows_per_file)
     known = attach_facts(lines, large, PLACE, "_rows", **attach)
     shards = F.ceil(F.col("_rows") / max_rows_per_file)
     # The task number spreads equal lines too, and is the same when a task is run again.
     spread = F.pmod(F.xxhash64("value") + F.spark_partition_id(), shards)
+    usual = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(usual, total // max_rows_per_file)
     return (
         known.withColumn("_shard", F.coalesce(spread, F.lit(0).cast("long")))
-        .repartition(*PLACE, "_shard")
+        .repartition(tasks, *PLACE, "_shard")
         .sortWithinPartitions(*PLACE, *[c for c in ("event_time",) if c in lines.columns])
         .select("value", *PLACE)
     )

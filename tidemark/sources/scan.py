@@ -63,5 +63,14 @@ def fan_in(scans: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tagged)
 
 
+def in_time_order(changes: DataFrame) -> DataFrame:
+    """Sort by change time. Rows with the same time are spread over tasks by where they come from."""
+    return (
+        changes.withColumn("_task", F.spark_partition_id())
+        .orderBy("change_timestamp", "_task")
+        .drop("_task")
+    )
+
+
 def _change_columns(table: DataFrame) -> list[str]:
     return [c for c in CHANGE_COLUMNS if c in table.columns]

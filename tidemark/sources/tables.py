@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.schema import CHANGE_COLUMNS, CHANGE_DDL, PARTITION_DAY
 
+EPOCH = date(1970, 1, 1)
+DAY_US = 86_400_000_000
+# Longer ranges list the whole table and leave the pruning to the scan.
+MAX_LISTED_DAYS = 62
+
 
 def table_path(root: str, table_name: str) -> str:
     return f"{root.rstrip('/')}/table_name={table_name}"
@@ -55,8 +63,26 @@ def parse_change_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.filter(bad).select("table_name", "value")
 
 
-def read_table(spark: SparkSession, root: str, table_name: str) -> DataFrame:
-    return spark.read.schema(table_schema()).parquet(table_path(root, table_name))
+def read_table(
+    spark: SparkSession,
+    root: str,
+    table_name: str,
+    lo_us: int | None = None,
+    hi_us: int | None = None,
+) -> DataFrame:
+    """The stored table. Given a range, only the days it touches are listed, not all there are."""
+    path = table_path(root, table_name)
+    reader = spark.read.schema(table_schema())
+    if lo_us is None or hi_us is None or hi_us - lo_us > MAX_LISTED_DAYS * DAY_US:
+        return reader.parquet(path)
+    days = [EPOCH + timedelta(days=d) for d in range(lo_us // DAY_US, hi_us // DAY_US + 1)]
+    pattern = f"{path}/{PARTITION_DAY}={{{','.join(d.isoformat() for d in days)}}}"
+    try:
+        return reader.option("basePath", path).parquet(pattern)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], table_schema())
 
 
 def stream_table(

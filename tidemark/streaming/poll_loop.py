@@ -22,7 +22,7 @@ from tidemark.schema import (
     WATERMARK_LAG_SECONDS,
     TableConfig,
 )
-from tidemark.sources.scan import fan_in, poll_scan_micros
+from tidemark.sources.scan import change_feed_scan, fan_in, poll_scan_micros
 
 SECOND = 1_000_000
 
@@ -32,7 +32,8 @@ PROGRESS_DDL = (
     "active_at long, next_due long, state string"
 )
 
-Scan = Callable[[str, int, int], DataFrame]
+# Gives the change table of a name; the range it will be read over may serve to prune files.
+Read = Callable[[str, int, int], DataFrame]
 
 
 def now_micros() -> int:
@@ -42,19 +43,20 @@ def now_micros() -> int:
 class PollLoop:
     """Polls `tables` and writes change records under `root`.
 
-    `read` gives the change table of a name. With `lookback` polls overlap by half the previous
-    range; without it they are contiguous. `start_us` defaults to now: no history is read.
-    `idle_timeout` is the quiet time in seconds after which a table's watermark follows the
-    clock: 0 at once, None never.
+    With `lookback` polls overlap by half the previous range; without it they are contiguous.
+    `mode` is `polling` for change tables; anything else reads change feeds. `start_us` defaults
+    to now: no history is read. `idle_timeout` is the quiet time in seconds after which a table's
+    watermark follows the clock: 0 at once, None never.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         tables: Sequence[TableConfig],
-        read: Callable[[str], DataFrame],
+        read: Read,
         root: str,
         lookback: bool = True,
+        mode: str = "polling",
         start_us: int | None = None,
         idle_timeout: int | None = None,
     ) -> None:
@@ -63,6 +65,7 @@ class PollLoop:
         self.read = read
         self.root = root.rstrip("/")
         self.lookback = lookback
+        self.scan = poll_scan_micros if mode.lower() == "polling" else change_feed_scan
         self.start_us = start_us
         self.idle_timeout = idle_timeout
         lag = WATERMARK_LAG_SECONDS if lookback else 0
@@ -149,15 +152,14 @@ class PollLoop:
             return {}
         scans = {}
         for row in due:
-            changes = poll_scan_micros(
-                self.read(row["table_name"]), row["scan_lo"], row["target"]
-            )
-            scans[row["table_name"]] = to_records(changes, row["table_name"], row["start"]).drop(
-                "table_name"
-            )
+            name, lo, hi = row["table_name"], row["scan_lo"], row["target"]
+            changes = self.scan(self.read(name, lo, hi), lo, hi)
+            scans[name] = to_records(changes, name, row["start"]).drop("table_name")
         path = f"{self.records_path}/batch={batch_id}"
         written = fan_in(scans)
-        written.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+        # Records that were written to the end are kept, as a reader may have seen them.
+        if not self._exists(f"{path}/_SUCCESS"):
+            written.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         stats = (
             self.spark.read.schema(written.schema)
             .parquet(path)
@@ -196,10 +198,16 @@ class PollLoop:
     def _load(self, kind: str, batch_id: int) -> list[dict] | None:
         """Rows of a plan or commit; None if it was never finished."""
         path = f"{self.root}/{kind}/batch={batch_id}"
+        if not self._exists(f"{path}/_SUCCESS"):
+            return None
+        rows = self.spark.read.schema(PROGRESS_DDL).parquet(path).collect()
+        return [r.asDict() for r in rows]
+
+    def _exists(self, path: str) -> bool:
         try:
-            rows = self.spark.read.schema(PROGRESS_DDL).parquet(path).collect()
+            self.spark.read.format("binaryFile").load(path)
         except AnalysisException as e:
             if e.getCondition() == "PATH_NOT_FOUND":
-                return None
+                return False
             raise
-        return [r.asDict() for r in rows] or None
+        return True
