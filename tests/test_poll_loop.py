@@ -1,17 +1,19 @@
 """The live loop: positions, retries, due tables, watermarks, the tick stream."""
 
 import time
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import ZERO_US, at, change, change_frame, simulate_lookback, tuples
+from tests.helpers import ZERO, ZERO_US, at, change, change_frame, simulate_lookback, tuples
 from tidemark.plans import jobs
 from tidemark.schema import TableConfig
 from tidemark.sinks import ndjson
 from tidemark.sources import tables
 from tidemark.streaming import poll_loop
 from tidemark.streaming.poll_loop import PollLoop
+from tidemark.streaming.windows import stop_idle
 
 SECOND = 1_000_000
 
@@ -205,23 +207,17 @@ def wait_for(condition, seconds=90):
     raise AssertionError("nothing came")
 
 
-def finish(query):
-    """Stop between batches."""
-    wait_for(lambda: not query.status["isTriggerActive"])
-    query.stop()
-
-
 def test_ticks_drive_the_loop_and_a_restart_goes_on(spark, tmp_path):
     frames = {"t1": micros(spark, [ZERO_US + 5 * SECOND])}
     loop = loop_on(spark, tmp_path, frames, start_us=ZERO_US)
     loop.tables = [TableConfig("t1", 0)]
-    query = loop.start("1 second")
+    query = loop.start("5 seconds")
     wait_for(lambda: loop._load("committed", 1) is not None or query.exception())
-    finish(query)
+    stop_idle(query)
     done = loop.progress().agg(F.max("batch_id")).first()[0]
-    again = loop.start("1 second")
+    again = loop.start("5 seconds")
     wait_for(lambda: loop._load("committed", done + 1) is not None or again.exception())
-    finish(again)
+    stop_idle(again)
     batches = [b for (b,) in tuples(loop.progress(), "batch_id")]
     assert batches == list(range(len(batches)))
     assert [late for _, _, late in emitted(loop)] == [False, True]
@@ -233,14 +229,14 @@ def test_multi_table_job_end_to_end(spark, tmp_path):
     tables.create_tables(spark, source, names)
     now = poll_loop.now_micros()
     rows = [
-        change(name, str(i), at("00:00:00").fromtimestamp((now - i * SECOND) / 1e6).astimezone())
+        change(name, str(i), ZERO + timedelta(microseconds=now - i * SECOND - ZERO_US))
         for name in names
         for i in range(1, 4)
     ]
     tables.append_changes(change_frame(spark, rows), source)
     start = now - 60 * SECOND
     loop = jobs.multi_table(
-        spark, source, output, 2, 1, start, duplicate_key=["table_name", "event_id"]
+        spark, source, output, 2, 5, start, duplicate_key=["table_name", "event_id"]
     )
     try:
         def lines():
@@ -258,7 +254,7 @@ def test_multi_table_job_end_to_end(spark, tmp_path):
         wait_for(ready, 120)
     finally:
         for query in spark.streams.active:
-            finish(query)
+            stop_idle(query)
     found = lines().select(
         "dest",
         F.get_json_object("value", "$.event_id").alias("event_id"),
@@ -266,7 +262,7 @@ def test_multi_table_job_end_to_end(spark, tmp_path):
         F.get_json_object("value", "$.is_duplicate").alias("duplicate"),
     )
     per_key = found.groupBy("dest", "event_id").agg(
-        F.count_if("duplicate = 'false'").alias("firsts"), F.count(F.lit(1)).alias("n")
+        F.count_if(F.col("duplicate") == "false").alias("firsts"), F.count(F.lit(1)).alias("n")
     )
     got = tuples(per_key, "dest", "event_id", "firsts")
     assert got == [(name, str(i), 1) for name in names for i in range(1, 4)]
@@ -278,7 +274,7 @@ def test_single_table_job_end_to_end(spark, tmp_path):
     tables.create_tables(spark, source, ["events"])
     rows = [change("events", str(i), at(f"00:00:0{i}")) for i in range(3)]
     tables.append_changes(change_frame(spark, rows), source)
-    jobs.single_table(spark, source, output, poll_interval=1, start_us=ZERO_US)
+    jobs.single_table(spark, source, output, poll_interval=5, start_us=ZERO_US)
     try:
         def ready():
             for q in spark.streams.active:
@@ -292,7 +288,7 @@ def test_single_table_job_end_to_end(spark, tmp_path):
         wait_for(ready, 120)
     finally:
         for query in spark.streams.active:
-            finish(query)
+            stop_idle(query)
     found = ndjson.read_windows(spark, f"{output}/files")
     assert found.count() == 3
     assert found.select("win").distinct().count() == 1

@@ -41,7 +41,9 @@ def flag_duplicates(
 ) -> DataFrame:
     """Set `is_duplicate` on a stream: false on the first row of a key ever, then true.
 
-    One boolean per key is kept, for ever unless `ttl_ms` is given. Within a micro-batch the
+    One boolean per key is kept, for ever unless `ttl_ms` is given. With it Spark keeps starting
+    batches without data to expire state, so a query that is to end when its input does also
+    needs `spark.sql.streaming.noDataMicroBatches.enabled=false`. Within a micro-batch the
     earliest row by `order_by` is the first.
 
     Rows that are no first of their key in their own Arrow batch are duplicates whatever the state

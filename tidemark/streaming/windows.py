@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,17 @@ def write_record_files(
     )
 
 
+def stop_idle(query: StreamingQuery, timeout: float = 300) -> None:
+    """Stop a query between two batches, so that none is cut off and repeated on the next start.
+
+    After `timeout` seconds without a pause the query is stopped as it is, which is safe too.
+    """
+    end = time.monotonic() + timeout
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+        time.sleep(0.2)
+    query.stop()
+
+
 def run_available(stream: DataFrame, label: str, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over everything there is, then read back what it wrote."""
     spark = stream.sparkSession
