@@ -12,7 +12,7 @@ from tidemark.schema import TableConfig
 from tidemark.sinks import ndjson
 from tidemark.sources import tables
 from tidemark.streaming import poll_loop
-from tidemark.streaming.poll_loop import PollLoop
+from tidemark.streaming.poll_loop import PollLoop, each_table
 from tidemark.streaming.windows import stop_idle
 
 SECOND = 1_000_000
@@ -36,9 +36,10 @@ def micros(spark, positions, name="t1"):
     )
 
 
-def loop_on(spark, tmp_path, frames, **options):
+def loop_on(spark, tmp_path, frames, mode="polling", **options):
     configs = [TableConfig(name) for name in frames]
-    return PollLoop(spark, configs, lambda n, lo, hi: frames[n], str(tmp_path), **options)
+    scan = each_table(lambda name, lo, hi: frames[name], mode)
+    return PollLoop(spark, configs, scan, str(tmp_path), **options)
 
 
 def emitted(loop):
@@ -103,7 +104,7 @@ def test_only_due_tables_are_polled(spark, tmp_path):
         return frames[name]
 
     configs = [TableConfig("fast", 30), TableConfig("slow", 60)]
-    loop = PollLoop(spark, configs, read, str(tmp_path), start_us=ZERO_US)
+    loop = PollLoop(spark, configs, each_table(read), str(tmp_path), start_us=ZERO_US)
     for batch_id in range(4):
         loop.poll(batch_id, ZERO_US + (batch_id + 1) * 30 * SECOND)
     assert reads == ["fast", "slow", "fast", "fast", "slow", "fast"]
@@ -113,7 +114,7 @@ def test_caught_up_table_is_not_scanned(spark, tmp_path):
     def read(name, lo, hi):
         raise AssertionError("scanned")
 
-    loop = PollLoop(spark, [TableConfig("t", 30)], read, str(tmp_path), start_us=ZERO_US)
+    loop = PollLoop(spark, [TableConfig("t", 30)], each_table(read), str(tmp_path), start_us=ZERO_US)
     loop.poll(0, ZERO_US)
     assert tuples(loop.progress(), "is_due", "rows", "next_start", "next_due") == [
         (False, 0, ZERO_US, ZERO_US + 30 * SECOND)

@@ -106,6 +106,15 @@ def test_change_tables(spark, tmp_path):
     assert tuples(tables.read_table(spark, root, "t0", lo, lo + 1), "event_id") == [("1",)]
     assert tables.read_table(spark, root, "t0", lo - 9 * day, lo - day).count() == 0
     assert tables.read_table(spark, root, "t2").count() == 0
+    ranges = [("t0", lo, lo + day + 1), ("t1", lo + 1, lo + day), ("t2", lo, lo + day)]
+    assert tuples(tables.scan_tables(spark, root, ranges), "table_name", "event_id") == [
+        ("t0", "1"),
+        ("t0", "3"),
+    ]
+    ranges[1] = ("t1", lo - 400 * day, lo + 1)
+    found = tables.scan_tables(spark, root, ranges)
+    assert tuples(found, "table_name", "event_id") == [("t0", "1"), ("t0", "3"), ("t1", "2")]
+    assert tables.scan_tables(spark, root, [("t0", lo - day, lo - 1)]).count() == 0
 
 
 def test_bad_lines_are_reported_and_the_rest_goes_on(spark):

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from tidemark.operators.duplicates import ENTITY_KEY, check_key
 from tidemark.schema import CHANGE_COLUMNS, POLL_INTERVAL_SECONDS, WINDOW_SECONDS, TableConfig
 from tidemark.session import build_session
-from tidemark.sources.tables import create_tables, read_table
+from tidemark.sources.tables import create_tables
 from tidemark.streaming.duplicates import flag_duplicates
-from tidemark.streaming.poll_loop import PollLoop
+from tidemark.streaming.poll_loop import PollLoop, stored_tables
 from tidemark.streaming.records import create_records, stream_records
 from tidemark.streaming.windows import write_record_files
 
@@ -31,10 +31,8 @@ def table_configs(count: int, poll_interval: int = POLL_INTERVAL_SECONDS) -> lis
 
 
 def _loop(spark: SparkSession, source: str, output: str, tables: list[TableConfig], **options):
-    def read(name: str, lo: int, hi: int) -> DataFrame:
-        return read_table(spark, source, name, lo, hi)
-
-    loop = PollLoop(spark, tables, read, f"{output}/polls", **options)
+    scan = stored_tables(spark, source)
+    loop = PollLoop(spark, tables, scan, f"{output}/polls", **options)
     create_records(spark, loop.records_path)
     return loop
 

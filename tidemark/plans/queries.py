@@ -27,7 +27,7 @@ from tidemark.session import shared_path, use_utc
 from tidemark.sinks import ndjson
 from tidemark.sources import scan, tables
 from tidemark.streaming import duplicates as stream_duplicates
-from tidemark.streaming.poll_loop import PollLoop
+from tidemark.streaming.poll_loop import PollLoop, stored_tables
 from tidemark.streaming.windows import (
     run_available,
     stream_tables,
@@ -401,7 +401,7 @@ def _poll_on(spark: SparkSession, sf_dir: str, lookback: bool) -> PollLoop:
     loop = PollLoop(
         spark,
         [TableConfig(name, poll_interval=5 * 86_400) for name in feeds.TABLES],
-        lambda name, lo, hi: tables.read_table(spark, root, name, lo, hi),
+        stored_tables(spark, root),
         shared_path(spark, "polls"),
         lookback=lookback,
         start_us=START,

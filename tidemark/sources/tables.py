@@ -63,6 +63,25 @@ def parse_change_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.filter(bad).select("table_name", "value")
 
 
+def _days(lo_us: int, hi_us: int) -> str:
+    """Pattern of the day folders from `lo_us` to `hi_us`; all days if these are many."""
+    if hi_us - lo_us > MAX_LISTED_DAYS * DAY_US:
+        return f"{PARTITION_DAY}=*"
+    days = [EPOCH + timedelta(days=d) for d in range(lo_us // DAY_US, hi_us // DAY_US + 1)]
+    return f"{PARTITION_DAY}={{{','.join(d.isoformat() for d in days)}}}"
+
+
+def _read_pattern(
+    spark: SparkSession, root: str, pattern: str, schema: T.StructType
+) -> DataFrame:
+    try:
+        return spark.read.schema(schema).option("basePath", root).parquet(f"{root}/{pattern}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_table(
     spark: SparkSession,
     root: str,
@@ -72,17 +91,30 @@ def read_table(
 ) -> DataFrame:
     """The stored table. Given a range, only the days it touches are listed, not all there are."""
     path = table_path(root, table_name)
-    reader = spark.read.schema(table_schema())
-    if lo_us is None or hi_us is None or hi_us - lo_us > MAX_LISTED_DAYS * DAY_US:
-        return reader.parquet(path)
-    days = [EPOCH + timedelta(days=d) for d in range(lo_us // DAY_US, hi_us // DAY_US + 1)]
-    pattern = f"{path}/{PARTITION_DAY}={{{','.join(d.isoformat() for d in days)}}}"
-    try:
-        return reader.option("basePath", path).parquet(pattern)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], table_schema())
+    if lo_us is None or hi_us is None:
+        return spark.read.schema(table_schema()).parquet(path)
+    return _read_pattern(spark, path, _days(lo_us, hi_us), table_schema())
+
+
+def scan_tables(spark: SparkSession, root: str, polls: list[tuple[str, int, int]]) -> DataFrame:
+    """Change rows of many stored tables, each over its own range (name, lo, hi), in one scan.
+
+    One listing and one scan serve any number of tables. The ranges, one row per table, are
+    broadcast; the widest range is pushed down to the files.
+    """
+    root = root.rstrip("/")
+    first, last = min(lo for _, lo, _ in polls), max(hi for _, _, hi in polls)
+    names = ",".join(name for name, _, _ in polls)
+    schema = T.StructType(table_schema().fields + [T.StructField("table_name", T.StringType())])
+    rows = _read_pattern(spark, root, f"table_name={{{names}}}/{_days(first, last)}", schema)
+    rows = rows.filter(
+        (F.col("change_timestamp") >= F.timestamp_micros(F.lit(first)))
+        & (F.col("change_timestamp") < F.timestamp_micros(F.lit(last)))
+    )
+    ranges = spark.createDataFrame(polls, "_name string, _lo long, _hi long")
+    us = F.unix_micros("change_timestamp")
+    own = (rows["table_name"] == ranges["_name"]) & (us >= ranges["_lo"]) & (us < ranges["_hi"])
+    return rows.join(F.broadcast(ranges), own).select(*CHANGE_COLUMNS, "table_name")
 
 
 def stream_table(

@@ -23,6 +23,7 @@ from tidemark.schema import (
     TableConfig,
 )
 from tidemark.sources.scan import change_feed_scan, fan_in, poll_scan_micros
+from tidemark.sources.tables import scan_tables
 
 SECOND = 1_000_000
 
@@ -32,8 +33,26 @@ PROGRESS_DDL = (
     "active_at long, next_due long, state string"
 )
 
-# Gives the change table of a name; the range it will be read over may serve to prune files.
-Read = Callable[[str, int, int], DataFrame]
+# Change rows, with `table_name`, of the tables and ranges (name, lo, hi) that are due.
+Scan = Callable[[list[tuple[str, int, int]]], DataFrame]
+
+
+def each_table(read: Callable[[str, int, int], DataFrame], mode: str = "polling") -> Scan:
+    """One scan per table, for tables of any kind; `read` gives the table of a name.
+
+    `mode` is `polling` for change tables; anything else reads change feeds.
+    """
+    scan = poll_scan_micros if mode.lower() == "polling" else change_feed_scan
+
+    def scan_all(due: list[tuple[str, int, int]]) -> DataFrame:
+        return fan_in({name: scan(read(name, lo, hi), lo, hi) for name, lo, hi in due})
+
+    return scan_all
+
+
+def stored_tables(spark: SparkSession, root: str) -> Scan:
+    """One scan of all tables stored under one root."""
+    return lambda due: scan_tables(spark, root, due)
 
 
 def now_micros() -> int:
@@ -44,28 +63,25 @@ class PollLoop:
     """Polls `tables` and writes change records under `root`.
 
     With `lookback` polls overlap by half the previous range; without it they are contiguous.
-    `mode` is `polling` for change tables; anything else reads change feeds. `start_us` defaults
-    to now: no history is read. `idle_timeout` is the quiet time in seconds after which a table's
-    watermark follows the clock: 0 at once, None never.
+    `start_us` defaults to now: no history is read. `idle_timeout` is the quiet time in seconds
+    after which a table's watermark follows the clock: 0 at once, None never.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         tables: Sequence[TableConfig],
-        read: Read,
+        scan: Scan,
         root: str,
         lookback: bool = True,
-        mode: str = "polling",
         start_us: int | None = None,
         idle_timeout: int | None = None,
     ) -> None:
         self.spark = spark
         self.tables = list(tables)
-        self.read = read
+        self.scan = scan
         self.root = root.rstrip("/")
         self.lookback = lookback
-        self.scan = poll_scan_micros if mode.lower() == "polling" else change_feed_scan
         self.start_us = start_us
         self.idle_timeout = idle_timeout
         lag = WATERMARK_LAG_SECONDS if lookback else 0
@@ -150,13 +166,10 @@ class PollLoop:
         """Write the batch's records; rows and largest position per table, from what was written."""
         if not due:
             return {}
-        scans = {}
-        for row in due:
-            name, lo, hi = row["table_name"], row["scan_lo"], row["target"]
-            changes = self.scan(self.read(name, lo, hi), lo, hi)
-            scans[name] = to_records(changes, name, row["start"]).drop("table_name")
+        changes = self.scan([(r["table_name"], r["scan_lo"], r["target"]) for r in due])
+        starts = F.create_map(*[F.lit(x) for r in due for x in (r["table_name"], r["start"])])
+        written = to_records(changes, start_us=starts[F.col("table_name")])
         path = f"{self.records_path}/batch={batch_id}"
-        written = fan_in(scans)
         # Records that were written to the end are kept, as a reader may have seen them.
         if not self._exists(f"{path}/_SUCCESS"):
             written.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
