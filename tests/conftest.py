@@ -14,7 +14,7 @@ def make_session():
     spark = build_session(
         "tests",
         "local[8]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
         spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
     )

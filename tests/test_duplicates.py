@@ -95,6 +95,7 @@ def test_hot_rows_are_not_gathered(spark):
     )
     facts = rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         known = attach_facts(rows, facts, ["event_id"], "n", broadcast_rows=0, hot_groups=1)
@@ -107,6 +108,7 @@ def test_hot_rows_are_not_gathered(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert sum(r["count"] for r in tasks) == 26_667
     assert len(tasks) >= 4
     assert max(r["count"] for r in tasks) < 26_667 / 2

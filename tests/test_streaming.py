@@ -4,7 +4,6 @@ import json
 import random
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import ZERO_US, at, change, change_frame, tuples, with_us
@@ -110,11 +109,10 @@ def test_local_repeats_are_marked_by_time(spark):
     ]
 
 
-@pytest.mark.parametrize("order_by", [None, "us"])
-def test_drop_within_watermark(spark, tmp_path, order_by):
+def test_drop_within_watermark(spark, tmp_path):
     feed = Feed(spark, tmp_path, ["t1"])
     stream = with_us(tables.stream_table(spark, feed.root, "t1", "10 minutes"))
-    kept = duplicates.drop_duplicates(stream, ["table_name", "event_id"], order_by)
+    kept = duplicates.drop_duplicates(stream, ["table_name", "event_id"])
     feed.add([change("t1", k, at(f"00:00:0{i}")) for i, k in enumerate("aabca")])
     feed.run(kept.select("table_name", "event_id"))
     feed.add([change("t1", k, at(f"00:01:0{i}")) for i, k in enumerate("cd")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +64,16 @@ def parse_change_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.filter(bad).select("table_name", "value")
 
 
+def _day(us: int) -> date:
+    return EPOCH + timedelta(days=us // DAY_US)
+
+
 def _days(lo_us: int, hi_us: int) -> str:
     """Pattern of the day folders from `lo_us` to `hi_us`; all days if these are many."""
     if hi_us - lo_us > MAX_LISTED_DAYS * DAY_US:
         return f"{PARTITION_DAY}=*"
-    days = [EPOCH + timedelta(days=d) for d in range(lo_us // DAY_US, hi_us // DAY_US + 1)]
+    first, last = _day(lo_us), _day(max(lo_us, hi_us - 1))
+    days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
     return f"{PARTITION_DAY}={{{','.join(d.isoformat() for d in days)}}}"
 
 
@@ -99,8 +105,9 @@ def read_table(
 def scan_tables(spark: SparkSession, root: str, polls: list[tuple[str, int, int]]) -> DataFrame:
     """Change rows of many stored tables, each over its own range (name, lo, hi), in one scan.
 
-    One listing and one scan serve any number of tables. The ranges, one row per table, are
-    broadcast; the widest range is pushed down to the files.
+    One listing and one scan serve any number of tables. Each table's days are pruned to its own
+    range, the widest range is pushed down to the files, and the ranges, one row per table, are
+    broadcast for the exact bounds.
     """
     root = root.rstrip("/")
     first, last = min(lo for _, lo, _ in polls), max(hi for _, _, hi in polls)
@@ -111,6 +118,11 @@ def scan_tables(spark: SparkSession, root: str, polls: list[tuple[str, int, int]
         (F.col("change_timestamp") >= F.timestamp_micros(F.lit(first)))
         & (F.col("change_timestamp") < F.timestamp_micros(F.lit(last)))
     )
+    of_table = [
+        (F.col("table_name") == name) & F.col(PARTITION_DAY).between(_day(lo), _day(hi - 1))
+        for name, lo, hi in polls
+    ]
+    rows = rows.filter(reduce(lambda a, b: a | b, of_table))
     ranges = spark.createDataFrame(polls, "_name string, _lo long, _hi long")
     us = F.unix_micros("change_timestamp")
     own = (rows["table_name"] == ranges["_name"]) & (us >= ranges["_lo"]) & (us < ranges["_hi"])

@@ -101,12 +101,12 @@ def flag_duplicates(
 
 
 def drop_duplicates(
-    stream: DataFrame, keys: list[str], order_by: str | None = None
+    stream: DataFrame, keys: list[str], order_by: str = "us"
 ) -> DataFrame:
     """First row per key on a stream that has a watermark; keys are forgotten after its delay.
 
-    With `order_by`, repeats within an Arrow batch are dropped before the shuffle.
+    Repeats within an Arrow batch are dropped before the shuffle, so a key with very many
+    rows is no burden to the task that holds its state.
     """
-    if order_by:
-        stream = mark_local_repeats(stream, keys, [order_by]).filter("not _repeat").drop("_repeat")
+    stream = mark_local_repeats(stream, keys, [order_by]).filter("not _repeat").drop("_repeat")
     return stream.dropDuplicatesWithinWatermark(keys)
