@@ -43,7 +43,9 @@ def flag_duplicates(
     if row_id is None:
         rows = number_copies(rows, "_copy")
         row_id = [*[c for c in columns if c not in keys and c not in order_by], "_copy"]
-    place = F.struct(*order_by, *row_id)
+    place = [*order_by, *row_id]
+    # A single number is aggregated by hash, a struct by sort.
+    place = F.col(place[0]) if len(place) == 1 else F.struct(*place)
     firsts = (
         rows.groupBy(*keys)
         .agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))

@@ -43,17 +43,19 @@ def attach_facts(
     """
     facts = stage(facts, "facts")
     values = [c for c in facts.columns if c not in keys]
-    text = F.length(F.to_json(F.struct(*facts.columns)))
-    count, total, widest = facts.agg(F.count(F.lit(1)), F.sum(text), F.max(text)).first()
-    if count <= broadcast_rows and (total or 0) <= BROADCAST_BYTES:
-        small = facts.select(*[F.col(k).alias(f"_f_{k}") for k in keys], *values)
-        joined = rows.join(F.broadcast(small), same_keys(rows, small, keys, "_f_"), "left")
-        return joined.select(*[rows[c] for c in rows.columns], *[small[v] for v in values])
+    width = F.length(F.to_json(F.struct(*facts.columns)))
+    if facts.count() <= broadcast_rows:
+        if (facts.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
+            small = facts.select(*[F.col(k).alias(f"_f_{k}") for k in keys], *values)
+            joined = rows.join(F.broadcast(small), same_keys(rows, small, keys, "_f_"), "left")
+            return joined.select(*[rows[c] for c in rows.columns], *[small[v] for v in values])
 
-    hot_groups = min(hot_groups, BROADCAST_BYTES // widest)
-    hot = facts.orderBy(F.desc(size), *keys).limit(hot_groups).select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*values).alias("_hot")
-    )
+    largest = [F.desc(size), *keys]
+    hot = stage(facts.orderBy(*largest).limit(hot_groups), "hot")
+    widest = hot.agg(F.max(width)).first()[0] or 1
+    if widest * hot_groups > BROADCAST_BYTES:
+        hot = hot.orderBy(*largest).limit(BROADCAST_BYTES // widest)
+    hot = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.struct(*values).alias("_hot"))
     marked = rows.join(F.broadcast(hot), same_keys(rows, hot, keys, "_h_"), "left").select(
         *[rows[c] for c in rows.columns],
         hot["_hot"],

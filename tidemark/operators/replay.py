@@ -77,11 +77,13 @@ def lookback_progress(facts: DataFrame, start_us: int, step_us: int) -> DataFram
 
 def _emissions(seen: Column, late: Column, again: Column) -> Column:
     """One row per poll that emits: the poll itself if `seen`, the next one if `again`."""
-    once = F.when(seen, F.struct(F.col("poll"), late.alias("is_late")))
-    twice = F.when(
-        again, F.struct((F.col("poll") + 1).alias("poll"), F.lit(True).alias("is_late"))
+    once = F.struct(F.col("poll"), late.alias("is_late"))
+    twice = F.struct((F.col("poll") + 1).alias("poll"), F.lit(True).alias("is_late"))
+    return F.explode(
+        F.when(seen & again, F.array(once, twice))
+        .when(seen, F.array(once))
+        .when(again, F.array(twice))
     )
-    return F.explode(F.filter(F.array(once, twice), lambda e: e.isNotNull()))
 
 
 def _emit(known: DataFrame, columns: list[str], emissions: Column) -> DataFrame:
