@@ -7,6 +7,7 @@ import pytest
 
 from tests.helpers import at, change, change_frame, tuples
 from tidemark.functions.records import to_records
+from tidemark.operators.windows import with_destination
 from tidemark.sinks import ndjson
 from tidemark.sources import tables
 
@@ -29,7 +30,7 @@ def stored(spark, path):
 
 def test_one_file_per_table_and_window(spark, records, tmp_path):
     path = str(tmp_path / "out")
-    ndjson.write_windows(ndjson.stored_lines(records.repartition(6)), path)
+    ndjson.write_windows(with_destination(records.repartition(6)), path)
     lines, files = stored(spark, path)
     assert len(lines) == 300
     assert len(files) == 6 and all(len(f) == 1 for f in files.values())
@@ -47,7 +48,7 @@ def test_one_file_per_table_and_window(spark, records, tmp_path):
 
 def test_large_windows_are_written_in_shards(spark, records, tmp_path):
     path = str(tmp_path / "out")
-    ndjson.write_windows(ndjson.stored_lines(records.repartition(6)), path, max_rows_per_file=10)
+    ndjson.write_windows(with_destination(records.repartition(6)), path, max_rows_per_file=10)
     lines, files = stored(spark, path)
     assert len(lines) == 300
     assert all(2 <= len(f) <= 5 for f in files.values())
@@ -56,7 +57,7 @@ def test_large_windows_are_written_in_shards(spark, records, tmp_path):
 def test_copies_of_one_line_are_spread(spark, tmp_path):
     rows = change_frame(spark, [change("t", "1", at("00:00:01"))] * 200).repartition(20)
     path = str(tmp_path / "out")
-    ndjson.write_windows(ndjson.stored_lines(to_records(rows)), path, max_rows_per_file=50)
+    ndjson.write_windows(with_destination(to_records(rows)), path, max_rows_per_file=50)
     lines, files = stored(spark, path)
     assert len(lines) == 200
     (only,) = files.values()
@@ -65,8 +66,7 @@ def test_copies_of_one_line_are_spread(spark, tmp_path):
 
 def test_compaction_takes_closed_windows_and_can_be_repeated(spark, records, tmp_path):
     source, target = str(tmp_path / "small"), str(tmp_path / "merged")
-    lines = ndjson.stored_lines(records.repartition(6)).select("value", "dest", "win")
-    lines.write.partitionBy("dest", "win").text(source)
+    ndjson.placed_lines(records.repartition(6)).write.partitionBy("dest", "win").text(source)
     for _ in range(2):
         ndjson.compact_windows(spark, source, target, closed_before="20240101-000200")
         merged, files = stored(spark, target)

@@ -324,14 +324,15 @@ def _written(spark: SparkSession, path: str) -> DataFrame:
 
 def one_file_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "windows")
-    ndjson.write_windows(ndjson.stored_lines(_records(spark, sf_dir), seconds=FILE_WINDOW), path)
+    placed = windows.with_destination(_records(spark, sf_dir), seconds=FILE_WINDOW)
+    ndjson.write_windows(placed, path)
     return _written(spark, path)
 
 
 def compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ndjson.stored_lines(_records(spark, sf_dir), seconds=FILE_WINDOW)
+    lines = ndjson.placed_lines(_records(spark, sf_dir), seconds=FILE_WINDOW)
     source, target = shared_path(spark, "shards"), shared_path(spark, "compacted")
-    lines.select("value", *ndjson.PLACE).write.partitionBy(*ndjson.PLACE).text(source)
+    lines.write.partitionBy(*ndjson.PLACE).text(source)
     ndjson.compact_windows(spark, source, target, closed_before="20240121-000000")
     return _written(spark, target)
 

@@ -39,46 +39,58 @@ def output_name(
     return name if table is None else F.concat_ws("/", table, name)
 
 
-def stored_lines(
+def placed_lines(
     records: DataFrame,
     event_time: str = "event_time",
     seconds: int = WINDOW_SECONDS,
     fields: list[str] | None = None,
 ) -> DataFrame:
-    """`value`, `dest`, `win` and the event time: what the writers below expect."""
-    return with_destination(
-        records.withColumn("value", json_line(records, fields)), event_time, seconds
-    ).select("value", *PLACE, F.col(event_time).alias("event_time"))
+    """Records as `value`, `dest` and `win`, in the order of writing them without a shuffle."""
+    lines = records.withColumn("value", json_line(records, fields))
+    return with_destination(lines, event_time, seconds).select("value", *PLACE)
 
 
 def one_file_per_window(
-    lines: DataFrame, max_rows_per_file: int = MAX_ROWS_PER_FILE, **attach: int
+    rows: DataFrame, max_rows_per_file: int = MAX_ROWS_PER_FILE, **attach: int
 ) -> DataFrame:
-    """Shuffle so that a window of a table ends up in one task, which writes one file.
+    """Shuffle so that a window (`win`) of a table (`dest`) ends up in one task, for one file.
 
     A window with more than `max_rows_per_file` rows is cut into shards of about that size, one
     file each, so no task has to take a window of unbounded size.
     """
-    groups = stage(lines.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_rows")), "groups")
+    groups = stage(rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_rows")), "groups")
     total = groups.agg(F.sum("_rows")).first()[0] or 0
     large = groups.filter(F.col("_rows") > max_rows_per_file)
-    known = attach_facts(lines, large, PLACE, "_rows", **attach)
+    known = attach_facts(rows, large, PLACE, "_rows", **attach)
     shards = F.ceil(F.col("_rows") / max_rows_per_file)
-    # The task number spreads equal lines too, and is the same when a task is run again.
-    spread = F.pmod(F.xxhash64("value") + F.spark_partition_id(), shards)
-    usual = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The task number spreads equal rows too, and is the same when a task is run again.
+    own = "value" if "value" in rows.columns else "event_time"
+    spread = F.pmod(F.xxhash64(own) + F.spark_partition_id(), shards)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(usual, total // max_rows_per_file)
     return (
         known.withColumn("_shard", F.coalesce(spread, F.lit(0).cast("long")))
         .repartition(tasks, *PLACE, "_shard")
-        .sortWithinPartitions(*PLACE, *[c for c in ("event_time",) if c in lines.columns])
-        .select("value", *PLACE)
+        .sortWithinPartitions(*PLACE, *[c for c in ("event_time",) if c in rows.columns])
+        .select(*rows.columns)
     )
 
 
-def write_windows(lines: DataFrame, path: str, mode: str = "append", **options: int) -> None:
-    """Write `stored_lines` with one file per table and window, larger windows in shards."""
-    one_file_per_window(lines, **options).write.mode(mode).option(
+def write_windows(
+    rows: DataFrame,
+    path: str,
+    mode: str = "append",
+    fields: list[str] | None = None,
+    **options: int,
+) -> None:
+    """Write rows that have `dest` and `win`, one file for both, larger windows in shards.
+
+    Records become JSON lines after the shuffle, which moves them in their shorter form; rows
+    with a `value` are lines already.
+    """
+    gathered = one_file_per_window(rows, **options)
+    line = F.col("value") if "value" in rows.columns else json_line(rows, fields)
+    gathered.select(line.alias("value"), *PLACE).write.mode(mode).option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(*PLACE).text(path)
 

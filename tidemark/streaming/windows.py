@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidemark.functions.records import json_line
-from tidemark.operators.windows import tumbling, with_destination
+from tidemark.operators.windows import tumbling
 from tidemark.schema import WINDOW_SECONDS
 from tidemark.session import shared_path
-from tidemark.sinks.ndjson import PLACE
+from tidemark.sinks.ndjson import PLACE, placed_lines
 from tidemark.sources.tables import stream_table
 
 
@@ -68,9 +67,7 @@ def write_record_files(
 
     Every micro-batch adds its own files to a window; `compact_windows` merges them later.
     """
-    lines = with_destination(
-        records.withColumn("value", json_line(records, fields)), event_time, seconds
-    ).select("value", *PLACE)
+    lines = placed_lines(records, event_time, seconds, fields)
     return (
         lines.writeStream.format("text")
         .partitionBy(*PLACE)
