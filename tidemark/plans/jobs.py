@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from tidemark.operators.duplicates import ENTITY_KEY, check_key
 from tidemark.schema import CHANGE_COLUMNS, POLL_INTERVAL_SECONDS, WINDOW_SECONDS, TableConfig
 from tidemark.session import build_session
+from tidemark.sinks.ndjson import compact_windows
 from tidemark.sources.tables import create_tables
 from tidemark.streaming.duplicates import flag_duplicates
 from tidemark.streaming.poll_loop import PollLoop, stored_tables
@@ -115,24 +116,31 @@ def _every(seconds: int) -> dict:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tidemark")
     jobs = parser.add_subparsers(dest="job", required=True)
-    for name in ("create", "single", "multi"):
+    for name in ("create", "single", "multi", "compact"):
         job = jobs.add_parser(name)
-        job.add_argument("--source", required=True, help="folder of the change tables")
-        if name != "single":
+        job.add_argument("--source", required=True, help="folder of tables, or files to compact")
+        if name in ("create", "multi"):
             job.add_argument("--tables", type=int, required=True, help="number of tables")
         if name != "create":
             job.add_argument("--output", required=True)
+        if name in ("single", "multi"):
             job.add_argument("--poll-interval", type=int, default=POLL_INTERVAL_SECONDS)
             job.add_argument("--start-us", type=int, help="replay from here instead of now")
     jobs.choices["single"].add_argument("--table", default=TABLE_PREFIX)
     jobs.choices["multi"].add_argument("--run-id", required=True)
     jobs.choices["multi"].add_argument("--flag-duplicates", action="store_true")
+    jobs.choices["compact"].add_argument(
+        "--closed-before", required=True, help="end of the last window, as 20240101-000100"
+    )
     args = parser.parse_args(argv)
 
     spark = build_session(f"tidemark-{getattr(args, 'run_id', args.job)}")
     if args.job == "create":
         create_tables(spark, args.source, [t.table_name for t in table_configs(args.tables)])
         return
+    if args.job == "compact":
+        compact_windows(spark, args.source, args.output, args.closed_before)
+        return
     common = {"poll_interval": args.poll_interval, "start_us": args.start_us}
     if args.job == "single":
         single_table(spark, args.source, args.output, args.table, **common)

@@ -45,7 +45,7 @@ def placed_lines(
     seconds: int = WINDOW_SECONDS,
     fields: list[str] | None = None,
 ) -> DataFrame:
-    """Records as `value`, `dest` and `win`, in the order of writing them without a shuffle."""
+    """Records as `value`, `dest` and `win`, to be written as they come, without a shuffle."""
     lines = records.withColumn("value", json_line(records, fields))
     return with_destination(lines, event_time, seconds).select("value", *PLACE)
 
