@@ -64,25 +64,25 @@ def flag_duplicates(
         def handleInputRows(self, key, rows, timerValues):
             from pyspark.sql import Row
 
-            make = Row(*columns, "is_duplicate")
-            if key[-1] >= 0:
-                for row in rows:
-                    yield make(*[row[c] for c in columns], True)
-                return
-            known = self.seen.exists()
+            make, places, time = Row(*columns, "is_duplicate"), None, None
+            repeats = key[-1] >= 0
+            known = repeats or self.seen.exists()
             first = None
             for row in rows:
-                if known:
-                    yield make(*[row[c] for c in columns], True)
-                elif first is None:
-                    first = row
-                else:
-                    if row[order_by] < first[order_by]:
+                if places is None:
+                    # Found once per group: access by name searches the names for every value.
+                    names = row.__fields__
+                    places, time = [names.index(c) for c in columns], names.index(order_by)
+                if not known:
+                    if first is None:
+                        first = row
+                        continue
+                    if row[time] < first[time]:
                         first, row = row, first
-                    yield make(*[row[c] for c in columns], True)
+                yield make(*[row[i] for i in places], True)
             if first is not None:
                 self.seen.update((True,))
-                yield make(*[first[c] for c in columns], False)
+                yield make(*[first[i] for i in places], False)
 
         def close(self) -> None:
             pass
