@@ -31,4 +31,37 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN named USING (doc_id)
 """
 
-ORACLES = {"op3_minhash": OP3}
+_ITEM_WORDS = _WORDS.format("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+
+OP10 = f"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({_ITEM_WORDS}, []) AS ws FROM documents
+), iw AS (
+  SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g
+  FROM (
+    SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p
+    FROM (SELECT item_id, ws, least(len(ws), 13) AS k FROM iw WHERE len(ws) > 0)
+  )
+), sizes AS (SELECT DISTINCT k FROM wins),
+grams AS (
+  SELECT r, k, p, array_to_string(ws[p:p + k - 1], ' ') AS g
+  FROM (
+    SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS p
+    FROM dw JOIN sizes ON len(ws) >= k
+  )
+), hits AS (SELECT r, p, grams.k AS k, item_id FROM grams JOIN wins USING (k, g)),
+hit_words AS (
+  SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hits) GROUP BY r
+), hit_items AS (
+  SELECT r, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(w.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(w.n, 0) > 0 AND 20 * coalesce(w.n, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN hit_words w USING (r) LEFT JOIN hit_items i USING (r)
+"""
+
+ORACLES = {"op3_minhash": OP3, "op10_winnowing": OP10}
