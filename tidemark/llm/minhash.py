@@ -12,9 +12,10 @@ Steps, each of which only moves what it needs:
 2. Each class is compared with the smallest class of each of its buckets (a star, not all pairs).
    The texts of the pairs are read again and their full sets compared.
 3. Components of the confirmed links. A bucket is settled if it lies in one component, or if its
-   star was all there is. The members of the other buckets meet in blocks, each of bounded size;
-   pairs from different components whose signatures agree enough are confirmed in the same way.
-   "Enough" is six standard deviations below the threshold.
+   star was all there is. In the other buckets, members of different components are compared by
+   their full sets: bucket by bucket or, where that moves less, all members that open buckets join at
+   once. Large groups are dealt into blocks of bounded size. Only links that join
+   something come out, at most one fewer than a group has members.
 4. Components again, over the links of both kinds.
 """
 
@@ -35,7 +36,9 @@ from tidemark.session import stage
 PERMUTATIONS = 64
 BANDS = 32
 ROWS = 4
-BLOCK = 512
+BLOCK = 512  # members of a block, on average
+BLOCK_SHINGLES = 1_000_000
+MARKS = 1 << 18
 
 _RNG = np.random.default_rng(7)
 _MULT = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(U64) | U64(1)
@@ -74,9 +77,9 @@ def _band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, h1, h2, keys, sig): set size, 128-bit hash of the set, band keys, 1-byte signature.
+    """(id, n, h1, h2, keys): set size, 128-bit hash of the set, band keys.
 
-    `keys` and `sig` are empty for an empty set.
+    `keys` is empty for an empty set.
     """
     kind = docs.schema[id_col].dataType
 
@@ -94,8 +97,6 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                         signs[i] = signature(s)
                 full = n > 0
                 keys = _band_keys(signs[full])
-                # The multiplied values have poor low bits; take high ones.
-                bytes_ = (signs >> U64(32)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, rows),
@@ -103,29 +104,40 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                         pa.array(signed(h[:, 0].copy())),
                         pa.array(signed(h[:, 1].copy())),
                         list_array(signed(keys.ravel()), full * BANDS, pa.int64()),
-                        pa.array([b.tobytes() if f else b"" for b, f in zip(bytes_, full)], pa.binary()),
                     ],
-                    names=["id", "n", "h1", "h2", "keys", "sig"],
+                    names=["id", "n", "h1", "h2", "keys"],
                 )
 
     schema = T.StructType(
         [
             T.StructField("id", kind),
-            *T.StructType.fromDDL("n long, h1 long, h2 long, keys array<long>, sig binary"),
+            *T.StructType.fromDDL("n long, h1 long, h2 long, keys array<long>"),
         ]
     )
     return narrow(docs, id_col, text_col).mapInArrow(run, schema)
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `texts` whose id is in `ids`, without moving most of the others.
+
+    The ids are first looked up by a hash into `MARKS` buckets, of which at most that many are broadcast;
+    only rows in a bucket with an id go into the exact, shuffled join.
+    """
+    mark = F.pmod(F.xxhash64("id"), MARKS)
+    marks = ids.select(mark.alias("mark")).distinct()
+    maybe = texts.join(F.broadcast(marks), mark == F.col("mark"), "left_semi")
+    return maybe.join(ids.hint("merge"), "id", "left_semi")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets have 100 * intersection >= percent * union.
 
     `texts` (id, text) is shuffled once for both sides.
     """
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    held = texts.join(ends.distinct(), "id", "left_semi")
-    with_b = pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    held = _texts_of(texts, ends.distinct())
+    with_b = pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    both = with_b.join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,51 +159,119 @@ def _cursor(column: pa.Array, size: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(body, begins, size)
 
 
-def _close_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members from different components with like signatures.
+def full_sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, set): the sorted shingle hashes of the documents in `ids`, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, body, begins in pieces(batch.column(1)):
+                sets = [x.tobytes() for x in shingle_sets(body, begins, size)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["id", "set"]
+                )
+
+    schema = T.StructType([texts.schema["id"], T.StructField("set", T.BinaryType())])
+    # A row without words may share its id with one that has some.
+    return _texts_of(texts, ids).mapInArrow(run, schema).where(F.length("set") > 0)
+
+
+def _linked(sets: list[np.ndarray], group: np.ndarray, block: np.ndarray, percent: int) -> list[tuple]:
+    """Links that join different groups, found by comparing the sets of each two members.
 
-    `members` has key, n, id, component, sig. A bucket of up to `BLOCK` members is one group. A
-    larger one is dealt into blocks by a hash of the id, and every two blocks form a group.
+    Members of one group are not compared, nor are those that a link has joined meanwhile, nor, where there
+    are two blocks, those of the same block.
+    """
+    universe, place = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    here = np.zeros(len(universe), np.int32)
+    two = block.min() != block.max()
+    group = group.copy()
+    found = []
+    for x in range(len(sets)):
+        other = group != group[x]
+        if two:
+            other &= block != block[x]
+        # A set can't be that like one of a very different size.
+        other &= 100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])
+        other[: x + 1] = False
+        if not other.any():
+            continue
+        lo = int(np.argmax(other))
+        here[place[begins[x] : begins[x + 1]]] = 1
+        same = np.add.reduceat(here[place[begins[lo] :]], begins[lo:-1] - begins[lo])
+        here[place[begins[x] : begins[x + 1]]] = 0
+        like = 100 * same >= percent * (sizes[lo:] + sizes[x] - same)
+        for y in np.flatnonzero(like & other[lo:]) + lo:
+            if group[y] != group[x]:
+                group[group == group[y]] = group[x]
+                found.append((x, int(y)))
+    return found
+
+
+def _cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a group that are in different components.
+
+    `members` has key, blocks, id, component. A group is dealt into its number of blocks by a hash of the id,
+    and every two blocks are compared in a task of their own, so no task gets more than two.
     """
     kind = members.schema["id"].dataType
-    share = percent / 100
-    samples = 2 * PERMUTATIONS
-    least = samples * share - 6 * (samples * share * (1 - share)) ** 0.5
-    blocks = F.ceil(F.col("n") / BLOCK)
-    own = F.pmod(F.xxhash64("id"), blocks)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     dealt = members.withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1))
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     )
     dealt = dealt.select(
-        "key",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        "own",
-        "id",
-        "component",
-        "sig",
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component"
     )
 
     def run(table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, samples)
-        ids, block = table["id"].to_pylist(), table["own"].to_numpy()
-        _, group = np.unique(np.array(table["component"].to_pylist(), object), return_inverse=True)
-        two = len(np.unique(block)) > 1
-        a, b = [], []
-        for x in range(len(ids)):
-            like = (sig == sig[x]).sum(axis=1) >= least
-            like &= group != group[x]
-            if two:
-                like &= block != block[x]
-            like[: x + 1] = False
-            for y in np.flatnonzero(like):
-                a.append(min(ids[x], ids[y]))
-                b.append(max(ids[x], ids[y]))
+        ids = table["id"].to_pylist()
+        held = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        _, group = np.unique(np.array(table["component"].to_pylist()), return_inverse=True)
+        found = _linked(held, group, table["own"].to_numpy(), percent) if len(ids) > 1 else []
         id_type = table.schema.field("id").type
-        return pa.table({"a": pa.array(a, id_type), "b": pa.array(b, id_type)})
+        a = pa.array([ids[x] for x, _ in found], id_type)
+        b = pa.array([ids[y] for _, y in found], id_type)
+        return pa.table({"a": a, "b": b})
 
     out = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, out).distinct()
+    return dealt.join(sets.hint("merge"), "id").groupBy("key", "i", "j").applyInArrow(run, out)
+
+
+def _groups_to_compare(unsettled: DataFrame) -> DataFrame:
+    """(key, blocks, id, component): groups in which every two members of a bucket meet.
+
+    `unsettled` has key, id, component, size. A family is what buckets join. It is one group, unless
+    its buckets are so much smaller that comparing bucket by bucket moves less.
+    """
+    first = unsettled.groupBy("key").agg(
+        F.min("id").alias("a"), _blocks(F.count(F.lit(1)), F.sum("size")).alias("blocks"), F.count(F.lit(1)).alias("n")
+    )
+    first = stage(first, "open-buckets")
+    family = components(unsettled.join(first, "key").select("a", F.col("id").alias("b")))
+    family = family.withColumnRenamed("component", "family")
+    people = unsettled.select("id", "component", "size").distinct().join(family, "id")
+    people = stage(people, "families")
+    cost = people.groupBy("family").agg(
+        F.count(F.lit(1)).alias("n"), _blocks(F.count(F.lit(1)), F.sum("size")).alias("blocks")
+    )
+    apart = first.join(family.withColumnRenamed("id", "a"), "a").groupBy("family").agg(
+        F.sum(F.col("n") * F.col("blocks")).alias("apart")
+    )
+    cost = stage(cost.join(apart, "family"), "families")
+    whole = F.col("n") * F.col("blocks") <= F.col("apart")
+    together = people.join(cost.where(whole).select("family", "blocks"), "family").select(
+        F.col("family").cast("string").alias("key"), "blocks", "id", "component"
+    )
+    small = people.join(cost.where(~whole).select("family"), "family").select("id")
+    split = unsettled.join(small, "id").join(first.select("key", "blocks"), "key").select(
+        F.concat(F.lit("bucket "), F.col("key")).alias("key"), "blocks", "id", "component"
+    )
+    return together.unionByName(split)
+
+
+def _blocks(members, size):
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("long")
 
 
 def near_duplicates(
@@ -239,22 +319,19 @@ def near_duplicates(
     first = components(links)
 
     labelled = member.where("n > 2").join(first, "id", "left").select(
-        "key", "n", "id", F.coalesce("component", "id").alias("component")
+        "key", "id", F.coalesce("component", "id").alias("component")
     )
     open_keys = labelled.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi")
     ).where("lo <> hi").select("key")
-    unsettled = labelled.join(open_keys, "key", "left_semi")
-    signs = filled.groupBy("id").agg(F.min("sig").alias("sig"))
-    signs = signs.join(unsettled.select("id").distinct(), "id", "left_semi")
-    more = stage(
-        _close_pairs(unsettled.join(signs, "id"), percent).join(stars, ["a", "b"], "left_anti"), "more"
-    )
-    if not more.isEmpty():
-        late = confirm(more, texts, shingle, percent)
-        # Links between first components; what they join is found on those alone.
+    sizes = filled.groupBy("id").agg(F.max("n").alias("size"))
+    unsettled = stage(labelled.join(open_keys, "key", "left_semi").join(sizes, "id"), "unsettled")
+    if not unsettled.isEmpty():
+        sets = full_sets(texts, unsettled.select("id").distinct(), shingle)
+        late = stage(_cross_links(_groups_to_compare(unsettled), sets, percent), "links")
+        # What the new links join is found on the components so far.
         hung = first.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        first = components(hung.unionByName(stage(late, "links")))
+        first = components(hung.unionByName(late))
 
     named = placed.join(
         first.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left"
