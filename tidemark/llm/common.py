@@ -81,6 +81,18 @@ def pieces(
         lo = hi
 
 
+def rows_with_ids(rows: DataFrame, ids: DataFrame, marks: int = 1 << 18) -> DataFrame:
+    """Inner join of `rows` and `ids` on their common column `id`, without moving most other rows.
+
+    The ids are first looked up by a hash into `marks` buckets, of which at most that many are broadcast;
+    only rows in a bucket with an id go into the exact, shuffled join.
+    """
+    mark = F.pmod(F.xxhash64("id"), marks)
+    known = ids.select(mark.alias("_mark")).distinct()
+    maybe = rows.join(F.broadcast(known), mark == F.col("_mark"), "left_semi")
+    return maybe.join(ids.hint("merge"), "id")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (a bijection)."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -101,10 +113,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(
-    body: np.ndarray, begins: np.ndarray, stops: np.ndarray = WHITE
+    body: np.ndarray,
+    begins: np.ndarray,
+    stops: np.ndarray = WHITE,
+    prefixes: tuple[int, ...] = (),
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a run of documents, A-Z lowered: 64-bit hashes, starts, ends, first word by row.
 
+    With `prefixes`, the hashes are a table: the word's own, and those of its first 4, 5, ... bytes, or 0
+    where the word has no more than that.
+
     A word's hash is a polynomial in its bytes, taken from prefix sums: (S[end] - S[start]) / B^start
     modulo 2^64. `stops` says which bytes separate words.
     """
@@ -139,7 +157,12 @@ def words(
         up, down = _power_tables(len(block))
         sums = np.zeros(len(block) + 1, U64)
         np.cumsum(BYTE_CODE[LOWER[block]] * up[: len(block)], dtype=U64, out=sums[1:])
-        hashes.append(mix((sums[end] - sums[start]) * down[start]))
+        own = [mix((sums[end] - sums[start]) * down[start])]
+        for n_bytes in prefixes:
+            cut = np.minimum(start + n_bytes, len(block))
+            part = mix((sums[cut] - sums[start]) * down[start] + U64(n_bytes))
+            own.append(np.where(end - start > n_bytes, part, U64(0)))
+        hashes.append(np.stack(own, axis=1) if prefixes else own[0])
         starts.append(start + lo)
         ends.append(end + lo)
     start = np.concatenate(starts)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import U64, fresh, grams, list_array, mix, narrow, pieces, signed, words
+from tidemark.llm.common import U64, fresh, grams, list_array, mix, narrow, pieces, rows_with_ids, signed, words
 from tidemark.llm.components import components
 from tidemark.session import stage
 
@@ -38,7 +38,6 @@ BANDS = 32
 ROWS = 4
 BLOCK = 512  # members of a block, on average
 BLOCK_SHINGLES = 1_000_000
-MARKS = 1 << 18
 
 _RNG = np.random.default_rng(7)
 _MULT = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(U64) | U64(1)
@@ -117,25 +116,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return narrow(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `texts` whose id is in `ids`, without moving most of the others.
-
-    The ids are first looked up by a hash into `MARKS` buckets, of which at most that many are broadcast;
-    only rows in a bucket with an id go into the exact, shuffled join.
-    """
-    mark = F.pmod(F.xxhash64("id"), MARKS)
-    marks = ids.select(mark.alias("mark")).distinct()
-    maybe = texts.join(F.broadcast(marks), mark == F.col("mark"), "left_semi")
-    return maybe.join(ids.hint("merge"), "id", "left_semi")
-
-
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets have 100 * intersection >= percent * union.
 
     `texts` (id, text) is shuffled once for both sides.
     """
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    held = _texts_of(texts, ends.distinct())
+    held = rows_with_ids(texts, ends.distinct())
     with_b = pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
     both = with_b.join(held.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
 
@@ -172,7 +159,7 @@ def full_sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     schema = T.StructType([texts.schema["id"], T.StructField("set", T.BinaryType())])
     # A row without words may share its id with one that has some.
-    return _texts_of(texts, ids).mapInArrow(run, schema).where(F.length("set") > 0)
+    return rows_with_ids(texts, ids).mapInArrow(run, schema).where(F.length("set") > 0)
 
 
 def _linked(sets: list[np.ndarray], group: np.ndarray, block: np.ndarray, percent: int) -> list[tuple]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, minhash, pii, quality
+from tidemark.llm import bpe, decontaminate, langid, minhash, pii, quality, toxicity
 from tidemark.llm.common import remainder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,6 +48,14 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(remainder("doc_id", 4) != 2))
+    return toxicity.score(docs, model).select(
+        "doc_id", _held_out(4, 2), "score", "predicted", F.to_json("passages").alias("passages")
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), bpe.load(spark, RANKS))
 
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality,
         op2_pii,
         op3_minhash,
+        op6_toxicity,
         op7_bpe,
         op9_language,
         op10_winnowing,
