@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, langid, minhash, pii, quality, toxicity
+from tidemark.llm import bpe, decontaminate, fingerprints, langid, minhash, pii, quality, toxicity
 from tidemark.llm.common import remainder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -48,6 +48,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(remainder("doc_id", 4) != 2))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality,
         op2_pii,
         op3_minhash,
+        op5_order_minhash,
         op6_toxicity,
         op7_bpe,
         op9_language,
