@@ -64,4 +64,27 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(w.n, 0) AS BIGI
 FROM dw LEFT JOIN hit_words w USING (r) LEFT JOIN hit_items i USING (r)
 """
 
-ORACLES = {"op3_minhash": OP3, "op10_winnowing": OP10}
+OP8 = """
+WITH keyed AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)
+      || substr(md5(coalesce(text, '')), 1, 7) AS BIGINT) AS key
+  FROM documents
+), every AS (
+  SELECT key, n_bytes, d, key >> (60 - d) AS prefix FROM keyed, (SELECT unnest(range(0, 61)) AS d)
+), fits AS (
+  SELECT d, prefix FROM every GROUP BY d, prefix
+  HAVING sum(n_bytes) <= 1048576 OR min(key) = max(key)
+), depths AS (SELECT key, min(d) AS depth FROM every JOIN fits USING (d, prefix) GROUP BY key),
+crowds AS (
+  SELECT key, greatest(1, 1048576 // max(n_bytes)) AS page_rows FROM keyed
+  GROUP BY key HAVING count(*) > 1 AND sum(n_bytes) > 1048576
+)
+SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth,
+  CASE WHEN depth = 0 THEN '' ELSE lpad(bin(key >> (60 - depth)), CAST(depth AS INTEGER), '0') END AS shard,
+  CAST(CASE WHEN page_rows IS NULL THEN 0
+    ELSE (row_number() OVER (PARTITION BY key ORDER BY n_bytes) - 1) // page_rows END AS BIGINT) AS page
+FROM keyed JOIN depths USING (key) LEFT JOIN crowds USING (key)
+"""
+
+ORACLES = {"op3_minhash": OP3, "op8_extendible": OP8, "op10_winnowing": OP10}

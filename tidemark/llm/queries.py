@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprints, langid, minhash, pii, quality, toxicity
+from tidemark.llm import bpe, decontaminate, fingerprints, langid, minhash, pii, quality, sharding, toxicity
 from tidemark.llm.common import remainder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -64,6 +64,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), bpe.load(spark, RANKS))
 
 
+def op8_extendible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of 1 MiB of text, so that the smallest tables have several, too."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.assign(docs, limit=1 << 20).select(
+        "doc_id", "n_bytes", "depth", "shard", "page"
+    )
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(remainder("doc_id", 3) != 1), "text", "lang")
@@ -79,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_order_minhash,
         op6_toxicity,
         op7_bpe,
+        op8_extendible,
         op9_language,
         op10_winnowing,
     )
