@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, narrow, pieces, quoted
+from tidemark.llm.common import fresh, list_array, narrow, pieces, quoted
 
 MEMO = 200_000
 MEMO_CHARS = 64  # longer pieces are not remembered
@@ -242,11 +242,29 @@ def _texts(body: np.ndarray, begins: np.ndarray) -> Iterator[str]:
         yield raw[a:b].decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, ids (array<int>). NULL and empty texts have no ids."""
-    return _mapped(
-        docs, held, id_col, text_col, "ids array<int>", lambda tok, ids, text: (np.array(ids, np.int32),)
-    )
+def encode(docs: DataFrame, held, text_col: str = "text") -> DataFrame:
+    """All columns of `docs` and `ids`, the tokens of the text. NULL and empty texts have no ids.
+
+    The new column is `ids_`, ... if `docs` has such a column already.
+    """
+    name = fresh(docs, "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = held.value.tokenizer()
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for lo, hi, body, begins in pieces(batch.column(at), PIECE_BYTES):
+                ids = [tok.encode(t) for t in _texts(body, begins)]
+                made = list_array(
+                    np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(x) for x in ids]), pa.int32()
+                )
+                rows = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, made], names=[*rows.schema.names, name]
+                )
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    return docs.select(*[F.col(quoted(c)) for c in docs.columns]).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,7 +274,7 @@ def digests(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text
     decoded bytes. NULL and empty texts have no ids.
     """
 
-    def made(tok: Tokenizer, ids: list[int], text: str) -> tuple:
+    def made(tok: Tokenizer, ids: list[int]) -> tuple:
         joined = ",".join(map(tok.texts.__getitem__, ids))
         return (
             len(ids),
@@ -264,26 +282,18 @@ def digests(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text
             hashlib.sha256(tok.decode(ids)).hexdigest(),
         )
 
-    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _mapped(docs, held, id_col, text_col, columns, made)
-
-
-def _mapped(docs: DataFrame, held, id_col: str, text_col: str, columns: str, make) -> DataFrame:
-    extra = T.StructType.fromDDL(columns)
-    kinds = {"array<int>": pa.list_(pa.int32()), "bigint": pa.int64(), "string": pa.string()}
-    types = [kinds[f.dataType.simpleString()] for f in extra]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = held.value.tokenizer()
         for batch in batches:
             for lo, hi, body, begins in pieces(batch.column(1), PIECE_BYTES):
-                rows = [make(tok, tok.encode(t), t) for t in _texts(body, begins)]
+                rows = [made(tok, tok.encode(t)) for t in _texts(body, begins)]
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo)]
-                    + [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)],
-                    names=["doc_id", *extra.names],
+                    [batch.column(0).slice(lo, hi - lo), *columns], names=["doc_id", *extra.names]
                 )
 
+    extra = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kinds = [pa.int64(), pa.string(), pa.string()]
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *extra])
     return narrow(docs, id_col, text_col).mapInArrow(run, schema)
 
