@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprints, langid, minhash, pii, quality, sharding, toxicity
+from tidemark.llm import bpe, decontaminate, fingerprints, langid, lm, minhash, pii, quality, sharding, toxicity
 from tidemark.llm.common import remainder
 
 RANKS = corpus_pipeline.RANKS
@@ -48,6 +48,14 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = lm.score(docs, remainder("doc_id", 7) != 2, RANKS)
+    return scored.select(
+        "doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_table(spark, sf_dir, "documents"))
 
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality,
         op2_pii,
         op3_minhash,
+        op4_attention,
         op5_order_minhash,
         op6_toxicity,
         op7_bpe,
