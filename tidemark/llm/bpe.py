@@ -23,10 +23,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, list_array, narrow, pieces, quoted
+from tidemark.llm.common import fresh, list_array, narrow, numbered, pieces
 
 MEMO = 200_000
 MEMO_CHARS = 64  # longer pieces are not remembered
@@ -247,12 +246,11 @@ def encode(docs: DataFrame, held, text_col: str = "text") -> DataFrame:
 
     The new column is `ids_`, ... if `docs` has such a column already.
     """
-    name = fresh(docs, "ids")
+    name, at = fresh(docs, "ids"), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = held.value.tokenizer()
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             for lo, hi, body, begins in pieces(batch.column(at), PIECE_BYTES):
                 ids = [tok.encode(t) for t in _texts(body, begins)]
                 made = list_array(
@@ -264,7 +262,7 @@ def encode(docs: DataFrame, held, text_col: str = "text") -> DataFrame:
                 )
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
-    return docs.select(*[F.col(quoted(c)) for c in docs.columns]).mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,16 +298,16 @@ def digests(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text
 
 def decode(encoded: DataFrame, held, ids_col: str = "ids") -> DataFrame:
     """All columns of `encoded` and `decoded`, the bytes of its ids. NULL ids give NULL."""
-    name = fresh(encoded, "decoded")
+    name, at = fresh(encoded, "decoded"), encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = held.value.tokenizer()
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
+            ids = batch.column(at).to_pylist()
             back = [None if x is None else tok.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(back, pa.binary())], names=[*batch.schema.names, name]
             )
 
     schema = T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())])
-    return encoded.select(*[F.col(quoted(c)) for c in encoded.columns]).mapInArrow(run, schema)
+    return numbered(encoded).mapInArrow(run, schema)

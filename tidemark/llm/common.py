@@ -55,6 +55,11 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(quoted(c)) for c in columns])
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with columns c0, c1, ..., for functions over Arrow batches: those refuse names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column without copying, and where each row begins. NULL is empty."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import narrow, pieces, quoted
+from tidemark.llm.common import narrow, numbered, pieces
 
 HALF = 128  # a chunk is two halves; neighbours share one
 WIDTH = 4
@@ -297,13 +297,13 @@ def keep_good(
 ) -> DataFrame:
     """The documents with a score of at least `threshold`, all columns, without a shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             for lo, hi, body, begins in pieces(batch.column(at)):
                 good = [score_text(net, body[a:b]) >= threshold for a, b in zip(begins, begins[1:])]
                 yield batch.slice(lo, hi - lo).filter(pa.array(good, pa.bool_()))
 
-    return docs.select(*[F.col(quoted(c)) for c in docs.columns]).mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(run, docs.schema)
