@@ -293,3 +293,52 @@ def test_single_table_job_end_to_end(spark, tmp_path):
     found = ndjson.read_windows(spark, f"{output}/files")
     assert found.count() == 3
     assert found.select("win").distinct().count() == 1
+
+
+@pytest.mark.parametrize("lookback", [True, False])
+def test_missing_table_or_root_is_raised_and_nothing_is_lost(spark, tmp_path, lookback):
+    """The poll fails, keeps its position, and reads everything once the table is there."""
+    root = str(tmp_path / "tables")
+    rows = change_frame(spark, [change("t1", "1", at("00:00:10")), change("t2", "2", at("00:00:20"))])
+    loop = PollLoop(
+        spark,
+        [TableConfig("t1"), TableConfig("t2")],
+        poll_loop.stored_tables(spark, root),
+        str(tmp_path / "polls"),
+        lookback=lookback,
+        start_us=ZERO_US,
+    )
+    now = ZERO_US + 60_000_000
+    with pytest.raises(FileNotFoundError):
+        loop.poll(0, now)
+    tables.append_changes(rows.filter("table_name = 't1'"), root)
+    with pytest.raises(FileNotFoundError, match="t2"):
+        loop.poll(0, now)
+    assert loop._load("committed", 0) is None
+    tables.append_changes(rows.filter("table_name = 't2'"), root)
+    loop.poll(0, now)
+    assert sorted(r.event_id for r in loop.records().collect()) == ["1", "2"]
+
+
+def test_thousands_of_tables_in_one_scan(spark, tmp_path):
+    """One condition for tables with equal days, a balanced tree for the others."""
+    root = str(tmp_path / "tables")
+    names = [f"t{n}" for n in range(2000)]
+    for name in names:
+        (tmp_path / "tables" / f"table_name={name}").mkdir(parents=True)
+    tables.append_changes(change_frame(spark, [change("t7", "1", at("00:00:10"))]), root)
+    day = 86_400_000_000
+    began = time.monotonic()
+    polls = [(n, ZERO_US - (k % 300) * day, ZERO_US + day) for k, n in enumerate(names)]
+    assert [r.event_id for r in tables.scan_tables(spark, root, polls).collect()] == ["1"]
+    assert time.monotonic() - began < 30
+
+
+def test_day_patterns():
+    _days = tables._days
+
+    day = 86_400_000_000
+    assert _days(ZERO_US, ZERO_US + day) == "change_date={2024-01-01}"
+    assert _days(ZERO_US, ZERO_US + 32 * day) == "change_date={2024-01-*,2024-02-01}"
+    assert _days(ZERO_US - day, ZERO_US + 366 * day) == "change_date={2023-12-31,2024-*}"
+    assert len(_days(0, ZERO_US + 40 * day).split(",")) < 70

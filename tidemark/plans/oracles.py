@@ -6,7 +6,9 @@ START = 1704067200000000
 STEP = 900000000
 DAY = 86400000000
 HOUR = 3600000000
-MONTH_END = START + 31 * DAY
+# The position behind the last change of `events`, and the number of five-day polls until two quiet ones.
+END = "(SELECT max(us) + 1 FROM cdc)"
+POLLS = f"((SELECT max(us) FROM cdc) - {START}) // {5 * DAY} + 3"
 
 CDC = """
 cdc AS (
@@ -82,7 +84,7 @@ progress AS (
 )"""
 
 
-def _lookback(step: int = STEP, last_poll: int | None = None) -> str:
+def _lookback(step: int = STEP, last_poll: str | None = None) -> str:
     """Rows emitted by a range join of polls with rows, straight from the definition."""
     end = "" if last_poll is None else f"WHERE poll <= {last_poll}"
     return f"""{_facts(step=step)},{PROGRESS.replace(str(STEP), str(step))},
@@ -157,9 +159,9 @@ FROM facts"""
 
 
 def _window_rows(where: str = "true") -> str:
-    start = f"us - us % {DAY}"
+    start = "(us - us % 60000000)"
     return f"""
-SELECT table_name AS dest, {_stamp(start)} || '-to-' || {_stamp(f"({start} + {DAY})")} AS win,
+SELECT table_name AS dest, {_stamp(start)} || '-to-' || {_stamp(f"({start} + 60000000)")} AS win,
        count(*) AS rows
 FROM cdc WHERE {where} GROUP BY table_name, {start}"""
 
@@ -197,7 +199,7 @@ merged AS (
          CASE l_linestatus WHEN 'O' THEN 'INSERT' ELSE 'UPDATE' END, 'o-' || l_orderkey,
          l_extendedprice, epoch_us(l_shipdate) FROM lineitem
 )
-SELECT * FROM merged WHERE us >= 820454400000000 AND us < {START + 28 * DAY}""",
+SELECT * FROM merged""",
     "record_defaults": f"""WITH {CDC}
 SELECT 'NULL' AS event_id, {ORDER_TYPE} AS change_type, {_iso("o_orderdate")} AS change_timestamp,
        'orders' AS table_name, false AS is_late, false AS is_duplicate,
@@ -223,6 +225,11 @@ SELECT table_name, order_id, us, (us - {START}) // {STEP} AS poll,
        {START} + ((us - {START}) // {STEP} + 1) * {STEP} AS poll_hi_us
 FROM cdc
 WHERE us >= {START} AND (arrival_us - {START}) // {STEP} <= (us - {START}) // {STEP}""",
+    "contiguous_replay_on_time": f"""WITH {CDC}
+SELECT table_name, order_id, us, (us - {START}) // {STEP} AS poll,
+       {START} + (us - {START}) // {STEP} * {STEP} AS poll_lo_us,
+       {START} + ((us - {START}) // {STEP} + 1) * {STEP} AS poll_hi_us
+FROM cdc WHERE us >= {START}""",
     "lookback_replay": f"""WITH {CDC},{LOOKBACK}
 SELECT table_name, event_id, order_id, us, poll, is_late FROM emitted""",
     "lookback_replay_delayed": f"""WITH RECURSIVE {CDC},{_facts("arrival_us")},
@@ -261,9 +268,9 @@ SELECT *, coalesce(lag(next_start_us) OVER (PARTITION BY table_name ORDER BY pol
           AND max_us >= start_us AND scan_lo_us <= start_us AS is_valid
 FROM progress""",
     "backlog": f"""WITH {CDC},{_facts()},{PROGRESS}
-SELECT table_name, poll, greatest({MONTH_END} - next_start_us, 0) AS backlog_us,
-       CASE WHEN {MONTH_END} <= start_us THEN 1.0
-            ELSE CAST(max_us - start_us AS DOUBLE) / CAST({MONTH_END} - start_us AS DOUBLE) END
+SELECT table_name, poll, greatest({END} - next_start_us, 0) AS backlog_us,
+       CASE WHEN {END} <= start_us THEN 1.0
+            ELSE CAST(max_us - start_us AS DOUBLE) / CAST({END} - start_us AS DOUBLE) END
          AS fraction_done
 FROM progress""",
     "due_tables": f"""WITH {CDC},{_facts()},{PROGRESS},
@@ -353,7 +360,7 @@ SELECT order_id, {_line(["event_id", "change_type", "change_timestamp", "table_n
 FROM cdc""",
     "single_table_output": f"""WITH {CDC}
 SELECT {_line(["event_id", "change_type", "payload", "change_timestamp"])} AS line
-FROM cdc WHERE us >= {START} AND us < {MONTH_END}""",
+FROM cdc WHERE us >= {START}""",
     "window_paths": f"""WITH {CDC}
 SELECT table_name || '/output-' || {_stamp("(us - us % 60000000)")} || '-to-'
          || {_stamp("(us - us % 60000000 + 60000000)")} || '-00000-of-00001.json' AS path,
@@ -363,30 +370,25 @@ FROM cdc GROUP BY table_name, us - us % 60000000""",
     f"FROM ({_window_rows()})",
     "compact_windows": f"WITH {CDC} SELECT *, CAST(1 AS BIGINT) AS files "
     f"FROM ({_window_rows(f'us < {START + 20 * DAY}')})",
-    "append_change_rows": _span(f"us >= {START} AND us < {START + 25 * DAY}"),
+    "append_change_rows": _span(f"us >= {START}"),
     "stream_dup_flag": f"""WITH {CDC}
 SELECT table_name, event_id, order_id, us,
        row_number() OVER (PARTITION BY table_name, event_id ORDER BY us) > 1 AS is_duplicate
 FROM cdc""",
     "stream_dedup": f"WITH {CDC} SELECT DISTINCT table_name, event_id FROM cdc",
-    "stream_tumbling": f"""WITH {CDC},
-mark AS (
-  SELECT min(max_us // 1000 * 1000 - 30000000) AS watermark_us
-  FROM (SELECT max(us) AS max_us FROM cdc GROUP BY table_name)
-)
+    "stream_tumbling": f"""WITH {CDC}
 SELECT table_name, us - us % {HOUR} AS win_start_us, us - us % {HOUR} + {HOUR} AS win_end_us,
        count(*) AS rows, min(us) AS min_us, max(us) AS max_us
-FROM cdc WHERE us - us % {HOUR} + {HOUR} <= (SELECT watermark_us FROM mark)
-GROUP BY table_name, us - us % {HOUR}""",
+FROM cdc GROUP BY table_name, us - us % {HOUR}""",
     "stream_record_files": f"WITH {CDC}{_window_rows()}",
-    "live_poll": f"""WITH {CDC},{_lookback(step=5 * DAY, last_poll=7)}
+    "live_poll": f"""WITH {CDC},{_lookback(step=5 * DAY, last_poll=POLLS + " - 1")}
 SELECT table_name, event_id, order_id, us, poll, is_late FROM emitted""",
     "live_poll_progress": f"""WITH {CDC},
 polls AS (
   SELECT t.table_name, k.poll, {START} + k.poll * {5 * DAY} AS start_us,
          {START} + (k.poll + 1) * {5 * DAY} AS target_us
   FROM (SELECT DISTINCT table_name FROM cdc) t
-  JOIN (SELECT unnest(range(0, 8)) AS poll) k ON true
+  JOIN (SELECT unnest(range(0, {POLLS})) AS poll) k ON true
 ),
 read AS (
   SELECT p.table_name, p.poll, p.start_us, p.target_us, count(c.us) AS rows, max(c.us) AS max_us

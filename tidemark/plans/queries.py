@@ -39,12 +39,20 @@ SECOND = 1_000_000
 START = 1_704_067_200 * SECOND
 STEP = 900 * SECOND
 DAY = 86_400 * SECOND
-MONTH_END = START + 31 * DAY
 
 ORDER = "payload.order_id"
 PRICE = "payload.price"
 
 
+def _end(spark: SparkSession, sf_dir: str, *more: DataFrame) -> int:
+    """The position behind the last change of `events` and of further change tables."""
+    last = [
+        t.agg(F.max(to_micros(F.col("change_timestamp")))).first()[0]
+        for t in (feeds.changes(spark, sf_dir), *more)
+    ]
+    return max((us for us in last if us is not None), default=START) + 1
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_records(feeds.changes(spark, sf_dir))
 
@@ -97,8 +105,8 @@ def multi_table_fanin(spark: SparkSession, sf_dir: str) -> DataFrame:
         "orders": feeds.order_changes(spark, sf_dir),
         "lineitem": feeds.line_changes(spark, sf_dir),
     }
-    lo, hi = 820_454_400 * SECOND, START + 28 * DAY
-    merged = scan.fan_in({n: scan.poll_scan_micros(t, lo, hi) for n, t in sources.items()})
+    hi = _end(spark, sf_dir, sources["orders"], sources["lineitem"])
+    merged = scan.fan_in({n: scan.poll_scan_micros(t, 0, hi) for n, t in sources.items()})
     return merged.select(
         "table_name",
         "event_id",
@@ -110,7 +118,8 @@ def multi_table_fanin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = scan.change_feed_scan(feeds.order_feed(spark, sf_dir), 0, MONTH_END)
+    hi = _end(spark, sf_dir, feeds.order_changes(spark, sf_dir))
+    feed = scan.change_feed_scan(feeds.order_feed(spark, sf_dir), 0, hi)
     keys = ["event_id", "change_type", "change_timestamp", "table_name", "is_late", "is_duplicate"]
     from_feed = to_records(feed, "orders").select(
         *keys, F.col("payload.o_orderkey").cast("string").alias("payload_text")
@@ -146,6 +155,12 @@ def contiguous_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("table_name", ORDER, "us", "poll", "poll_lo_us", "poll_hi_us")
 
 
+def contiguous_replay_on_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row, seen at its own time."""
+    rows = replay.contiguous_replay(feeds.changes(spark, sf_dir), START, STEP)
+    return rows.select("table_name", ORDER, "us", "poll", "poll_lo_us", "poll_hi_us")
+
+
 def _lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.lookback_replay(feeds.changes(spark, sf_dir), START, STEP)
 
@@ -179,7 +194,7 @@ def progress_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.backlog(_progress(spark, sf_dir), MONTH_END).select(
+    return replay.backlog(_progress(spark, sf_dir), _end(spark, sf_dir)).select(
         "table_name", "poll", "backlog_us", "fraction_done"
     )
 
@@ -294,7 +309,7 @@ def ndjson_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def single_table_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned rows of one table, written as JSON lines and read back."""
-    rows = scan.poll_scan_micros(feeds.changes(spark, sf_dir), START, MONTH_END)
+    rows = scan.poll_scan_micros(feeds.changes(spark, sf_dir), START, _end(spark, sf_dir))
     path = shared_path(spark, "single")
     ndjson.write_lines(rows, path, rows.columns)
     return spark.read.text(path).withColumnRenamed("value", "line")
@@ -308,10 +323,6 @@ def window_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.groupBy(name.alias("path")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-# Windows of the queries that write files: few enough for a test machine's file system.
-FILE_WINDOW = 86_400
-
-
 def _written(spark: SparkSession, path: str) -> DataFrame:
     return (
         ndjson.read_windows(spark, path)
@@ -324,13 +335,13 @@ def _written(spark: SparkSession, path: str) -> DataFrame:
 
 def one_file_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "windows")
-    placed = windows.with_destination(_records(spark, sf_dir), seconds=FILE_WINDOW)
+    placed = windows.with_destination(_records(spark, sf_dir))
     ndjson.write_windows(placed, path)
     return _written(spark, path)
 
 
 def compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ndjson.placed_lines(_records(spark, sf_dir), seconds=FILE_WINDOW)
+    lines = ndjson.placed_lines(_records(spark, sf_dir))
     source, target = shared_path(spark, "shards"), shared_path(spark, "compacted")
     lines.write.partitionBy(*ndjson.PLACE).text(source)
     ndjson.compact_windows(spark, source, target, closed_before="20240121-000000")
@@ -346,7 +357,7 @@ def _change_tables(spark: SparkSession, sf_dir: str) -> str:
 
 def append_change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _change_tables(spark, sf_dir)
-    lo, hi = START, START + 25 * DAY
+    lo, hi = START, _end(spark, sf_dir)
     stored = scan.fan_in(
         {
             name: scan.poll_scan_micros(tables.read_table(spark, root, name, lo, hi), lo, hi)
@@ -379,16 +390,21 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = stream_tables(spark, _change_tables(spark, sf_dir), feeds.TABLES, "30 seconds")
+    root = _change_tables(spark, sf_dir)
+    # A later row in each table closes all windows before it; its own window stays open.
+    last = feeds.changes(spark, sf_dir).groupBy("table_name").agg(F.max_by("payload", "us").alias("payload"))
+    closing = F.timestamp_micros(F.lit(_end(spark, sf_dir) + 2 * 3600 * SECOND))
+    tables.append_changes(
+        last.withColumns({"event_id": F.lit("end"), "change_type": F.lit("UPDATE"), "change_timestamp": closing}), root
+    )
+    merged = stream_tables(spark, root, feeds.TABLES, "30 seconds")
     return run_available(stream_window_counts(merged, seconds=3600), "stream-windows")
 
 
 def stream_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = feeds.as_changes(feeds.stream(spark, sf_dir, "events"))
     path = shared_path(spark, "stream-files")
-    query = write_record_files(
-        to_records(changes), f"{path}/out", f"{path}/checkpoint", seconds=FILE_WINDOW
-    )
+    query = write_record_files(to_records(changes), f"{path}/out", f"{path}/checkpoint")
     query.awaitTermination()
     return ndjson.read_windows(spark, f"{path}/out").groupBy("dest", "win").agg(
         F.count(F.lit(1)).alias("rows")
@@ -407,7 +423,7 @@ def _poll_on(spark: SparkSession, sf_dir: str, lookback: bool) -> PollLoop:
         lookback=lookback,
         start_us=START,
     )
-    for batch_id in range(8):
+    for batch_id in range((_end(spark, sf_dir) - 1 - START) // step + 3):
         loop.poll(batch_id, START + (batch_id + 1) * step)
     return loop
 
@@ -442,6 +458,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         iso_timestamps,
         poll_progress,
         contiguous_replay,
+        contiguous_replay_on_time,
         lookback_replay,
         lookback_replay_delayed,
         progress_audit,

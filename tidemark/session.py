@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _local_folder: str | None = None
+_app_folders: dict[tuple[str, str], str] = {}
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,9 +53,33 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """The path and its file system, whatever store it is in."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_names(spark: SparkSession, path: str) -> set[str]:
+    """Names of what lies in a folder. Raises if there is no such folder."""
+    found, store = _hadoop_path(spark, path)
+    if not store.exists(found):
+        raise FileNotFoundError(f"no folder {path}")
+    return {entry.getPath().getName() for entry in store.listStatus(found)}
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder nobody has used yet."""
-    return f"{shared_folder(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder nobody has used yet.
+
+    All of an application's paths lie in one folder, which is removed when the application ends.
+    """
+    app, base = spark.sparkContext.applicationId, shared_folder(spark)
+    if (app, base) not in _app_folders:
+        folder = f"{base}/tidemark/{app}-{uuid.uuid4().hex}"
+        found, store = _hadoop_path(spark, folder)
+        store.mkdirs(found)
+        store.deleteOnExit(found)
+        _app_folders[app, base] = folder
+    return f"{_app_folders[app, base]}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

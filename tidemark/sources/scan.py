@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +58,15 @@ def change_feed_scan(feed: DataFrame, lo_us: int, hi_us: int) -> DataFrame:
 
 def fan_in(scans: Mapping[str, DataFrame]) -> DataFrame:
     """One stream of changes out of many tables, each row tagged with its `table_name`."""
-    tagged = [df.withColumn("table_name", F.lit(name)) for name, df in scans.items()]
-    return reduce(lambda a, b: a.unionByName(b), tagged)
+    return union_all([df.withColumn("table_name", F.lit(name)) for name, df in scans.items()])
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Union by halves: each frame is looked at again only as often as the halving goes on."""
+    while len(frames) > 1:
+        pairs = zip(frames[::2], [*frames[1::2], None])
+        frames = [a if b is None else a.unionByName(b) for a, b in pairs]
+    return frames[0]
 
 
 def in_time_order(changes: DataFrame) -> DataFrame:

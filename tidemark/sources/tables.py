@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date, timedelta
-from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.schema import CHANGE_COLUMNS, CHANGE_DDL, PARTITION_DAY
+from tidemark.session import folder_names
 
 EPOCH = date(1970, 1, 1)
 DAY_US = 86_400_000_000
-# Longer ranges list the whole table and leave the pruning to the scan.
-MAX_LISTED_DAYS = 62
 
 
 def table_path(root: str, table_name: str) -> str:
@@ -69,17 +68,38 @@ def _day(us: int) -> date:
 
 
 def _days(lo_us: int, hi_us: int) -> str:
-    """Pattern of the day folders from `lo_us` to `hi_us`; all days if these are many."""
-    if hi_us - lo_us > MAX_LISTED_DAYS * DAY_US:
-        return f"{PARTITION_DAY}=*"
-    first, last = _day(lo_us), _day(max(lo_us, hi_us - 1))
-    days = [first + timedelta(days=n) for n in range((last - first).days + 1)]
-    return f"{PARTITION_DAY}={{{','.join(d.isoformat() for d in days)}}}"
+    """Pattern of the day folders from `lo_us` to `hi_us`: whole years and months, then single days."""
+    day, last = _day(lo_us), _day(max(lo_us, hi_us - 1))
+    parts = []
+    while day <= last:
+        year_end = date(day.year, 12, 31)
+        month_end = date(day.year + day.month // 12, day.month % 12 + 1, 1) - timedelta(days=1)
+        if (day.month, day.day) == (1, 1) and year_end <= last:
+            parts.append(f"{day.year:04d}-*")
+            day = year_end
+        elif day.day == 1 and month_end <= last:
+            parts.append(f"{day.year:04d}-{day.month:02d}-*")
+            day = month_end
+        else:
+            parts.append(day.isoformat())
+        if day == date.max:
+            break
+        day += timedelta(days=1)
+    return f"{PARTITION_DAY}={{{','.join(parts)}}}"
+
+
+def require_tables(spark: SparkSession, root: str, table_names: Iterable[str]) -> None:
+    """Raise unless the root and every table are there: a missing table is no quiet table."""
+    present = folder_names(spark, root)
+    missing = sorted(n for n in table_names if f"table_name={n}" not in present)
+    if missing:
+        raise FileNotFoundError(f"no table {', '.join(missing)} under {root}")
 
 
 def _read_pattern(
     spark: SparkSession, root: str, pattern: str, schema: T.StructType
 ) -> DataFrame:
+    """The days of a pattern; tables are known to exist, days without rows have no folder."""
     try:
         return spark.read.schema(schema).option("basePath", root).parquet(f"{root}/{pattern}")
     except AnalysisException as e:
@@ -96,20 +116,30 @@ def read_table(
     hi_us: int | None = None,
 ) -> DataFrame:
     """The stored table. Given a range, only the days it touches are listed, not all there are."""
+    require_tables(spark, root, [table_name])
     path = table_path(root, table_name)
     if lo_us is None or hi_us is None:
         return spark.read.schema(table_schema()).parquet(path)
     return _read_pattern(spark, path, _days(lo_us, hi_us), table_schema())
 
 
+def _any_of(conditions: list[Column]) -> Column:
+    """`OR` as a balanced tree, so that its depth grows with the logarithm of their number."""
+    while len(conditions) > 1:
+        pairs = zip(conditions[::2], [*conditions[1::2], None])
+        conditions = [a if b is None else a | b for a, b in pairs]
+    return conditions[0]
+
+
 def scan_tables(spark: SparkSession, root: str, polls: list[tuple[str, int, int]]) -> DataFrame:
     """Change rows of many stored tables, each over its own range (name, lo, hi), in one scan.
 
-    One listing and one scan serve any number of tables. Each table's days are pruned to its own
-    range, the widest range is pushed down to the files, and the ranges, one row per table, are
-    broadcast for the exact bounds.
+    One listing and one scan serve any number of tables; a table that isn't there is an error. Tables that
+    touch the same days share one condition, which prunes their days; the widest range is pushed down
+    to the files, and the ranges, one row per table, are broadcast for the exact bounds.
     """
     root = root.rstrip("/")
+    require_tables(spark, root, [name for name, _, _ in polls])
     first, last = min(lo for _, lo, _ in polls), max(hi for _, _, hi in polls)
     names = ",".join(name for name, _, _ in polls)
     schema = T.StructType(table_schema().fields + [T.StructField("table_name", T.StringType())])
@@ -118,11 +148,14 @@ def scan_tables(spark: SparkSession, root: str, polls: list[tuple[str, int, int]
         (F.col("change_timestamp") >= F.timestamp_micros(F.lit(first)))
         & (F.col("change_timestamp") < F.timestamp_micros(F.lit(last)))
     )
-    of_table = [
-        (F.col("table_name") == name) & F.col(PARTITION_DAY).between(_day(lo), _day(hi - 1))
-        for name, lo, hi in polls
+    same_days: dict[tuple[date, date], list[str]] = {}
+    for name, lo, hi in polls:
+        same_days.setdefault((_day(lo), _day(max(lo, hi - 1))), []).append(name)
+    of_tables = [
+        F.col("table_name").isin(own) & F.col(PARTITION_DAY).between(*days)
+        for days, own in same_days.items()
     ]
-    rows = rows.filter(reduce(lambda a, b: a | b, of_table))
+    rows = rows.filter(_any_of(of_tables))
     ranges = spark.createDataFrame(polls, "_name string, _lo long, _hi long")
     us = F.unix_micros("change_timestamp")
     own = (rows["table_name"] == ranges["_name"]) & (us >= ranges["_lo"]) & (us < ranges["_hi"])

@@ -167,8 +167,12 @@ class PollLoop:
         if not due:
             return {}
         changes = self.scan([(r["table_name"], r["scan_lo"], r["target"]) for r in due])
-        starts = F.create_map(*[F.lit(x) for r in due for x in (r["table_name"], r["start"])])
-        written = to_records(changes, start_us=starts[F.col("table_name")])
+        # One row per table, as in the plan.
+        starts = self.spark.createDataFrame(
+            [(r["table_name"], r["start"]) for r in due], "table_name string, _start long"
+        )
+        changes = changes.join(F.broadcast(starts), "table_name")
+        written = to_records(changes, start_us=F.col("_start")).drop("_start")
         path = f"{self.records_path}/batch={batch_id}"
         # Records that were written to the end are kept, as a reader may have seen them.
         if not self._exists(f"{path}/_SUCCESS"):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +12,13 @@ from tidemark.operators.windows import tumbling
 from tidemark.schema import WINDOW_SECONDS
 from tidemark.session import shared_path
 from tidemark.sinks.ndjson import PLACE, placed_lines
+from tidemark.sources.scan import union_all
 from tidemark.sources.tables import stream_table
 
 
 def union_streams(streams: list[DataFrame]) -> DataFrame:
     """One stream of many tables, each with the watermark it came with."""
-    return reduce(lambda a, b: a.unionByName(b), streams)
+    return union_all(streams)
 
 
 def stream_tables(
