@@ -2,7 +2,7 @@
 
 import pytest
 
-from tests.helpers import at, change, change_frame
+from tests.helpers import ZERO_US, at, change, change_frame
 from tidemark.functions.records import to_records
 from tidemark.plans import jobs
 from tidemark.sinks import ndjson
@@ -30,3 +30,34 @@ def test_configs():
 def test_job_is_required():
     with pytest.raises(SystemExit):
         jobs.main([])
+
+
+def test_feed_to_files(spark, tmp_path):
+    """A change feed with columns of its own goes through to the JSON lines."""
+    source, output = str(tmp_path / "tables"), str(tmp_path / "out")
+    rows = [("INSERT", at("00:00:10"), 1, "a"), ("DELETE", at("00:01:10"), 2, "b")]
+    feed = spark.createDataFrame(
+        rows, "_CHANGE_TYPE string, _CHANGE_TIMESTAMP timestamp, item long, name string"
+    )
+    feed.write.parquet(tables.table_path(source, "feed"))
+    config = [jobs.TableConfig("feed")]
+    loop, schema = jobs._loop(
+        spark, source, output, config, "Changes", lookback=False, start_us=ZERO_US
+    )
+    loop.poll(0, ZERO_US + 120_000_000)
+    fields = ["change_type", "payload"]
+    query = jobs.write_stage(spark, loop.records_path, output, fields, schema=schema)
+    query.awaitTermination()
+    lines = ndjson.read_windows(spark, f"{output}/files").collect()
+    assert sorted(r.value for r in lines) == [
+        '{"change_type":"DELETE","payload":{"item":2,"name":"b"}}',
+        '{"change_type":"INSERT","payload":{"item":1,"name":"a"}}',
+    ]
+
+
+def test_feeds_have_no_entities(spark, tmp_path):
+    with pytest.raises(ValueError, match="change feed"):
+        jobs.multi_table(
+            spark, str(tmp_path), str(tmp_path), duplicate_key=jobs.ENTITY_KEY, mode="changes"
+        )
+    assert not jobs.is_feed("POLLING")

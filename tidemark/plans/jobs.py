@@ -12,18 +12,22 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
-from tidemark.operators.duplicates import ENTITY_KEY, check_key
+from tidemark.functions.records import to_records
+from tidemark.operators.duplicates import CHANGE_KEY, ENTITY_KEY, check_key
 from tidemark.schema import CHANGE_COLUMNS, POLL_INTERVAL_SECONDS, WINDOW_SECONDS, TableConfig
 from tidemark.session import build_session
 from tidemark.sinks.ndjson import compact_windows
-from tidemark.sources.tables import create_tables
+from tidemark.sources.tables import create_tables, table_path
 from tidemark.streaming.duplicates import flag_duplicates
-from tidemark.streaming.poll_loop import PollLoop, stored_tables
-from tidemark.streaming.records import create_records, stream_records
+from tidemark.streaming.poll_loop import PollLoop, each_table, stored_tables
+from tidemark.streaming.records import RECORD_DDL, create_records, stream_records
 from tidemark.streaming.windows import write_record_files
 
 TABLE_PREFIX = "events"
+POLLING = "polling"
+KEYS = {"entity": ENTITY_KEY, "change": CHANGE_KEY}
 
 
 def table_configs(count: int, poll_interval: int = POLL_INTERVAL_SECONDS) -> list[TableConfig]:
@@ -31,11 +35,30 @@ def table_configs(count: int, poll_interval: int = POLL_INTERVAL_SECONDS) -> lis
     return [TableConfig(f"{TABLE_PREFIX}_{n}", poll_interval) for n in range(1, count + 1)]
 
 
-def _loop(spark: SparkSession, source: str, output: str, tables: list[TableConfig], **options):
-    scan = stored_tables(spark, source)
+def is_feed(mode: str) -> bool:
+    """`polling` in any case reads change tables, anything else change feeds."""
+    return mode.lower() != POLLING
+
+
+def _loop(
+    spark: SparkSession,
+    source: str,
+    output: str,
+    tables: list[TableConfig],
+    mode: str = POLLING,
+    **options,
+) -> tuple[PollLoop, T.StructType]:
+    """The poll loop and the schema of its records, whose payload a feed brings along."""
+    if is_feed(mode):
+        scan = each_table(lambda name, lo, hi: spark.read.parquet(table_path(source, name)), mode)
+        nothing = scan([(t.table_name, 0, 0) for t in tables])
+        schema = to_records(nothing, start_us=0).schema
+    else:
+        scan = stored_tables(spark, source)
+        schema = T.StructType.fromDDL(RECORD_DDL)
     loop = PollLoop(spark, tables, scan, f"{output}/polls", **options)
-    create_records(spark, loop.records_path)
-    return loop
+    create_records(spark, loop.records_path, schema)
+    return loop, schema
 
 
 def write_stage(
@@ -46,9 +69,10 @@ def write_stage(
     duplicate_key: list[str] | None = None,
     seconds: int = WINDOW_SECONDS,
     trigger: dict | None = None,
+    schema: str | T.StructType = RECORD_DDL,
 ):
     """Start the query from records to JSON files, flagging duplicates if a key is given."""
-    records = stream_records(spark, records_path)
+    records = stream_records(spark, records_path, schema)
     if duplicate_key:
         records = flag_duplicates(records, duplicate_key)
     return write_record_files(
@@ -68,17 +92,21 @@ def single_table(
     table: str = TABLE_PREFIX,
     poll_interval: int = POLL_INTERVAL_SECONDS,
     start_us: int | None = None,
+    mode: str = POLLING,
 ) -> PollLoop:
     """One change table, contiguous polls; the watermark follows the clock when it is quiet.
 
-    The JSON lines hold the four columns of the change table.
+    The JSON lines hold the columns of the change table; a change feed has no event id.
     """
     config = [TableConfig(table, poll_interval)]
-    loop = _loop(
-        spark, source, output, config, lookback=False, start_us=start_us, idle_timeout=0
+    loop, schema = _loop(
+        spark, source, output, config, mode, lookback=False, start_us=start_us, idle_timeout=0
     )
+    fields = [c for c in CHANGE_COLUMNS if not (is_feed(mode) and c == "event_id")]
     loop.start()
-    write_stage(spark, loop.records_path, output, CHANGE_COLUMNS, trigger=_every(poll_interval))
+    write_stage(
+        spark, loop.records_path, output, fields, trigger=_every(poll_interval), schema=schema
+    )
     return loop
 
 
@@ -90,14 +118,17 @@ def multi_table(
     poll_interval: int = POLL_INTERVAL_SECONDS,
     start_us: int | None = None,
     duplicate_key: list[str] | None = None,
+    mode: str = POLLING,
 ) -> PollLoop:
-    """Many change tables with lookback polls, files by table and window.
+    """Many change tables or feeds with lookback polls, files by table and window.
 
-    `duplicate_key` switches the duplicate flag on, for instance `ENTITY_KEY`.
+    `duplicate_key` switches the duplicate flag on: `ENTITY_KEY` marks every later change of an entity,
+    `CHANGE_KEY` only changes that were read again. Feeds have no entities.
     """
-    loop = _loop(spark, source, output, table_configs(tables, poll_interval), start_us=start_us)
     if duplicate_key:
-        check_key(duplicate_key, feed=False)
+        check_key(duplicate_key, feed=is_feed(mode))
+    configs = table_configs(tables, poll_interval)
+    loop, schema = _loop(spark, source, output, configs, mode, start_us=start_us)
     loop.start()
     write_stage(
         spark,
@@ -105,6 +136,7 @@ def multi_table(
         output,
         duplicate_key=duplicate_key,
         trigger=_every(poll_interval),
+        schema=schema,
     )
     return loop
 
@@ -126,9 +158,12 @@ def main(argv: list[str] | None = None) -> None:
         if name in ("single", "multi"):
             job.add_argument("--poll-interval", type=int, default=POLL_INTERVAL_SECONDS)
             job.add_argument("--start-us", type=int, help="replay from here instead of now")
+            job.add_argument("--mode", default=POLLING, help="polling, or changes for feeds")
     jobs.choices["single"].add_argument("--table", default=TABLE_PREFIX)
     jobs.choices["multi"].add_argument("--run-id", required=True)
-    jobs.choices["multi"].add_argument("--flag-duplicates", action="store_true")
+    jobs.choices["multi"].add_argument(
+        "--duplicate-key", choices=sorted(KEYS), help="flag duplicates by this key"
+    )
     jobs.choices["compact"].add_argument(
         "--closed-before", required=True, help="end of the last window, as 20240101-000100"
     )
@@ -141,11 +176,13 @@ def main(argv: list[str] | None = None) -> None:
     if args.job == "compact":
         compact_windows(spark, args.source, args.output, args.closed_before)
         return
-    common = {"poll_interval": args.poll_interval, "start_us": args.start_us}
+    common = {
+        "poll_interval": args.poll_interval, "start_us": args.start_us, "mode": args.mode
+    }
     if args.job == "single":
         single_table(spark, args.source, args.output, args.table, **common)
     else:
-        key = ENTITY_KEY if args.flag_duplicates else None
+        key = KEYS.get(args.duplicate_key)
         output = f"{args.output}/{args.run_id}"
         multi_table(spark, args.source, output, args.tables, duplicate_key=key, **common)
     spark.streams.awaitAnyTermination()

@@ -400,4 +400,8 @@ SELECT poll, table_name, start_us, target_us, rows,
        greatest(max(max_us) OVER (PARTITION BY table_name ORDER BY poll), {START - 300000000})
          AS watermark_us
 FROM read""",
+    "live_feed": f"""
+SELECT 'orders' AS table_name, 'NULL' AS event_id, {ORDER_TYPE} AS change_type, o_orderkey,
+       epoch_us(o_orderdate) AS us, (epoch_us(o_orderdate) - 694224000000000) // {365 * DAY} AS poll
+FROM orders WHERE epoch_us(o_orderdate) >= 694224000000000""",
 }

@@ -22,12 +22,12 @@ from tidemark.functions.times import (
 from tidemark.operators import duplicates, polls, replay, windows
 from tidemark.operators.groups import attach_facts
 from tidemark.plans import feeds
-from tidemark.schema import TableConfig
+from tidemark.schema import FEED_TIMESTAMP, TableConfig
 from tidemark.session import shared_path, use_utc
 from tidemark.sinks import ndjson
 from tidemark.sources import scan, tables
 from tidemark.streaming import duplicates as stream_duplicates
-from tidemark.streaming.poll_loop import PollLoop, stored_tables
+from tidemark.streaming.poll_loop import PollLoop, each_table, stored_tables
 from tidemark.streaming.windows import (
     run_available,
     stream_tables,
@@ -39,6 +39,7 @@ SECOND = 1_000_000
 START = 1_704_067_200 * SECOND
 STEP = 900 * SECOND
 DAY = 86_400 * SECOND
+FEED_START = 694_224_000 * SECOND
 
 ORDER = "payload.order_id"
 PRICE = "payload.price"
@@ -446,6 +447,31 @@ def live_poll_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`orders` as a change feed, polled a year at a time."""
+    step = 365 * DAY
+    feed = feeds.order_feed(spark, sf_dir)
+    last = feed.agg(F.max(to_micros(F.col(FEED_TIMESTAMP)))).first()[0] or FEED_START
+    loop = PollLoop(
+        spark,
+        [TableConfig("orders", poll_interval=365 * 86_400)],
+        each_table(lambda name, lo, hi: feed, "changes"),
+        shared_path(spark, "feed-polls"),
+        lookback=False,
+        start_us=FEED_START,
+    )
+    for batch_id in range((last - FEED_START) // step + 1):
+        loop.poll(batch_id, FEED_START + (batch_id + 1) * step)
+    return loop.records().select(
+        "table_name",
+        "event_id",
+        "change_type",
+        "payload.o_orderkey",
+        "us",
+        F.col("batch_id").cast("long").alias("poll"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -488,6 +514,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_record_files,
         live_poll,
         live_poll_progress,
+        live_feed,
     )
 }
 
