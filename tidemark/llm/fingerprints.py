@@ -26,7 +26,7 @@ from tidemark.session import stage
 
 K = 8
 TUPLE = 2
-SIGNS = 32
+SIGNS = 64
 STEP = 1 << 13  # k-mers hashed at a time
 
 _RNG = np.random.default_rng(5)
