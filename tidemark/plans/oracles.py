@@ -98,7 +98,7 @@ polls AS (
   UNION ALL SELECT table_name, poll, scan_lo_us, start_us, hi_us FROM quiet
 ),
 emitted AS (
-  SELECT c.*, p.poll, c.us < p.start_us AS is_late
+  SELECT c.*, p.poll, p.start_us AS from_us, c.us < p.start_us AS is_late
   FROM cdc c JOIN polls p
     ON c.table_name = p.table_name AND c.us >= p.scan_lo_us AND c.us <= p.hi_us
   {end}
@@ -215,10 +215,9 @@ stamps AS (
 SELECT order_id, {_iso("ts")} AS iso, {_ts_text("epoch_us(ts)")} AS ts_text,
        epoch_us(ts) AS back_us
 FROM stamps""",
-    "poll_progress": f"""WITH {CDC},{_facts()}
-SELECT table_name, {START} + poll * {STEP} AS start_us, rows,
-       greatest(max_us, {START} + poll * {STEP}) AS reached_us
-FROM facts""",
+    "poll_progress": f"""WITH {CDC},{LOOKBACK}
+SELECT table_name, from_us AS start_us, count(*) AS rows, greatest(max(us), from_us) AS reached_us
+FROM emitted GROUP BY table_name, from_us""",
     "contiguous_replay": f"""WITH {CDC}
 SELECT table_name, order_id, us, (us - {START}) // {STEP} AS poll,
        {START} + (us - {START}) // {STEP} * {STEP} AS poll_lo_us,

@@ -147,8 +147,14 @@ def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poll_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    polled = polls.with_poll(feeds.changes(spark, sf_dir), START, STEP)
-    return polls.poll_progress(polled.withColumn("start_us", START + F.col("poll") * STEP))
+    """Polls with lookback: one that only reads rows again stays at its own start."""
+    known = _progress(spark, sf_dir)
+    own = known.select("table_name", "poll", "start_us")
+    quiet = known.select(
+        "table_name", (F.col("poll") + 1).alias("poll"), F.col("next_start_us").alias("start_us")
+    ).join(own.select("table_name", "poll"), ["table_name", "poll"], "left_anti")
+    starts = own.unionByName(quiet)
+    return polls.poll_progress(_lookback(spark, sf_dir).join(starts, ["table_name", "poll"]))
 
 
 def contiguous_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
