@@ -91,3 +91,13 @@ def test_duplicate_flag_shuffles_rows_only_when_it_must(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("BroadcastHashJoin") == 1 and text.count("SortMergeJoin") == 1
+
+
+def test_duplicate_flags_need_no_sort_of_all_rows(spark):
+    """Positions are aggregated by hash; with distinct positions nothing is sorted for the flag."""
+    rows = spark.range(1000).selectExpr(
+        "'t' as table_name", "cast(id % 7 as string) as event_id", "id as us", "cast(id as string) as order_id"
+    )
+    flagged = duplicates.flag_duplicates(rows, row_id=["order_id"])
+    assert "SortAggregate" not in flagged._jdf.queryExecution().executedPlan().toString()
+    assert flagged.filter("not is_duplicate").count() == 7

@@ -1,6 +1,7 @@
 """Files by table and window."""
 
 import json
+import time
 from collections import Counter
 
 import pytest
@@ -79,6 +80,28 @@ def test_compaction_takes_closed_windows_and_can_be_repeated(spark, records, tmp
         assert Counter(r.value for r in merged) == Counter(small)
 
 
+def test_compaction_takes_only_new_files(spark, records, tmp_path):
+    """A run without new files writes nothing; new files rewrite their window only."""
+    source, target = str(tmp_path / "small"), str(tmp_path / "merged")
+    placed = ndjson.placed_lines(records.repartition(6))
+    placed.write.partitionBy("dest", "win").text(source)
+    closed = "20240101-000200"
+
+    def written():
+        return {r.path for r in ndjson.written_files(spark, target).collect()}
+
+    ndjson.compact_windows(spark, source, target, closed)
+    first = written()
+    ndjson.compact_windows(spark, source, target, closed)
+    assert written() == first
+    time.sleep(1.1)
+    one = placed.filter("win like '%-to-20240101-000100'").limit(1)
+    one.write.mode("append").partitionBy("dest", "win").text(source)
+    ndjson.compact_windows(spark, source, target, closed)
+    changed = written() ^ first
+    assert changed and all("to-20240101-000100" in path for path in changed)
+
+
 def test_lines_of_one_table(spark, tmp_path):
     rows = change_frame(spark, [change("t", "1", at("00:00:07.179575"))]).drop("table_name")
     ndjson.write_lines(rows, str(tmp_path / "out"), rows.columns)

@@ -59,6 +59,11 @@ def _hadoop_path(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    found, store = _hadoop_path(spark, path)
+    return store.exists(found)
+
+
 def folder_names(spark: SparkSession, path: str) -> set[str]:
     """Names of what lies in a folder. Raises if there is no such folder."""
     found, store = _hadoop_path(spark, path)

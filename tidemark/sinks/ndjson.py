@@ -10,7 +10,7 @@ from tidemark.functions.times import window_text
 from tidemark.operators.groups import attach_facts
 from tidemark.operators.windows import with_destination
 from tidemark.schema import WINDOW_SECONDS
-from tidemark.session import stage
+from tidemark.session import folder_exists, folder_names, stage
 
 PLACE = ["dest", "win"]
 STORED_DDL = "value string, dest string, win string"
@@ -111,16 +111,31 @@ def written_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _last_written(spark: SparkSession, path: str) -> DataFrame:
+    """(dest, win, at): when the newest file of each window was written; contents are not read."""
+    if not any(name.startswith("dest=") for name in folder_names(spark, path)):
+        return spark.createDataFrame([], "dest string, win string, at timestamp")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    place = [F.col(c).cast("string").alias(c) for c in PLACE]
+    return files.groupBy(*place).agg(F.max("modificationTime").alias("at"))
+
+
 def compact_windows(
     spark: SparkSession, source: str, target: str, closed_before: str, **options: int
 ) -> None:
     """Rewrite the small files of closed windows under `source` as one file each under `target`.
 
-    A window is closed if it ends at or before `closed_before` (`20240101-000100`). Running it
+    A window is closed if it ends at or before `closed_before` (`20240101-000100`). Only windows with a
+    file newer than what `target` has of them are read; a run without any writes nothing. Running it
     again replaces the same windows, so a job that failed half way can simply be repeated.
     """
     end = F.substring_index("win", "-to-", -1)
-    closed = read_windows(spark, source).filter(end <= closed_before)
-    write_windows(closed, target, mode="overwrite", **options)
-
-
+    new = _last_written(spark, source).filter(end <= closed_before)
+    if folder_exists(spark, target):
+        done = _last_written(spark, target).withColumnRenamed("at", "_done")
+        new = new.join(done, PLACE, "left").filter("_done is null or at > _done")
+    new = stage(new.select(*PLACE), "new-windows")
+    if new.isEmpty():
+        return
+    rows = read_windows(spark, source).join(new, PLACE, "left_semi")
+    write_windows(rows, target, mode="overwrite", **options)
