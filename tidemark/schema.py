@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+# Fields and types of change rows and records, as sources and readers expect them.
 PAYLOAD_DDL = (
     "struct<order_id: string, user_id: string, price: double, "
     "created_at: timestamp, updated_at: timestamp>"
@@ -13,7 +14,7 @@ CHANGE_DDL = (
 )
 CHANGE_COLUMNS = ["event_id", "change_type", "payload", "change_timestamp"]
 
-# Field order of a change record; it is also the order in the JSON line.
+# Field order of a change record; it is also the order in the JSON line.
 RECORD_FIELDS = [
     "event_id",
     "change_type",
@@ -34,6 +35,7 @@ WINDOW_SECONDS = 60
 WATERMARK_LAG_SECONDS = 30
 INITIAL_WATERMARK_LAG_SECONDS = 300
 
+# Metadata columns of a change feed.
 FEED_TYPE = "_CHANGE_TYPE"
 FEED_TIMESTAMP = "_CHANGE_TIMESTAMP"
 
@@ -41,7 +43,7 @@ PARTITION_DAY = "change_date"
 
 
 class TableConfig(NamedTuple):
-    """One change table and how often it is polled."""
+    """One change table and how often it is polled. The fields and the default."""
 
     table_name: str
     poll_interval: int = POLL_INTERVAL_SECONDS

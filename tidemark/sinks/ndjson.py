@@ -55,8 +55,9 @@ def one_file_per_window(
 ) -> DataFrame:
     """Shuffle so that a window (`win`) of a table (`dest`) ends up in one task, for one file.
 
-    A window with more than `max_rows_per_file` rows is cut into shards of about that size, one
-    file each, so no task has to take a window of unbounded size.
+    `max_rows_per_file` is the size limit of a file, in rows (default `MAX_ROWS_PER_FILE`). A window with
+    more rows is cut into shards of about that size, one file each, so no task has to take a
+    window of unbounded size.
     """
     groups = stage(rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_rows")), "groups")
     total = groups.agg(F.sum("_rows")).first()[0] or 0
