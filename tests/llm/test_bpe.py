@@ -40,6 +40,14 @@ def test_pieces_like_the_pattern():
         assert bpe.split(text) == regex.findall(public_tokenizers.PATTERN, text), repr(text)
 
 
+def test_every_character(tok, known):
+    """In all surroundings that the pattern knows."""
+    for lo in range(0, 0x20000, 64):
+        found = [chr(c) for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}b 1{c}2 .{c}! {c}  {c}'s{c}'s\n{c}\n\n" for c in found)
+        assert tok.encode(text) == known.encode_ordinary(text), hex(lo)
+
+
 @pytest.mark.parametrize("text", ["a" * 50_000, " " * 20_000, "=" * 20_000, "ab" * 20_000, "é" * 9_000, "\n" * 5_000 + "x"])
 def test_long_pieces(tok, known, text):
     assert tok.encode(text) == known.encode_ordinary(text)

@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -33,8 +33,6 @@ PIECE_BYTES = 1 << 18
 
 # Classes of code points, and the endings that the pattern splits off.
 _OTHER, _SPACE, _LETTER, _NUMBER = 0, 1, 2, 3
-_WHITE_SPACE = [0x20, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_WHITE_SPACE += [*range(0x09, 0x0E), *range(0x2000, 0x200B)]
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -155,13 +153,19 @@ _classes: list[np.ndarray] = []
 
 
 def _class_table() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point, as the library that is to be matched sees it.
+
+    Versions of Unicode differ in their newest letters, so the library is asked: of all characters, its
+    encoding by single bytes keeps those that a pattern matches.
+    """
     if not _classes:
-        kinds = {"L": _LETTER, "N": _NUMBER}
-        table = np.frombuffer(
-            bytes(kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)), np.uint8
-        ).copy()
-        table[_WHITE_SPACE] = _SPACE
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        single = {bytes([i]): i for i in range(256)}
+        table = np.full(0x110000, _OTHER, np.uint8)
+        for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
+            asked = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+            matched = bytes(asked.encode_ordinary(every)).decode()
+            table[np.frombuffer(matched.encode("utf-32-le"), np.uint32)] = kind
         _classes.append(table)
     return _classes[0]
 

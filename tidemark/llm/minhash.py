@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import U64, fresh, grams, list_array, mix, narrow, pieces, rows_with_ids, signed, words
+from tidemark.llm.common import U64, fresh, grams, list_array, mix, narrow, pieces, quoted, rows_with_ids, signed, words
 from tidemark.llm.components import components
 from tidemark.session import stage
 
@@ -301,8 +301,8 @@ def near_duplicates(
     texts = narrow(docs, id_col, text_col).toDF("id", "text")
     links = stage(confirm(stars, texts, shingle, percent), "links")
     # Ids that name several texts can name several classes.
-    links = links.unionByName(placed.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(
-        reps.select(F.col("id").alias("a")), "a", "left_semi"))
+    other_names = placed.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = links.unionByName(other_names.join(reps.select(F.col("id").alias("a")), "a", "left_semi"))
     first = components(links)
 
     labelled = member.where("n > 2").join(first, "id", "left").select(
@@ -349,8 +349,7 @@ def drop_near_duplicates(
 
 
 def _one_row_per_id(docs: DataFrame, id_col: str, number: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    # Partitioned as the join before it, so nothing moves; groups are the rows of one id.
-    order = Window.partitionBy(docs[id_col]).orderBy(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map" not in t])
+    """Partitioned as the join before it, so nothing moves; groups are the rows of one id."""
+    sortable = [F.col(quoted(c)) for c, kind in docs.dtypes if "map" not in kind]
+    order = Window.partitionBy(docs[id_col]).orderBy(*sortable)
     return docs.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
