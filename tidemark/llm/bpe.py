@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import fresh, list_array, narrow, numbered, pieces
 
-MEMO = 200_000
+MEMO = 60_000
+PAIRS = 300_000  # tokens whose fit is remembered
 MEMO_CHARS = 64  # longer pieces are not remembered
 PIECE_BYTES = 1 << 18
 
@@ -71,15 +72,15 @@ class Tokenizer:
             if i in self.sound:
                 self.automaton.add_word(t.decode("latin-1"), (1 - len(t), i))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}  # by both ids in one number
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def _fit(self, a: int, b: int) -> bool:
         good = merged(self.ranks, self.tokens[a] + self.tokens[b]) == [a, b]
-        if len(self.fits) >= 10 * MEMO:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
-        self.fits[a, b] = good
+        self.fits[a << 32 | b] = good
         return good
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -105,7 +106,7 @@ class Tokenizer:
                 if dead[stop]:
                     continue
                 if last >= 0:
-                    fit = known((last, token))
+                    fit = known(last << 32 | token)
                     if fit is None:
                         fit = self._fit(last, token)
                     if not fit:
