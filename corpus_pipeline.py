@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, minhash, pii, quality
-from tidemark.llm.common import fresh, quoted, remainder
+from tidemark.llm.common import quoted, remainder
 from tidemark.session import stage
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -46,11 +46,10 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the decoded ids are the text again."""
     held = bpe.load(spark, RANKS)
-    ids = fresh(docs, "ids")
-    encoded = bpe.encode(docs, held)
-    decoded = fresh(encoded, "decoded")
-    back = F.col(decoded) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return bpe.decode(encoded, held, ids).select(
+    encoded = bpe.encode(docs, held, decoded=True)
+    ids, decoded = encoded.columns[-2:]
+    back = F.col(quoted(decoded)) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return encoded.select(
         "doc_id",
         "lang",
         "source",

@@ -80,6 +80,9 @@ def test_columns_and_round_trip(spark):
     rows = back.collect()
     assert len(rows) == len(ODD)
     assert all(bytes(r.decoded_).decode() == (r.text or "") for r in rows)
+    both = bpe.encode(docs, held, decoded=True)
+    assert both.columns == back.columns
+    assert sorted(map(str, both.collect())) == sorted(map(str, rows))
     digests = bpe.digests(docs, held).collect()
     want = sorted((r.doc_id or 0, len(r.ids_), hashlib.sha256(",".join(map(str, r.ids_)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in rows)
     assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digests) == want

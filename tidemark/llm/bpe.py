@@ -246,12 +246,16 @@ def _texts(body: np.ndarray, begins: np.ndarray) -> Iterator[str]:
         yield raw[a:b].decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, held, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, held, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """All columns of `docs` and `ids`, the tokens of the text. NULL and empty texts have no ids.
 
-    The new column is `ids_`, ... if `docs` has such a column already.
+    With `decoded`, the bytes that the ids stand for are the last column; made in the same pass, they need no
+    second Python worker. The new columns are `ids_`, ... if `docs` has such a column already.
     """
-    name, at = fresh(docs, "ids"), docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
+    new = [T.StructField(fresh(docs, "ids"), T.ArrayType(T.IntegerType()))]
+    if decoded:
+        new.append(T.StructField(fresh(docs, "decoded"), T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = held.value.tokenizer()
@@ -261,12 +265,15 @@ def encode(docs: DataFrame, held, text_col: str = "text") -> DataFrame:
                 made = list_array(
                     np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(x) for x in ids]), pa.int32()
                 )
+                added = [made]
+                if decoded:
+                    added.append(pa.array([tok.decode(x) for x in ids], pa.binary()))
                 rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, made], names=[*rows.schema.names, name]
+                    [*rows.columns, *added], names=[*rows.schema.names, *[f.name for f in new]]
                 )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.schema.fields, *new])
     return numbered(docs).mapInArrow(run, schema)
 
 
