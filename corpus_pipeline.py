@@ -34,8 +34,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than 5 % of the words lie in passages of the benchmark."""
-    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    """Rows of which less than 5 % of the words lie in passages of the benchmark, each judged by itself."""
+    return decontaminate.drop_contaminated_rows(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tests.llm.helpers import ODD, documents, hit_words, sentence
 from tidemark.llm import decontaminate
 
@@ -81,5 +82,16 @@ def test_contaminated_documents_go(spark):
     assert [r.doc_id for r in kept.collect()] == [2]
 
 
+def test_pipeline_judges_each_row_by_itself(spark, tmp_path):
+    """Clean rows stay though a contaminated one has their id, or none as they have."""
+    items(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(1, sentence(70, 50)), (None, "x"), (None, sentence(71, 50)), (None, None), (None, "")]
+    rows = clean + [(1, LONG), (None, LONG), (None, LONG), (3, LONG)]
+    docs = documents(spark, [(i, t, "en") for i, t in rows])
+    kept = corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path))
+    assert kept.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(clean, key=str)
+
+
 def test_empty_documents(spark):
     assert decontaminate.contamination(documents(spark, []), items(spark)).count() == 0

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import NO_ALNUM, U64, fresh, grams, list_array, mix, narrow, pieces, signed, words
+from tidemark.llm.common import NO_ALNUM, U64, fresh, grams, list_array, mix, narrow, numbered, pieces, signed, words
+from tidemark.operators.groups import attach_facts
 from tidemark.session import stage
 
 SPAN = 13
@@ -290,8 +291,23 @@ def drop_contaminated(
     """The documents that are not contaminated, all columns.
 
     An id is dropped if one of its rows is contaminated; rows without an id are judged together.
+    `drop_contaminated_rows` judges each row by itself.
     """
     bad = contamination(docs, items, id_col, text_col).where("contaminated")
     mark = fresh(docs, "bad_id")
     bad = bad.select(F.col("doc_id").alias(mark)).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(F.col(mark)), "left_anti")
+
+
+def drop_contaminated_rows(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that are not contaminated, all columns. Each is judged by its own text, whatever its id.
+
+    A verdict follows from the text alone, so it comes back to its rows by the SHA-256 of the text.
+    """
+    flat = numbered(docs)
+    text = flat.columns[docs.columns.index(text_col)]
+    flat = flat.withColumn("mark", F.unhex(F.sha2(F.col(text).cast("binary"), 256)))
+    bad = contamination(flat, items, "mark", text).where("contaminated")
+    bad = bad.groupBy(F.col("doc_id").alias("mark")).agg(F.count(F.lit(1)).alias("n_rows"))
+    kept = attach_facts(flat, bad, ["mark"], "n_rows").where("n_rows is null")
+    return kept.drop("mark", "n_rows").toDF(*docs.columns)
