@@ -102,6 +102,28 @@ def test_compaction_takes_only_new_files(spark, records, tmp_path):
     assert changed and all("to-20240101-000100" in path for path in changed)
 
 
+def test_compaction_takes_files_that_land_while_it_runs(spark, records, tmp_path, monkeypatch):
+    """The file comes after the source was listed, and is older than what the run writes."""
+    source, target = str(tmp_path / "small"), str(tmp_path / "merged")
+    placed = ndjson.placed_lines(records.repartition(6))
+    placed.write.partitionBy("dest", "win").text(source)
+    closed = "20240101-000200"
+    write = ndjson.write_windows
+
+    def late(*args, **options):
+        one = placed.filter("win like '%-to-20240101-000100'").limit(1)
+        one.write.mode("append").partitionBy("dest", "win").text(source)
+        time.sleep(1.1)
+        write(*args, **options)
+
+    monkeypatch.setattr(ndjson, "write_windows", late)
+    ndjson.compact_windows(spark, source, target, closed)
+    monkeypatch.setattr(ndjson, "write_windows", write)
+    ndjson.compact_windows(spark, source, target, closed)
+    small = [r.value for r in stored(spark, source)[0] if "000200-to" not in r.win]
+    assert Counter(r.value for r in stored(spark, target)[0]) == Counter(small)
+
+
 def test_lines_of_one_table(spark, tmp_path):
     rows = change_frame(spark, [change("t", "1", at("00:00:07.179575"))]).drop("table_name")
     ndjson.write_lines(rows, str(tmp_path / "out"), rows.columns)

@@ -14,6 +14,9 @@ from tidemark.session import folder_exists, folder_names, stage
 
 PLACE = ["dest", "win"]
 STORED_DDL = "value string, dest string, win string"
+# Under the target of a compaction: which source files each window was merged from. Readers pass it over.
+MERGED = "_merged"
+MERGED_DDL = "dest string, win string, files long, mark long, run long"
 # Above this many rows a window of a table is written as several files.
 MAX_ROWS_PER_FILE = 5_000_000
 
@@ -112,13 +115,15 @@ def written_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _last_written(spark: SparkSession, path: str) -> DataFrame:
-    """(dest, win, at): when the newest file of each window was written; contents are not read."""
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(dest, win, files, mark): the files of each window, counted, and a hash of all their names, lengths and
+    times; contents are not read."""
     if not any(name.startswith("dest=") for name in folder_names(spark, path)):
-        return spark.createDataFrame([], "dest string, win string, at timestamp")
+        return spark.createDataFrame([], "dest string, win string, files long, mark long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     place = [F.col(c).cast("string").alias(c) for c in PLACE]
-    return files.groupBy(*place).agg(F.max("modificationTime").alias("at"))
+    one = F.xxhash64("path", "length", "modificationTime")
+    return files.groupBy(*place).agg(F.count(F.lit(1)).alias("files"), F.bit_xor(one).alias("mark"))
 
 
 def compact_windows(
@@ -126,17 +131,25 @@ def compact_windows(
 ) -> None:
     """Rewrite the small files of closed windows under `source` as one file each under `target`.
 
-    A window is closed if it ends at or before `closed_before` (`20240101-000100`). Only windows with a
-    file newer than what `target` has of them are read; a run without any writes nothing. Running it
-    again replaces the same windows, so a job that failed half way can simply be repeated.
+    A window is closed if it ends at or before `closed_before` (`20240101-000100`). The files of a window are
+    listed before any is read, and the listing is recorded after the window is written: a window is
+    read again if its listing is no longer the recorded one, so a file that lands during a run is taken by
+    the next. A run without such windows writes nothing. Running it again replaces the same windows,
+    so a job that failed half way can simply be repeated.
     """
     end = F.substring_index("win", "-to-", -1)
-    new = _last_written(spark, source).filter(end <= closed_before)
-    if folder_exists(spark, target):
-        done = _last_written(spark, target).withColumnRenamed("at", "_done")
-        new = new.join(done, PLACE, "left").filter("_done is null or at > _done")
-    new = stage(new.select(*PLACE), "new-windows")
+    new, record, run = _listed(spark, source).filter(end <= closed_before), f"{target}/{MERGED}", 0
+    if folder_exists(spark, record):
+        merged = spark.read.schema(MERGED_DDL).parquet(record)
+        run = (merged.agg(F.max("run")).first()[0] or 0) + 1
+        last = merged.groupBy(*PLACE).agg(
+            F.max_by("files", "run").alias("files"), F.max_by("mark", "run").alias("mark")
+        )
+        done = last.join(_listed(spark, target).select(*PLACE), PLACE, "left_semi")
+        new = new.join(done, [*PLACE, "files", "mark"], "left_anti")
+    new = stage(new, "new-windows")
     if new.isEmpty():
         return
-    rows = read_windows(spark, source).join(new, PLACE, "left_semi")
+    rows = read_windows(spark, source).join(new.select(*PLACE), PLACE, "left_semi")
     write_windows(rows, target, mode="overwrite", **options)
+    new.select(*PLACE, "files", "mark", F.lit(run).cast("long").alias("run")).write.mode("append").parquet(record)
