@@ -49,6 +49,11 @@ def test_links_of_parts_are_found():
     assert minhash._linked(sets, np.zeros(5, int), one, 80) == []
 
 
+def test_a_band_has_four_permutations():
+    assert all(len(set(band)) == minhash.ROWS for band in (minhash._ORDER % minhash.PERMUTATIONS).tolist())
+    assert sorted(minhash._ORDER.ravel().tolist()) == list(range(2 * minhash.PERMUTATIONS))
+
+
 def test_odd_documents(spark):
     got = sorted(result(minhash.near_duplicates(documents(spark), shingle=4)), key=str)
     assert len(got) == len(ODD)

@@ -42,8 +42,9 @@ BLOCK_SHINGLES = 1_000_000
 _RNG = np.random.default_rng(7)
 _MULT = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(U64) | U64(1)
 _XOR = _RNG.integers(1, 2**63, PERMUTATIONS, dtype=np.int64).astype(U64)
-# Bands take minima and maxima in turn, never both of one permutation.
-_ORDER = np.arange(2 * PERMUTATIONS).reshape(ROWS, BANDS).T
+# A band takes two minima, and two maxima of other permutations: those are rolled by half the bands.
+_PLACES = np.arange(PERMUTATIONS)
+_ORDER = np.concatenate([_PLACES, PERMUTATIONS + np.roll(_PLACES, BANDS // 2)]).reshape(ROWS, BANDS).T
 
 
 def shingle_sets(
