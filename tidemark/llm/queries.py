@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprints, langid, lm, minhash, pii, quality, sharding, toxicity
+from tidemark.llm import bpe, decontaminate, fingerprints, langid, lm, minhash, packing, pii, quality, sharding, toxicity
 from tidemark.llm.common import remainder
+from tidemark.session import shared_path
 
 RANKS = corpus_pipeline.RANKS
 
@@ -86,6 +88,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and read again; the rows come from the files."""
+    path = shared_path(spark, "packed")
+    packing.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packing.read(spark, path, digests=True)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_extendible,
         op9_language,
         op10_winnowing,
+        op13_packing,
         pipeline,
     )
 }
