@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, fingerprints, langid, lm, minhash, packing, pii, quality, sharding, toxicity
+from tidemark.llm import alignment, bpe, decontaminate, fingerprints, langid, lm, minhash, packing, pii, quality, sharding, toxicity
 from tidemark.llm.common import remainder
 from tidemark.session import shared_path
 
@@ -88,6 +88,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", _held_out(3, 1), "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = public_tokenizers.path
+    held = alignment.load(spark, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+    return alignment.digests(docs, held, alignment.count_pairs(docs, held))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written and read again; the rows come from the files."""
     path = shared_path(spark, "packed")
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_extendible,
         op9_language,
         op10_winnowing,
+        op11_alignment,
         op13_packing,
         pipeline,
     )
