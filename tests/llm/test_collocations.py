@@ -1,0 +1,158 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import ODD, SF, documents
+from tidemark.llm import collocations
+
+
+def counted(rows, longest=4):
+    """Words by language, and phrases as tuples with their counts."""
+    totals, f = Counter(), Counter()
+    for _, text, lang in rows:
+        lang = "und" if lang is None else lang
+        lowered = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(w)
+            for n in range(1, longest + 1):
+                for i in range(len(w) - n + 1):
+                    f[lang, tuple(w[i : i + n])] += 1
+    return totals, f
+
+
+def mined(rows, least, top=2000, longest=4, percent=80):
+    totals, f = counted(rows, longest)
+    often = {k: n for k, n in f.items() if n >= least}
+    inside = defaultdict(int)
+    for (lang, p), n in often.items():
+        for size in range(2, len(p)):
+            for i in range(len(p) - size + 1):
+                inside[lang, p[i : i + size]] = max(inside[lang, p[i : i + size]], n)
+    by_lang = defaultdict(list)
+    for (lang, p), a in often.items():
+        if len(p) < 2 or 100 * inside[lang, p] >= percent * a:
+            continue
+        cuts = [(2_000_000 * a // (f[lang, p[:k]] + f[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        by_lang[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return {
+        (lang, rank, p.decode(), -a, left, right, totals[lang], -score)
+        for lang, found in by_lang.items()
+        for rank, (score, a, p, left, right) in enumerate(sorted(found)[:top], 1)
+    }
+
+
+def rows_of(n, seed=3):
+    rnd = random.Random(seed)
+    vocabulary = ["the", "The", "of", "a", "b", "é", "É", "漢", "new", "york", "times", "\x00", "ß", "x\x1cy"]
+    glue = [" ", " ", " ", "  ", "\t", ". ", ", ", "\n", "!?", "\x0b", " ; "]
+    out = []
+    for k in range(n):
+        text = "".join(rnd.choice(vocabulary) + rnd.choice(glue) for _ in range(rnd.randint(0, 40)))
+        out.append((k, text, rnd.choice(["en", "en", "de", None, "und", "", "x y"])))
+    return out
+
+
+def found(spark, rows, **how):
+    return {tuple(r) for r in collocations.mine(documents(spark, rows), **how).collect()}
+
+
+def test_like_the_definition(spark):
+    rows = rows_of(300) + ODD
+    assert found(spark, rows, least=3) == mined(rows, 3)
+    assert found(spark, rows, least=2, top=5, percent=50) == mined(rows, 2, top=5, percent=50)
+
+
+def test_small_shards_many_ranges_and_hot_words(spark, monkeypatch):
+    """Many automata per range; one word begins most phrases, so its range is cut and copied."""
+    monkeypatch.setattr(collocations, "BLOCK", 500)
+    rows = rows_of(150) + [(1000 + k, " ".join(f"the w{j % 17} v{j % 5}" for j in range(k, k + 30)), "en") for k in range(60)]
+    docs = documents(spark, rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        held = collocations.count(docs, least=2)
+        assert len(held.bounds) > 5
+        got = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in collocations.phrases(held).collect()}
+        assert got == {k: n for k, n in counted(rows)[1].items() if n >= 2}
+        assert found(spark, rows, least=2) == mined(rows, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("longest", [2, 3, 5])
+def test_other_lengths(spark, longest):
+    rows = rows_of(60, seed=longest)
+    assert found(spark, rows, least=2, longest=longest) == mined(rows, 2, longest=longest)
+
+
+def test_given_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    assert {tuple(r) for r in collocations.mine(docs, least=10).collect()} == mined(rows, 10)
+
+
+def test_scores_of_large_counts(spark):
+    """2,000,000 times a count passes 64 bits."""
+    a = 9_000_000_000_000
+    row = spark.createDataFrame([(a, a + 1, a + 5)], "a long, l1 long, r1 long")
+    got = row.select(F.expr("(cast(a as decimal(24,0)) * 2000000) div (cast(l1 as decimal(24,0)) + r1)").cast("long")).first()[0]
+    assert got == 2_000_000 * a // (2 * a + 6)
+
+
+def test_nothing_to_find(spark):
+    assert found(spark, []) == set()
+    assert found(spark, [(1, None, "en"), (2, "", None), (3, " . ", "de")], least=1) == set()
+    with pytest.raises(ValueError):
+        collocations.count(documents(spark), longest=1)
+
+
+def random_paths(rnd, n):
+    return Counter(("en", *[rnd.choice("abcd") for _ in range(rnd.randint(1, 4))]) for _ in range(n))
+
+
+def as_trie(paths):
+    keys = [tuple(s.encode() for s in p) for p in paths]
+    trie, node = collocations.trie_of(keys, 5)
+    for p, k, n in zip(keys, node.tolist(), paths.values()):
+        trie.weight[len(p) - 1][k] += n
+    return trie
+
+
+def as_paths(trie):
+    return {tuple(s.decode() for s in p): n for _, every, weights in collocations.paths(trie) for p, n in zip(every, weights) if n}
+
+
+def test_automata():
+    rnd = random.Random(1)
+    for _ in range(100):
+        one, two = random_paths(rnd, rnd.randint(1, 80)), random_paths(rnd, rnd.randint(1, 80))
+        auto = collocations.Automaton.build(as_trie(one))
+        assert len(auto.sizes) <= len(as_trie(one)) + 1
+        back = collocations.Automaton.from_bytes(auto.to_bytes())
+        assert as_paths(back.expand()) == one
+        both = collocations.union([as_trie(one), as_trie(two)])
+        assert as_paths(both) == one + two
+        assert as_paths(collocations.pruned(both, 3)) == {p: n for p, n in (one + two).items() if n >= 3}
+        asked, node = collocations.trie_of([tuple(s.encode() for s in p) for p in two], 5)
+        weights = back.compose(asked)
+        assert [weights[len(p) - 1][k] for p, k in zip(two, node.tolist())] == [one.get(p, 0) for p in two]
+        bounds = sorted({(b"en", x.encode(), y.encode()) for x in "abc" for y in rnd.choice(["b", "bd", "", "cz"])})
+        parts = dict(collocations.cut(as_trie(one), bounds))
+        pieces = [as_paths(collocations.Automaton.build(t).expand()) for t in parts.values()]
+        assert sum(map(len, pieces)) == len(one) and {k: n for p in pieces for k, n in p.items()} == one
+        for r, trie in parts.items():
+            for p in as_paths(trie):
+                key = tuple(s.encode() for s in (*p, "")[:3])
+                assert (r == 0 or bounds[r - 1] <= key) and (r == len(bounds) or key < bounds[r])
+
+
+def test_states_that_go_on_alike_are_one():
+    trie = as_trie(Counter({("en", x, "new", "york"): 2 for x in "abcdefgh"}))
+    auto = collocations.Automaton.build(trie)
+    assert len(auto.label) == 1 + 8 + 1 + 1
+    assert np.array_equal(auto.expand().label[3], trie.label[3])

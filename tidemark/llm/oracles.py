@@ -87,4 +87,45 @@ SELECT doc_id, n_bytes, CAST(depth AS INTEGER) AS depth,
 FROM keyed JOIN depths USING (key) LEFT JOIN crowds USING (key)
 """
 
-ORACLES = {"op3_minhash": OP3, "op8_extendible": OP8, "op10_winnowing": OP10}
+OP12 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), listed AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM listed GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(ws[p:p + k - 1], ' ') AS g
+  FROM (
+    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS p
+    FROM listed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k
+  )
+), f AS (SELECT lang, k, g, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 30),
+parted AS (
+  SELECT lang, g, k, n AS a, string_split(g, ' ') AS ws, unnest(range(1, k)) AS c FROM f WHERE k > 1
+), scored AS (
+  SELECT p.lang, p.g, p.k, p.a, c, x.n AS l, y.n AS r,
+    CAST((2000000::HUGEINT * p.a) // (x.n + y.n) AS BIGINT) AS score
+  FROM parted p
+  JOIN f x ON x.lang = p.lang AND x.g = array_to_string(ws[1:c], ' ')
+  JOIN f y ON y.lang = p.lang AND y.g = array_to_string(ws[c + 1:], ' ')
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, c) AS place FROM scored
+), held AS (
+  SELECT DISTINCT s.lang, s.g FROM f s JOIN f o
+    ON o.lang = s.lang AND o.k > s.k AND 100 * o.n >= 80 * s.n
+    AND contains(' ' || o.g || ' ', ' ' || s.g || ' ')
+  WHERE s.k > 1
+), ranked AS (
+  SELECT lang, g, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank
+  FROM lowest ANTI JOIN held USING (lang, g) WHERE place = 1
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+  CAST(r AS BIGINT) AS r, n, score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op3_minhash": OP3, "op8_extendible": OP8, "op10_winnowing": OP10, "op12_collocations": OP12}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, bpe, decontaminate, fingerprints, langid, lm, minhash, packing, pii, quality, sharding, toxicity
+from tidemark.llm import alignment, bpe, collocations, decontaminate, fingerprints, langid, lm, minhash, packing, pii, quality, sharding, toxicity
 from tidemark.llm.common import remainder
 from tidemark.session import shared_path
 
@@ -95,6 +95,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(docs, held, alignment.count_pairs(docs, held))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written and read again; the rows come from the files."""
     path = shared_path(spark, "packed")
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language,
         op10_winnowing,
         op11_alignment,
+        op12_collocations,
         op13_packing,
         pipeline,
     )
