@@ -125,6 +125,17 @@ def test_words_are_encoded_as_in_the_text(plain, pair):
             assert [i for x in found for i in x[1]] == [i for i, _ in b], repr(text)
 
 
+def test_all_words_at_once(plain, pair):
+    """One text for all words that allow it; the odd ones among them are found."""
+    assert pair.marked
+    words = sorted({w for t in random_texts(3000) for w in pair.words(t)} | {"word" + m for m in (".", "...", "?!,", ";")})
+    a, b, a_at, b_at, which = pair.encode_all(words)
+    alone = pair.encode(words)
+    assert set(which.tolist()) == {k for k, x in enumerate(alone) if x is not None} and len(set(which.tolist())) == len(which)
+    for j, k in enumerate(which.tolist()):
+        assert (a[a_at[j] : a_at[j + 1]].tolist(), b[b_at[j] : b_at[j + 1]].tolist()) == alone[k]
+
+
 def dense(m):
     out = np.zeros((len(m.at) - 1, m.width), np.int64)
     np.add.at(out, (m.rows, m.columns), m.values)
@@ -190,12 +201,16 @@ def test_given_documents(spark, plain):
 
 def test_memory_and_empty_table(spark, pair, monkeypatch):
     monkeypatch.setattr(alignment, "MEMO", 3)
-    memory = alignment.Memory(lambda new: [x.groups for x in alignment.align_words(pair, new)])
-    for words in (["one", "two", "three", "four"], ["one", "five", "x" * 200], ["two", "six"]):
+    alone = {w: alignment.align_words(pair, [w]).groups[0] for w in ["one", "two.", "three", "four", "five!?", "six", "x" * 200]}
+    memory = alignment.Memory(
+        lambda new: alignment.align_words(pair, new).groups, lambda x, y: x + b";" + y, lambda x, y: x[len(y) + 1 :]
+    )
+    for words in (["one", "two.", "three", "four"], ["one", "five!?", "x" * 200], ["two.", "six"]):
         long = memory.learn(set(words))
-        assert all(memory.young[w] == alignment.align_words(pair, [w])[0].groups for w in words)
+        assert all(memory.young[w] == alone[w] for w in words)
         memory.forget(long)
         assert "x" * 200 not in memory.young
+    monkeypatch.undo()
     docs, held = documents(spark, []), alignment.load(spark, A, B)
     assert alignment.digests(docs, held, alignment.count_pairs(docs, held)).count() == 0
     assert alignment.align(docs, held).count() == 0

@@ -52,13 +52,19 @@ def test_blocks_are_read_alone(bits):
         packing.PackedFile(bytes(broken))
 
 
+def encoded(words, texts):
+    raw = [t.encode() for t in texts]
+    begins = np.cumsum([0, *map(len, raw)])
+    return words.encode(np.frombuffer(b"".join(raw), np.uint8), begins)
+
+
 def test_word_by_word_is_the_whole_text(library):
     rnd = random.Random(3)
     alphabet = ["a", "B", "'s", "'re", " ", "  ", "\n", "\x0b", "\x1c", "\x85", " ", "́", "é", "É", "Σ", "İ", "1", "²", "漢", "🙂", "<|endoftext|>", "<|startof", "!", " ", "‍", "ﬁ", "the"]
     words = packing.Words(library.to_str())
     texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 30))) for _ in range(4000)]
     texts += ["".join(rnd.choices("ab9Z+/", k=20_000)), "x" * 9000 + "7" * 9000 + "é" * 500]
-    got = words.encode([t.encode() for t in texts])
+    got = encoded(words, texts)
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, "<u4").tolist() == whole(library, text), repr(text)[:80]
 
@@ -67,7 +73,7 @@ def test_memory_starts_anew(library, monkeypatch):
     monkeypatch.setattr(packing, "MEMO", 5)
     words = packing.Words(library.to_str())
     for text in ["one two three", "four five six seven", "one two eight nine ten", "x" * 100 + " one"] * 3:
-        assert np.frombuffer(words.encode([text.encode()])[0], "<u4").tolist() == whole(library, text)
+        assert np.frombuffer(encoded(words, [text])[0], "<u4").tolist() == whole(library, text)
         assert len(words.young) <= 12 and not any(len(w) > packing.MEMO_BYTES for w in words.young)
 
 

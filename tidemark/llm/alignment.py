@@ -7,10 +7,10 @@ with how many bytes: the links. Where tokens of both end, a group ends; the prod
 by groups holds all pairs that share a group. The matrices are compressed rows (`Csr`), made here.
 
 Neither tokenizer looks across a single space between two characters that are not white space, if no piece of B
-has a space behind another character (`load` tests that). So a text falls into words, each with its
-space, and no token, group or link crosses their borders. Every word of a batch of new words is encoded and
-multiplied once, all in one product, and remembered in two halves of up to `MEMO`; texts are
-sums over their words.
+has a space behind another character (`Pair` looks). So a text falls into words, each with its space, and no
+token, group or link crosses their borders; nor, if no piece has them together, the border between a letter
+and a mark (`.,;:!?`). The new words of a batch are encoded as one text and multiplied in one product, and
+remembered in two halves of up to `MEMO`; texts are sums over their words.
 
 How often an id pair is linked in the whole corpus is summed by Spark. The most frequent pairs, at most
 `TABLE`, are broadcast; links of rarer pairs are joined with their counts.
@@ -35,11 +35,13 @@ from tidemark.llm.common import fresh, list_array, narrow, numbered, pieces
 from tidemark.session import stage
 
 TABLE = 1 << 20  # pairs that are broadcast: 17 bytes each
-MEMO = 60_000
+MEMO = 120_000
 MEMO_CHARS = 64  # longer words are not remembered
 PIECE_BYTES = 1 << 19
 PENDING = 1 << 21  # pairs a task holds before it sums them, and distinct ones before it hands them on
 
+_MARKS = ".,;:!?"
+_LETTER_MARK = re.compile("[A-Za-z][.,;:!?]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _UNEVEN = re.compile(r" (?:\s|\Z)|\s ")
 
@@ -133,7 +135,7 @@ class Pair:
         for token, k in self.a.get_vocab().items():
             if k not in special:
                 self.a_bytes[k] = bytes(letters[c] for c in token)
-        self.b_bytes, self.closed = [], True
+        self.b_bytes, self.closed, self.marked = [], True, True
         for k in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(k)
             if self.b.is_byte(k):
@@ -143,8 +145,15 @@ class Pair:
             else:
                 self.b_bytes.append(piece.replace("▁", " ").encode())
                 self.closed &= "▁" not in piece.lstrip("▁")
+                self.marked &= not _LETTER_MARK.search(piece)
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.a_first = np.array([x[:1] == b" " for x in self.a_bytes])
+        self.b_first = np.array([x[:1] == b" " for x in self.b_bytes])
+        # The ids as text, with what follows them: another token of the same side, or the end of the side in its group.
+        self.a_text = np.array([[f"{k}{c}" for k in range(len(self.a_bytes))] for c in ",|"], object)
+        self.b_text = np.array([[f"{k}{c}" for k in range(len(self.b_bytes))] for c in ",;"], object)
+        self.a_chars, self.b_chars = (np.array([len(x) for x in t[0]], np.int64) for t in (self.a_text, self.b_text))
 
     @classmethod
     def of(cls, spec: str, model: bytes) -> Pair:
@@ -164,7 +173,7 @@ class Pair:
     def encode(self, words: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """The ids of each word, or None where the tokens do not spell it."""
         spaced = [" " + w for w in words]
-        ours = self.a.encode_batch(spaced, add_special_tokens=False)
+        ours = self.a.encode_batch_fast(spaced, add_special_tokens=False)
         theirs = self.b.encode(words, num_threads=1)
         out: list[tuple[list[int], list[int]] | None] = []
         for word, e, b in zip(spaced, ours, theirs):
@@ -173,6 +182,64 @@ class Pair:
             out.append((a, b) if same and all(map(self.b_bytes.__getitem__, b)) else None)
         return out
 
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, ...] | None:
+        """Ids of A and B, and the first ones of each word, from one text of all words; None if that can't be told."""
+        text = " ".join(words)
+        raw = (" " + text).encode()
+        a_ids = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b_ids = self.b.encode(text, num_threads=1)
+        for ids, spelled in ((a_ids, self.a_bytes), (b_ids, self.b_bytes)):
+            if b"".join(map(spelled.__getitem__, ids)) != raw:
+                return None
+        a_ids, b_ids = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        starts = np.cumsum([0, *[len(w.encode()) + 1 for w in words[:-1]]])
+        out = [a_ids, b_ids]
+        for ids, size, first in ((a_ids, self.a_size, self.a_first), (b_ids, self.b_size, self.b_first)):
+            at = np.flatnonzero(first[ids])
+            end = np.cumsum(size[ids])
+            if (size[ids] == 0).any() or len(at) != len(words) or ((end - size[ids])[at] != starts).any():
+                return None
+            out.append(np.append(at, len(ids)))
+        return tuple(out)
+
+    def encode_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of all words that tokens spell, where each word's begin, and which words these are."""
+        alone, together = [], []
+        for k, w in enumerate(words):
+            plain = self.closed and w and " " not in w and not (w[0].isspace() or w[-1].isspace())
+            (together if plain else alone).append(k)
+        found: list[tuple[int, list[int], list[int]]] = []
+        runs, waiting = [], [together] if together else []
+        while waiting:
+            own = waiting.pop()
+            got = self._joined([words[k] for k in own])
+            if got is not None:
+                runs.append((own, got))
+            elif len(own) > 16:
+                # Some word is odd: look for it.
+                waiting += [own[: len(own) // 2], own[len(own) // 2 :]]
+            else:
+                alone += own
+        for k, ids in zip(alone, self.encode([words[k] for k in alone])):
+            if ids is not None:
+                found.append((k, *ids))
+        parts = [(own, *got) for own, got in runs]
+        if found:
+            sides = [[np.array(f[side], np.int64) for f in found] for side in (1, 2)]
+            ends = [np.cumsum([0, *map(len, side)]) for side in sides]
+            parts.append(([f[0] for f in found], *map(np.concatenate, sides), *ends))
+        if not parts:
+            none = np.zeros(0, np.int64)
+            return none, none, np.zeros(1, np.int64), np.zeros(1, np.int64), none
+        a_at, b_at, a_n, b_n = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0, 0
+        for _, a, b, x, y in parts:
+            a_at.append(x[1:] + a_n)
+            b_at.append(y[1:] + b_n)
+            a_n, b_n = a_n + len(a), b_n + len(b)
+        ids = [np.concatenate([p[side] for p in parts]) for side in (1, 2)]
+        which = np.concatenate([np.array(p[0], np.int64) for p in parts])
+        return *ids, np.concatenate(a_at), np.concatenate(b_at), which
+
 
 def load(spark: SparkSession, a_path: str, b_path: str):
     """Both tokenizers for use in tasks. The files are read in the driver only; their size doesn't follow the data."""
@@ -185,81 +252,105 @@ def load(spark: SparkSession, a_path: str, b_path: str):
 
 @dataclass
 class Aligned:
-    """The alignment of one word. `keys` has `a << 32 | b` for each link."""
-
-    n_a: int
-    n_b: int
-    groups: bytes
-    n_groups: int
+    """Alignments of words. `which` are the words that tokens spell; the links of word `which[k]` are those from
+    `link_at[k]` to `link_at[k + 1]`. `keys` has `a << 32 | b` for each link."""
+
+    which: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    link_at: np.ndarray
     keys: np.ndarray
+    groups: list[bytes]
 
 
-def align_words(pair: Pair, words: list[str]) -> list[Aligned | None]:
-    """Alignments of words, from one product for all of them; None where the tokens don't spell the word."""
-    found = pair.encode(words)
-    good = [x for x in found if x is not None]
-    if not good:
-        return [None] * len(words)
-    a_ids = np.concatenate([np.array(a, np.int64) for a, _ in good])
-    b_ids = np.concatenate([np.array(b, np.int64) for _, b in good])
+def align_words(pair: Pair, words: list[str], groups: bool = True) -> Aligned:
+    """Alignments of words, from one product for all of them; without `groups`, only the links."""
+    a_ids, b_ids, a_at, b_at, which = pair.encode_all(words)
     a_size, b_size = pair.a_size[a_ids], pair.b_size[b_ids]
     links = product(token_bytes(a_size), token_bytes(b_size).transposed())
-    key = (a_ids[links.rows] << 32) | b_ids[links.columns]
-    ends = group_ends(a_size, b_size)
-    a_group = token_groups(a_size, ends).transposed()
-    b_group = token_groups(b_size, ends).transposed()
-    # The words end groups, too: their ends are ends of tokens of both.
-    a_at = np.cumsum([0, *[len(a) for a, _ in good]])
-    b_at = np.cumsum([0, *[len(b) for _, b in good]])
-    group_at = np.searchsorted(a_group.at, a_at)
-    link_at = links.at[a_at]
-    a_text, b_text = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    a_cut, b_cut = a_group.at.tolist(), b_group.at.tolist()
-    joined = [
-        f"{','.join(a_text[a:a2])}|{','.join(b_text[b:b2])}" for a, a2, b, b2 in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])
-    ]
-    made = iter(
-        Aligned(
-            int(a_at[k + 1] - a_at[k]),
-            int(b_at[k + 1] - b_at[k]),
-            ";".join(joined[group_at[k] : group_at[k + 1]]).encode(),
-            int(group_at[k + 1] - group_at[k]),
-            key[link_at[k] : link_at[k + 1]],
-        )
-        for k in range(len(good))
-    )
-    return [None if x is None else next(made) for x in found]
+    keys = (a_ids[links.rows] << 32) | b_ids[links.columns]
+    out = Aligned(which, np.diff(a_at), np.diff(b_at), np.zeros(len(which), np.int64), links.at[a_at], keys, [])
+    if groups and len(which):
+        ends = group_ends(a_size, b_size)
+        a_group, b_group = token_groups(a_size, ends), token_groups(b_size, ends)
+        a_cut, b_cut = a_group.transposed().at, b_group.transposed().at
+        # The words end groups, too: their ends are ends of tokens of both.
+        out.n_groups = np.diff(np.searchsorted(a_cut, a_at))
+        # Each group's tokens of A, then its tokens of B.
+        a_place = np.arange(len(a_ids)) + b_cut[a_group.columns]
+        b_place = np.arange(len(b_ids)) + a_cut[b_group.columns + 1]
+        text, size = np.empty(len(a_ids) + len(b_ids), object), np.empty(len(a_ids) + len(b_ids), np.int64)
+        a_last = np.zeros(len(a_ids), np.int64)
+        a_last[a_cut[1:] - 1] = 1
+        b_last = np.zeros(len(b_ids), np.int64)
+        b_last[b_cut[1:] - 1] = 1
+        text[a_place], text[b_place] = pair.a_text[a_last, a_ids], pair.b_text[b_last, b_ids]
+        size[a_place], size[b_place] = pair.a_chars[a_ids], pair.b_chars[b_ids]
+        joined = "".join(text.tolist()).encode()
+        at = np.concatenate([[0], np.cumsum(size)])[a_at + b_at].tolist()
+        out.groups = [joined[x : y - 1] for x, y in zip(at, at[1:])]
+    return out
 
 
 class Memory:
-    """What is known of words, in two halves; `make` turns new words into what is to be known."""
+    """What is known of words, in two halves; None for words that tokens don't spell.
+
+    `make` turns a list of words into what is to be known. A word of letters and marks is put together (`join`) from the
+    two, which tokens never cross; what is known of marks is what they add to a letter (`rest`).
+    """
 
-    def __init__(self, make):
-        self.make, self.young, self.older = make, {}, {}
+    def __init__(self, make, join, rest, marked: bool = True):
+        self.make, self.join, self.rest, self.marked = make, join, rest, marked
+        self.young, self.older, self.marks = {}, {}, {}
+
+    def _mark(self, marks: str):
+        if marks not in self.marks:
+            if len(self.marks) > 1000:
+                self.marks = {}
+            self.marks[marks] = self.rest(*self.make(["a" + marks, "a"]))
+        return self.marks[marks]
 
     def learn(self, words: set[str]) -> list[str]:
         """Make all of `words` known. Returns those too long to be remembered, for `forget`."""
         if len(self.young) > MEMO:
             self.older, self.young = self.young, {}
-        new = []
-        for word in words - self.young.keys():
-            if word in self.older:
-                self.young[word] = self.older[word]
+        young, older = self.young, self.older
+        new, ended, long = set(), [], []
+        for word in words - young.keys():
+            if word in older:
+                young[word] = older[word]
+                continue
+            if len(word) > MEMO_CHARS:
+                long.append(word)
+            stem = word.rstrip(_MARKS)
+            if self.marked and len(stem) < len(word) and stem and stem[-1].isascii() and stem[-1].isalpha():
+                ended.append((word, stem))
+                if stem in older and stem not in young:
+                    young[stem] = older[stem]
+                elif stem not in young:
+                    new.add(stem)
+                    if len(stem) > MEMO_CHARS:
+                        long.append(stem)
             else:
-                new.append(word)
-        new.sort(key=len)
+                new.add(word)
+        new = sorted(new, key=len)
         lo = 0
         while lo < len(new):
-            hi = min(len(new), lo + max(1, min(8192, 400_000 // (1 + len(new[lo])))))
-            while hi > lo + 1 and len(new[hi - 1]) * (hi - lo) > 4_000_000:
-                hi = lo + (hi - lo) // 2
-            self.young.update(zip(new[lo:hi], self.make(new[lo:hi])))
+            hi, size = lo, 0
+            while hi < len(new) and hi < lo + 8192 and (hi == lo or size + len(new[hi]) < 100_000):
+                size += len(new[hi])
+                hi += 1
+            young.update(zip(new[lo:hi], self.make(new[lo:hi])))
             lo = hi
-        return [w for w in new if len(w) > MEMO_CHARS]
+        for word, stem in ended:
+            whole = young[stem]
+            young[word] = None if whole is None else self.join(whole, self._mark(word[len(stem) :]))
+        return long
 
     def forget(self, words: list[str]) -> None:
         for word in words:
-            del self.young[word]
+            self.young.pop(word, None)
 
 
 def _texts(body: np.ndarray, begins: np.ndarray) -> list[str]:
@@ -282,7 +373,16 @@ def pair_counts(docs: DataFrame, held, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair.of(*held.value)
-        memory = Memory(lambda new: [None if x is None else x.keys.tobytes() for x in align_words(pair, new)])
+
+        def known_of(new: list[str]) -> list[bytes | None]:
+            found = align_words(pair, new, groups=False)
+            raw, at = found.keys.tobytes(), (8 * found.link_at).tolist()
+            out: list[bytes | None] = [None] * len(new)
+            for k, lo, hi in zip(found.which.tolist(), at, at[1:]):
+                out[k] = raw[lo:hi]
+            return out
+
+        memory = Memory(known_of, lambda x, y: x + y, lambda x, y: x[len(y) :], pair.marked)
         keys, counts, pending = [], [], 0
 
         def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -366,19 +466,31 @@ def digests(docs: DataFrame, held, counts: Counts, id_col: str = "doc_id", text_
         row = TaskContext.get().partitionId() << 36
 
         def known_of(new: list[str]) -> list[tuple | None]:
-            out: list[tuple | None] = []
-            for x in align_words(pair, new):
-                if x is None:
-                    out.append(None)
-                    continue
-                at = np.minimum(np.searchsorted(key, x.keys), max(0, len(key) - 1))
-                hit = key[at] == x.keys if len(key) else np.zeros(len(x.keys), bool)
-                at, rare = at[hit], x.keys[~hit]
-                facts = (x.n_a, x.n_b, x.n_groups, len(x.keys), int(best[at].sum()), int(number[at].sum()), len(rare))
-                out.append((np.array(facts, np.int64).tobytes(), x.groups, rare))
+            x = align_words(pair, new)
+            at = np.minimum(np.searchsorted(key, x.keys), max(0, len(key) - 1))
+            hit = key[at] == x.keys if len(key) else np.zeros(len(x.keys), bool)
+            best_of = np.where(hit, best[at], False) if len(key) else hit
+            number_of = np.where(hit, number[at], 0) if len(key) else np.zeros(len(hit), np.int64)
+            facts = np.zeros((len(x.which), 7), np.int64)
+            facts[:, 0], facts[:, 1], facts[:, 2], facts[:, 3] = x.n_a, x.n_b, x.n_groups, np.diff(x.link_at)
+            for column, value in ((4, best_of), (5, number_of), (6, ~hit)):
+                facts[:, column] = np.diff(np.concatenate([[0], np.cumsum(value)])[x.link_at])
+            raw, link_at = facts.tobytes(), x.link_at.tolist()
+            out: list[tuple | None] = [None] * len(new)
+            for j, (k, rare) in enumerate(zip(x.which.tolist(), facts[:, 6].tolist())):
+                lo, hi = link_at[j], link_at[j + 1]
+                out[k] = (raw[56 * j : 56 * j + 56], x.groups[j], x.keys[lo:hi][~hit[lo:hi]].tolist() if rare else ())
             return out
 
-        memory = Memory(known_of)
+        def sums(x: tuple, y: tuple, sign: int = 1) -> bytes:
+            return (np.frombuffer(x[0], np.int64) + sign * np.frombuffer(y[0], np.int64)).tobytes()
+
+        memory = Memory(
+            known_of,
+            lambda x, y: (sums(x, y), x[1] + b";" + y[1], (*x[2], *y[2])),
+            lambda x, y: (sums(x, y, -1), x[1][len(y[1]) + 1 :], tuple(x[2][len(y[2]) :])),
+            pair.marked,
+        )
         for batch in batches:
             for lo, hi, body, begins in pieces(batch.column(1), PIECE_BYTES):
                 split = [pair.words(t) for t in _texts(body, begins)]
@@ -398,7 +510,7 @@ def digests(docs: DataFrame, held, counts: Counts, id_col: str = "doc_id", text_
                     links = Counter()
                     if mine[6]:
                         for x in of:
-                            links.update(x[2].tolist())
+                            links.update(x[2])
                     rare.append([{"key": k, "m": m} for k, m in links.items()])
                 memory.forget(long)
                 table = np.stack(facts)

@@ -11,8 +11,8 @@ CRC-32 of all before; a line feed, as Spark's text writer ends its rows. Spark w
 run again leaves no second copy. `_files` beside them lists the files with the ids and positions they hold.
 
 A text is encoded word by word: its normalizer, its splitting and its merges never look across ASCII white space
-(nor, in a very long word, before an ASCII digit). Words are remembered in two halves of up to `MEMO`;
-when the younger one is full it takes the place of the older one.
+(nor between a letter and a mark behind it, nor, in a very long word, before an ASCII digit). New words of letters are
+encoded together, as one text. Words are remembered in two halves of up to `MEMO`; when the younger one is full it takes the place of the older one.
 """
 
 from __future__ import annotations
@@ -34,11 +34,19 @@ from tidemark.llm.common import list_array, narrow, pieces
 
 BLOCK = 4096
 FILE_TOKENS = 1 << 22
-MEMO = 100_000
+MEMO = 200_000
 MEMO_BYTES = 64  # longer words are not remembered
 LONG_WORD = 4096
 PIECE_BYTES = 1 << 18
 
+# ASCII letters and digits, the second bytes of the letters of Latin-1 in UTF-8, and the marks of ASCII
+# but for the one that special tokens have behind letters.
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_LATIN_1 = np.zeros(256, bool)
+_LATIN_1[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~"]] = True
 # Mark, version, bits of an id, ids of a block, task and number of the file in it, documents, ids,
 # bytes of the document ids.
 HEADER = struct.Struct("<8sHHIIIQQQ")
@@ -137,6 +145,22 @@ class PackedFile:
         return unpack(words, self.bits, hi - first * self.block)[lo - first * self.block :]
 
 
+def parted(body: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some texts with a space between a letter or digit and a mark behind it.
+
+    A tokenizer that takes letters, digits and other characters apart, and drops white space, does the same with both.
+    Letters are those of ASCII and Latin-1.
+    """
+    if len(body) < 2:
+        return body, begins
+    letter = _ALNUM[body[:-1]]
+    letter[1:] |= (body[:-2] == 0xC3) & _LATIN_1[body[1:-1]]
+    edge = _MARK[body[1:]] & letter
+    edge[begins[(begins > 0) & (begins < len(body))] - 1] = False
+    at = np.flatnonzero(edge) + 1
+    return np.insert(body, at, 0x20), begins + np.searchsorted(at, begins, "left")
+
+
 class Words:
     """Encodes texts with a tokenizer of the library, word by word."""
 
@@ -145,10 +169,25 @@ class Words:
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library = Tokenizer.from_str(spec)
         self.young: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.special = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
+        # Ids that end a piece, where the vocabulary marks them.
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        same = lambda a, b: self.library.encode(a, add_special_tokens=False).ids == self.library.encode(b, add_special_tokens=False).ids
+        self.lowers = same("ABC Xyz", "abc xyz")
+        self.parts = same("abc. 1, x", "abc . 1 , x") and not any(
+            _MARK[b] and _ALNUM[a] for t in self.special for a, b in zip(t, t[1:])
+        )
+        # The same model for lower case of ASCII, which needs no normalizer and no splitting but by spaces.
+        self.bare = Tokenizer.from_str(spec)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = WhitespaceSplit()
 
     @classmethod
     def of(cls, spec: str) -> Words:
@@ -163,22 +202,58 @@ class Words:
             found = [p for w in found for p in (re.split(rb"(?=[0-9])", w) if len(w) > LONG_WORD else [w]) if p]
         return found
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as bytes of u32, little-endian."""
+    def _texts(self, body: np.ndarray, begins: np.ndarray) -> list[bytes]:
+        """The texts in a form that has fewer different words, and the same ids."""
+        if self.parts:
+            body, begins = parted(body, begins)
+        raw = body.tobytes()
+        if self.lowers:
+            # The tokenizer lowers everything but its special tokens.
+            lowered = raw.lower()
+            if not any(t in lowered for t in self.special):
+                raw = lowered
+        at = begins.tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as bytes of u32."""
+        found: dict[bytes, bytes] = {}
+        plain, letters, rest = [], [], []
+        for word in words:
+            if self.lowers and word.isalpha() and word.islower():
+                plain.append(word)
+            else:
+                (letters if word.decode("utf-8", "replace").isalpha() else rest).append(word)
+        # A word of letters is one piece, which ends with a marked id: all of them are encoded as one text.
+        for own, library in ((plain, self.bare), (letters, self.library)):
+            if not own:
+                continue
+            text = b" ".join(own).decode("utf-8", "replace")
+            ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(own) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), (4 * cut).tolist()
+                found.update((w, raw[a:b]) for w, a, b in zip(own, [0, *at], at))
+            else:
+                rest += own
+        made = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, made))
+        return list(map(found.__getitem__, words))
+
+    def encode(self, body: np.ndarray, begins: np.ndarray) -> list[bytes]:
+        """The ids of each of some texts, which begin at `begins`, as bytes of u32, little-endian."""
         if len(self.young) > MEMO:
             self.older, self.young = self.young, {}
-        split = [self._split(t) for t in texts]
-        known, new = self.young, []
+        split = [self._split(t) for t in self._texts(body, begins)]
+        known, older, new = self.young, self.older, []
         for word in set().union(*split) - known.keys():
-            if word in self.older:
-                known[word] = self.older[word]
+            if word in older:
+                known[word] = older[word]
             else:
                 new.append(word)
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            made = self.library.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for word, e in zip(some, made):
-                known[word] = np.array(e.ids, "<u4").tobytes()
+        for lo in range(0, len(new), 2048):
+            some = new[lo : lo + 2048]
+            known.update(zip(some, self._ids(some)))
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in new:
             if len(word) > MEMO_BYTES:
@@ -224,8 +299,7 @@ def write(
 
         for batch in batches:
             for lo, hi, body, begins in pieces(batch.column(1), min(PIECE_BYTES, file_tokens)):
-                raw, at = body.tobytes(), begins.tolist()
-                made = [t + end for t in words.encode([raw[a:b] for a, b in zip(at, at[1:])])]
+                made = [t + end for t in words.encode(body, begins)]
                 ids.append(batch.column(0).slice(lo, hi - lo))
                 texts += made
                 n += sum(map(len, made)) // 4
