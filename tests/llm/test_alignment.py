@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import ODD, SF, documents
 from tidemark.llm import alignment
+from tidemark.session import stage
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -185,9 +186,10 @@ def test_digests_like_the_definition(spark, plain, table, monkeypatch):
     rows = [r for r in ODD if not r[1] or len(r[1]) < 5000]
     rows += [(200 + k, t, "en") for k, t in enumerate(random_texts(60))]
     docs, held = documents(spark, rows), alignment.load(spark, A, B)
-    counts = alignment.count_pairs(docs, held, most=table)
+    encoded = stage(alignment.encode(docs, held), "test")
+    counts = alignment.count_pairs(encoded, held, most=table)
     assert (counts.least == 0) == (table > 10_000)
-    got = [tuple(r)[1:] and (r.doc_id or 0, *tuple(r)[1:]) for r in alignment.digests(docs, held, counts).collect()]
+    got = [(r.doc_id or 0, *tuple(r)[1:]) for r in alignment.digests(encoded, counts).collect()]
     assert sorted(got) == sorted(expected(plain, rows))
 
 
@@ -195,7 +197,8 @@ def test_given_documents(spark, plain):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = alignment.load(spark, A, B)
-    got = {r.doc_id: tuple(r)[1:7] for r in alignment.digests(docs, held, alignment.count_pairs(docs, held)).collect()}
+    encoded = stage(alignment.encode(docs, held), "test")
+    got = {r.doc_id: tuple(r)[1:7] for r in alignment.digests(encoded, alignment.count_pairs(encoded, held)).collect()}
     assert got == {x[0]: x[1:7] for x in expected(plain, rows)}
 
 
@@ -212,5 +215,6 @@ def test_memory_and_empty_table(spark, pair, monkeypatch):
         assert "x" * 200 not in memory.young
     monkeypatch.undo()
     docs, held = documents(spark, []), alignment.load(spark, A, B)
-    assert alignment.digests(docs, held, alignment.count_pairs(docs, held)).count() == 0
+    encoded = stage(alignment.encode(docs, held), "test")
+    assert alignment.digests(encoded, alignment.count_pairs(encoded, held)).count() == 0
     assert alignment.align(docs, held).count() == 0

@@ -12,8 +12,9 @@ token, group or link crosses their borders; nor, if no piece has them together,
 and a mark (`.,;:!?`). The new words of a batch are encoded as one text and multiplied in one product, and
 remembered in two halves of up to `MEMO`; texts are sums over their words.
 
-How often an id pair is linked in the whole corpus is summed by Spark. The most frequent pairs, at most
-`TABLE`, are broadcast; links of rarer pairs are joined with their counts.
+Texts are encoded once: their pairs are kept with their digests. How often an id pair is linked in the whole corpus
+is summed by Spark. The most frequent pairs, at most `TABLE`, are broadcast; links of rarer pairs are joined with
+their counts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +37,12 @@ from tidemark.llm.common import fresh, list_array, narrow, numbered, pieces
 from tidemark.session import stage
 
 TABLE = 1 << 20  # pairs that are broadcast: 17 bytes each
-MEMO = 120_000
+MEMO = 150_000
 MEMO_CHARS = 64  # longer words are not remembered
 PIECE_BYTES = 1 << 19
 PENDING = 1 << 21  # pairs a task holds before it sums them, and distinct ones before it hands them on
 
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _MARKS = ".,;:!?"
 _LETTER_MARK = re.compile("[A-Za-z][.,;:!?]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -300,6 +303,15 @@ class Memory:
     two, which tokens never cross; what is known of marks is what they add to a letter (`rest`).
     """
 
+    _held: dict[int, Memory] = {}
+
+    @classmethod
+    def of(cls, pair: Pair, make, join, rest) -> Memory:
+        """The memory of a Python worker for a pair of tokenizers, which outlives its tasks."""
+        if id(pair) not in cls._held:
+            cls._held[id(pair)] = cls(make, join, rest, pair.marked)
+        return cls._held[id(pair)]
+
     def __init__(self, make, join, rest, marked: bool = True):
         self.make, self.join, self.rest, self.marked = make, join, rest, marked
         self.young, self.older, self.marks = {}, {}, {}
@@ -338,7 +350,7 @@ class Memory:
         lo = 0
         while lo < len(new):
             hi, size = lo, 0
-            while hi < len(new) and hi < lo + 8192 and (hi == lo or size + len(new[hi]) < 100_000):
+            while hi < len(new) and hi < lo + 1024 and (hi == lo or size + len(new[hi]) < 20_000):
                 size += len(new[hi])
                 hi += 1
             young.update(zip(new[lo:hi], self.make(new[lo:hi])))
@@ -365,43 +377,112 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (keys[first], np.add.reduceat(n, first)) if len(first) else (keys, n)
 
 
-def pair_counts(docs: DataFrame, held, text_col: str = "text") -> DataFrame:
-    """(key, n): how many links of the whole table hold an id pair; `key` is `a << 32 | b`.
+def _to_blob(codes: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted pair codes as steps, and how often each occurs: bytes of one place beside each other, compressed."""
+    planes = np.stack([np.diff(codes, prepend=0), times]).astype("<u8").view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)
+    return _PACK.compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(_UNPACK.decompress(blob), np.uint8)
+    planes = np.ascontiguousarray(raw.reshape(2, 8, -1).transpose(0, 2, 1)).reshape(2, -1).view(np.int64)
+    return np.cumsum(planes[0]), planes[1]
+
 
-    Tasks sum before they hand on. Texts without tokens don't count.
+def encode(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs.
+
+    `pairs` has the linked id pairs and how many links hold each; `row` tells rows apart. NULL and empty texts, and
+    texts that the tokens of A or B do not spell, have zeros, an empty digest and no pairs. The result is to be
+    written before it is used more than once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         pair = Pair.of(*held.value)
+        span = len(pair.b_bytes)
+        row = TaskContext.get().partitionId() << 36
 
-        def known_of(new: list[str]) -> list[bytes | None]:
-            found = align_words(pair, new, groups=False)
-            raw, at = found.keys.tobytes(), (8 * found.link_at).tolist()
-            out: list[bytes | None] = [None] * len(new)
-            for k, lo, hi in zip(found.which.tolist(), at, at[1:]):
-                out[k] = raw[lo:hi]
+        def known_of(new: list[str]) -> list[tuple | None]:
+            x = align_words(pair, new)
+            facts = np.stack([x.n_a, x.n_b, x.n_groups, np.diff(x.link_at)], axis=1).astype(np.int64).tobytes()
+            codes, at = ((x.keys >> 32) * span + (x.keys & 0xFFFFFFFF)).tobytes(), (8 * x.link_at).tolist()
+            out: list[tuple | None] = [None] * len(new)
+            for j, k in enumerate(x.which.tolist()):
+                out[k] = (facts[32 * j : 32 * j + 32], x.groups[j], codes[at[j] : at[j + 1]])
             return out
 
-        memory = Memory(known_of, lambda x, y: x + y, lambda x, y: x[len(y) :], pair.marked)
-        keys, counts, pending = [], [], 0
-
-        def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+        def sums(x: tuple, y: tuple, sign: int = 1) -> bytes:
+            return (np.frombuffer(x[0], np.int64) + sign * np.frombuffer(y[0], np.int64)).tobytes()
 
+        memory = Memory.of(
+            pair,
+            known_of,
+            lambda x, y: (sums(x, y), x[1] + b";" + y[1], x[2] + y[2]),
+            lambda x, y: (sums(x, y, -1), x[1][len(y[1]) + 1 :], x[2][len(y[2]) :]),
+        )
         for batch in batches:
-            for _, _, body, begins in pieces(batch.column(0), PIECE_BYTES):
+            for lo, hi, body, begins in pieces(batch.column(1), PIECE_BYTES):
                 split = [pair.words(t) for t in _texts(body, begins)]
                 long = memory.learn(set().union(*split))
-                known, seen = memory.young, Counter()
+                known = memory.young
+                facts, shas, blobs = [], [], []
                 for words in split:
-                    if None not in map(known.__getitem__, words):
-                        seen.update(words)
-                own = [known[w] for w in seen]
-                size = np.array([len(x) // 8 for x in own], np.int64)
-                keys.append(np.frombuffer(b"".join(own), np.int64))
-                counts.append(np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), size))
+                    of = list(map(known.__getitem__, words))
+                    if not of or None in of:
+                        facts.append(np.zeros(4, np.int64))
+                        shas.append("")
+                        blobs.append(None)
+                        continue
+                    facts.append(np.frombuffer(b"".join([x[0] for x in of]), np.int64).reshape(-1, 4).sum(axis=0))
+                    shas.append(hashlib.sha256(b";".join([x[1] for x in of])).hexdigest())
+                    codes = np.sort(np.frombuffer(b"".join([x[2] for x in of]), np.int64))
+                    first = np.flatnonzero(np.diff(codes, prepend=-1))
+                    blobs.append(_to_blob(codes[first], np.diff(first, append=len(codes))))
                 memory.forget(long)
-                pending += len(keys[-1])
+                table = np.stack(facts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(row, row + hi - lo)),
+                        batch.column(0).slice(lo, hi - lo),
+                        *[pa.array(table[:, k]) for k in range(4)],
+                        pa.array(shas),
+                        pa.array(blobs, pa.binary()),
+                    ],
+                    names=["row", "doc_id", *_NUMBERS[:4], "groups_sha256", "pairs"],
+                )
+                row += hi - lo
+
+    schema = T.StructType(
+        [
+            T.StructField("row", T.LongType()),
+            T.StructField("doc_id", docs.schema[id_col].dataType),
+            *[T.StructField(n, T.LongType()) for n in _NUMBERS[:4]],
+            *T.StructType.fromDDL("groups_sha256 string, pairs binary"),
+        ]
+    )
+    return narrow(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def pair_counts(encoded: DataFrame) -> DataFrame:
+    """(key, n): how many links of the whole table hold an id pair; `key` is the id of A times the size of B's
+    vocabulary plus the id of B. Tasks sum before they hand on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, pending = [], [], 0
+
+        def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
+
+        for batch in batches:
+            for blob in batch.column(0):
+                if not blob.is_valid:
+                    continue
+                k, n = _from_blob(blob.as_py())
+                keys.append(k)
+                counts.append(n)
+                pending += len(k)
                 if pending > PENDING:
                     k, n = _summed(np.concatenate(keys), np.concatenate(counts))
                     if len(k) > PENDING // 2:
@@ -411,7 +492,7 @@ def pair_counts(docs: DataFrame, held, text_col: str = "text") -> DataFrame:
         if keys:
             yield rows(*_summed(np.concatenate(keys), np.concatenate(counts)))
 
-    return narrow(docs, text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return encoded.select("pairs").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -423,11 +504,12 @@ class Counts:
     least: int
 
 
-def count_pairs(docs: DataFrame, held, text_col: str = "text", most: int = TABLE) -> Counts:
+def count_pairs(encoded: DataFrame, held, most: int = TABLE) -> Counts:
     """Counts of all pairs, each with whether it is the most frequent one of its B id (ties included)."""
-    spark = docs.sparkSession
-    counts = stage(pair_counts(docs, held, text_col), "pairs")
-    b = F.col("key").bitwiseAND((1 << 32) - 1)
+    spark = encoded.sparkSession
+    span = len(Pair.of(*held.value).b_bytes)
+    counts = stage(pair_counts(encoded), "pairs")
+    b = F.col("key") % span
     # One row per id of B: never more than its vocabulary.
     top = counts.groupBy(b.alias("b")).agg(F.max("n").alias("top"))
     counts = counts.join(F.broadcast(top), b == F.col("b")).select("key", "n", (F.col("n") == F.col("top")).alias("best"))
@@ -449,112 +531,67 @@ def count_pairs(docs: DataFrame, held, text_col: str = "text", most: int = TABLE
     return Counts(counts, spark.sparkContext.broadcast(frequent), least)
 
 
-def digests(docs: DataFrame, held, counts: Counts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(encoded: DataFrame, counts: Counts) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     `n_best` counts links whose pair is the most frequent one of its B id; `count_sum` adds the
-    corpus-wide count of the pair of every link. NULL and empty texts, and texts that the tokens of A or B do not
-    spell, have zeros and an empty digest. Rows with equal ids each get a row; an empty table gives none.
+    corpus-wide count of the pair of every link. Texts without tokens have zeros and an empty digest. Rows with
+    equal ids each get a row; an empty table gives none.
     """
     frequent = counts.frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        pair = Pair.of(*held.value)
         key, number, best = frequent.value
-        row = TaskContext.get().partitionId() << 36
-
-        def known_of(new: list[str]) -> list[tuple | None]:
-            x = align_words(pair, new)
-            at = np.minimum(np.searchsorted(key, x.keys), max(0, len(key) - 1))
-            hit = key[at] == x.keys if len(key) else np.zeros(len(x.keys), bool)
-            best_of = np.where(hit, best[at], False) if len(key) else hit
-            number_of = np.where(hit, number[at], 0) if len(key) else np.zeros(len(hit), np.int64)
-            facts = np.zeros((len(x.which), 7), np.int64)
-            facts[:, 0], facts[:, 1], facts[:, 2], facts[:, 3] = x.n_a, x.n_b, x.n_groups, np.diff(x.link_at)
-            for column, value in ((4, best_of), (5, number_of), (6, ~hit)):
-                facts[:, column] = np.diff(np.concatenate([[0], np.cumsum(value)])[x.link_at])
-            raw, link_at = facts.tobytes(), x.link_at.tolist()
-            out: list[tuple | None] = [None] * len(new)
-            for j, (k, rare) in enumerate(zip(x.which.tolist(), facts[:, 6].tolist())):
-                lo, hi = link_at[j], link_at[j + 1]
-                out[k] = (raw[56 * j : 56 * j + 56], x.groups[j], x.keys[lo:hi][~hit[lo:hi]].tolist() if rare else ())
-            return out
-
-        def sums(x: tuple, y: tuple, sign: int = 1) -> bytes:
-            return (np.frombuffer(x[0], np.int64) + sign * np.frombuffer(y[0], np.int64)).tobytes()
-
-        memory = Memory(
-            known_of,
-            lambda x, y: (sums(x, y), x[1] + b";" + y[1], (*x[2], *y[2])),
-            lambda x, y: (sums(x, y, -1), x[1][len(y[1]) + 1 :], tuple(x[2][len(y[2]) :])),
-            pair.marked,
-        )
         for batch in batches:
-            for lo, hi, body, begins in pieces(batch.column(1), PIECE_BYTES):
-                split = [pair.words(t) for t in _texts(body, begins)]
-                long = memory.learn(set().union(*split))
-                known = memory.young
-                facts, shas, rare = [], [], []
-                for words in split:
-                    of = [known[w] for w in words]
-                    if not of or None in of:
-                        facts.append(np.zeros(7, np.int64))
-                        shas.append("")
-                        rare.append([])
+            sums, rare = [], []
+            for blob in batch.column(len(_KEPT)):
+                if not blob.is_valid or not len(key):
+                    sums.append((0, 0))
+                    rare.append([])
+                    if not blob.is_valid:
                         continue
-                    mine = np.frombuffer(b"".join([x[0] for x in of]), np.int64).reshape(-1, 7).sum(axis=0)
-                    facts.append(mine)
-                    shas.append(hashlib.sha256(b";".join([x[1] for x in of])).hexdigest())
-                    links = Counter()
-                    if mine[6]:
-                        for x in of:
-                            links.update(x[2])
-                    rare.append([{"key": k, "m": m} for k, m in links.items()])
-                memory.forget(long)
-                table = np.stack(facts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + hi - lo)),
-                        batch.column(0).slice(lo, hi - lo),
-                        *[pa.array(table[:, k]) for k in range(6)],
-                        pa.array(shas),
-                        pa.array(rare, pa.list_(pa.struct([("key", pa.int64()), ("m", pa.int64())]))),
-                    ],
-                    names=["row", "doc_id", *_NUMBERS, "groups_sha256", "rare"],
-                )
-                row += hi - lo
+                codes, times = _from_blob(blob.as_py())
+                if len(key):
+                    at = np.minimum(np.searchsorted(key, codes), len(key) - 1)
+                    hit = key[at] == codes
+                    at = at[hit]
+                    sums.append((int(times[hit] @ best[at]), int(times[hit] @ number[at])))
+                    codes, times = codes[~hit], times[~hit]
+                    rare.append([])
+                rare[-1] = [{"key": k, "m": m} for k, m in zip(codes.tolist(), times.tolist())]
+            columns = [pa.array([x[k] for x in sums], pa.int64()) for k in range(2)]
+            columns.append(pa.array(rare, pa.list_(pa.struct([("key", pa.int64()), ("m", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(_KEPT)], *columns], names=[*_KEPT, "n_best", "count_sum", "rare"]
+            )
 
     schema = T.StructType(
         [
-            T.StructField("row", T.LongType()),
-            T.StructField("doc_id", docs.schema[id_col].dataType),
-            *[T.StructField(n, T.LongType()) for n in _NUMBERS],
-            *T.StructType.fromDDL("groups_sha256 string, rare array<struct<key: long, m: long>>"),
+            *[encoded.schema[n] for n in _KEPT],
+            *T.StructType.fromDDL("n_best long, count_sum long, rare array<struct<key: long, m: long>>"),
         ]
     )
-    made = narrow(docs, id_col, text_col).mapInArrow(run, schema)
+    made = encoded.select(*_KEPT, "pairs").mapInArrow(run, schema)
+    order = ["doc_id", *_NUMBERS, "groups_sha256"]
     if counts.least == 0:
-        return made.drop("row", "rare")
+        return made.select(*order)
     made = stage(made, "aligned")
     rest = made.select("row", F.explode("rare").alias("p")).select("row", "p.key", "p.m").join(counts.table, "key")
     rest = rest.groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("more_best"), F.sum(F.col("m") * F.col("n")).alias("more")
     )
     none = F.lit(0).cast("long")
-    return made.drop("rare").join(rest, "row", "left").select(
-        "doc_id",
-        "n_a",
-        "n_b",
-        "n_groups",
-        "n_links",
-        (F.col("n_best") + F.coalesce("more_best", none)).alias("n_best"),
-        (F.col("count_sum") + F.coalesce("more", none)).alias("count_sum"),
-        "groups_sha256",
+    both = made.drop("rare").join(rest, "row", "left")
+    both = both.withColumns(
+        {
+            "n_best": F.col("n_best") + F.coalesce("more_best", none),
+            "count_sum": F.col("count_sum") + F.coalesce("more", none),
+        }
     )
+    return both.select(*order)
 
 
+_KEPT = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 

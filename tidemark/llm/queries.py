@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import alignment, bpe, collocations, decontaminate, fingerprints, langid, lm, minhash, packing, pii, quality, sharding, toxicity
 from tidemark.llm.common import remainder
-from tidemark.session import shared_path
+from tidemark.session import shared_path, stage
 
 RANKS = corpus_pipeline.RANKS
 
@@ -92,7 +92,8 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = public_tokenizers.path
     held = alignment.load(spark, path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
-    return alignment.digests(docs, held, alignment.count_pairs(docs, held))
+    encoded = stage(alignment.encode(docs, held), "alignments")
+    return alignment.digests(encoded, alignment.count_pairs(encoded, held))
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
