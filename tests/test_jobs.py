@@ -3,23 +3,34 @@
 import pytest
 
 from tests.helpers import ZERO_US, at, change, change_frame
-from tidemark.functions.records import to_records
 from tidemark.plans import jobs
-from tidemark.sinks import ndjson
+from tidemark.sinks import publish
 from tidemark.sources import tables
+from tidemark.streaming.poll_loop import PollLoop, stored_tables
 
 
-def test_create_and_compact(spark, tmp_path):
-    source, files, merged = (str(tmp_path / name) for name in ("tables", "files", "merged"))
+def test_create_and_publish(spark, tmp_path):
+    source, run, target = (str(tmp_path / name) for name in ("tables", "run", "merged"))
     jobs.main(["create", "--source", source, "--tables", "2"])
     for name in ("events_1", "events_2"):
         assert tables.read_table(spark, source, name).count() == 0
-    rows = [change("events_1", str(n), at(f"00:0{n}:30")) for n in range(3)]
-    lines = ndjson.placed_lines(to_records(change_frame(spark, rows)))
-    lines.write.partitionBy(*ndjson.PLACE).text(files)
-    until = "20240101-000200"
-    jobs.main(["compact", "--source", files, "--output", merged, "--closed-before", until])
-    assert ndjson.read_windows(spark, merged).count() == 2
+    # Nothing to do before the first poll.
+    jobs.main(["publish", "--source", run, "--output", target])
+    rows = [change(f"events_{k}", str(n), at(f"00:0{n}:30")) for n in range(4) for k in (1, 2)]
+    tables.append_changes(change_frame(spark, rows[:-1]), source)
+    loop = PollLoop(spark, jobs.table_configs(2), stored_tables(spark, source), f"{run}/polls", start_us=ZERO_US)
+    loop.poll(0, ZERO_US + 600_000_000)
+    assert loop.last_commit() == 0
+    # The slower table has seen 00:02:30, less 30 seconds.
+    assert loop.lowest_watermark() == ZERO_US + 120_000_000
+    jobs.write_stage(spark, loop.records_path, run).awaitTermination()
+    jobs.main(["publish", "--source", run, "--output", target])
+    files = publish.published_files(spark, target).collect()
+    assert sorted((r.path, r.rows) for r in files) == [
+        (f"events_{k}/output-20240101-000{n}00-to-20240101-000{n + 1}00-00000-of-00001.json", 1)
+        for k in (1, 2)
+        for n in (0, 1)
+    ]
 
 
 def test_configs():
@@ -48,7 +59,7 @@ def test_feed_to_files(spark, tmp_path):
     fields = ["change_type", "payload"]
     query = jobs.write_stage(spark, loop.records_path, output, fields, schema=schema)
     query.awaitTermination()
-    lines = ndjson.read_windows(spark, f"{output}/files").collect()
+    lines = spark.read.parquet(f"{output}/raw").collect()
     assert sorted(r.value for r in lines) == [
         '{"change_type":"DELETE","payload":{"item":2,"name":"b"}}',
         '{"change_type":"INSERT","payload":{"item":1,"name":"a"}}',

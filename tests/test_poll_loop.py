@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.helpers import ZERO, ZERO_US, at, change, change_frame, simulate_lookback, tuples
 from tidemark.plans import jobs
 from tidemark.schema import TableConfig
-from tidemark.sinks import ndjson
+from tidemark.sinks import publish
 from tidemark.sources import tables
 from tidemark.streaming import poll_loop
 from tidemark.streaming.poll_loop import PollLoop, each_table
@@ -242,7 +242,7 @@ def test_multi_table_job_end_to_end(spark, tmp_path):
     try:
         def lines():
             try:
-                return ndjson.read_windows(spark, f"{output}/files")
+                return spark.read.parquet(f"{output}/raw")
             except Exception:
                 return None
 
@@ -281,7 +281,7 @@ def test_single_table_job_end_to_end(spark, tmp_path):
             for q in spark.streams.active:
                 assert not q.exception()
             try:
-                return ndjson.read_windows(spark, f"{output}/files").count() >= 3
+                return publish.read_published(spark, f"{output}/files").count() >= 3
             except Exception as e:
                 assert "PATH_NOT_FOUND" in str(e) or "SparkException" in type(e).__name__
                 return False
@@ -290,9 +290,10 @@ def test_single_table_job_end_to_end(spark, tmp_path):
     finally:
         for query in spark.streams.active:
             stop_idle(query)
-    found = ndjson.read_windows(spark, f"{output}/files")
+    found = publish.read_published(spark, f"{output}/files")
     assert found.count() == 3
-    assert found.select("win").distinct().count() == 1
+    paths = [r.path for r in found.select("path").distinct().collect()]
+    assert paths == ["events/output-20240101-000000-to-20240101-000100-00000-of-00001.json"]
 
 
 @pytest.mark.parametrize("lookback", [True, False])

@@ -1,7 +1,6 @@
 """Files by table and window."""
 
 import json
-import time
 from collections import Counter
 
 import pytest
@@ -65,65 +64,6 @@ def test_copies_of_one_line_are_spread(spark, tmp_path):
     assert 2 <= len(only) <= 4
 
 
-def test_compaction_takes_closed_windows_and_can_be_repeated(spark, records, tmp_path):
-    source, target = str(tmp_path / "small"), str(tmp_path / "merged")
-    ndjson.placed_lines(records.repartition(6)).write.partitionBy("dest", "win").text(source)
-    for _ in range(2):
-        ndjson.compact_windows(spark, source, target, closed_before="20240101-000200")
-        merged, files = stored(spark, target)
-        assert {win for _, win in files} == {
-            "20240101-000000-to-20240101-000100",
-            "20240101-000100-to-20240101-000200",
-        }
-        assert all(len(f) == 1 for f in files.values())
-        small = [r.value for r in stored(spark, source)[0] if "000200-to" not in r.win]
-        assert Counter(r.value for r in merged) == Counter(small)
-
-
-def test_compaction_takes_only_new_files(spark, records, tmp_path):
-    """A run without new files writes nothing; new files rewrite their window only."""
-    source, target = str(tmp_path / "small"), str(tmp_path / "merged")
-    placed = ndjson.placed_lines(records.repartition(6))
-    placed.write.partitionBy("dest", "win").text(source)
-    closed = "20240101-000200"
-
-    def written():
-        return {r.path for r in ndjson.written_files(spark, target).collect()}
-
-    ndjson.compact_windows(spark, source, target, closed)
-    first = written()
-    ndjson.compact_windows(spark, source, target, closed)
-    assert written() == first
-    time.sleep(1.1)
-    one = placed.filter("win like '%-to-20240101-000100'").limit(1)
-    one.write.mode("append").partitionBy("dest", "win").text(source)
-    ndjson.compact_windows(spark, source, target, closed)
-    changed = written() ^ first
-    assert changed and all("to-20240101-000100" in path for path in changed)
-
-
-def test_compaction_takes_files_that_land_while_it_runs(spark, records, tmp_path, monkeypatch):
-    """The file comes after the source was listed, and is older than what the run writes."""
-    source, target = str(tmp_path / "small"), str(tmp_path / "merged")
-    placed = ndjson.placed_lines(records.repartition(6))
-    placed.write.partitionBy("dest", "win").text(source)
-    closed = "20240101-000200"
-    write = ndjson.write_windows
-
-    def late(*args, **options):
-        one = placed.filter("win like '%-to-20240101-000100'").limit(1)
-        one.write.mode("append").partitionBy("dest", "win").text(source)
-        time.sleep(1.1)
-        write(*args, **options)
-
-    monkeypatch.setattr(ndjson, "write_windows", late)
-    ndjson.compact_windows(spark, source, target, closed)
-    monkeypatch.setattr(ndjson, "write_windows", write)
-    ndjson.compact_windows(spark, source, target, closed)
-    small = [r.value for r in stored(spark, source)[0] if "000200-to" not in r.win]
-    assert Counter(r.value for r in stored(spark, target)[0]) == Counter(small)
-
-
 def test_lines_of_one_table(spark, tmp_path):
     rows = change_frame(spark, [change("t", "1", at("00:00:07.179575"))]).drop("table_name")
     ndjson.write_lines(rows, str(tmp_path / "out"), rows.columns)

@@ -10,7 +10,7 @@ from tests.helpers import ZERO_US, at, change, change_frame, tuples, with_us
 from tidemark.functions.records import to_records
 from tidemark.operators import duplicates as batch
 from tidemark.operators import windows as batch_windows
-from tidemark.sinks import ndjson
+from tidemark.sinks import ndjson, publish
 from tidemark.sources import tables
 from tidemark.streaming import duplicates
 from tidemark.streaming.windows import (
@@ -200,5 +200,5 @@ def test_record_files_keep_late_rows(spark, tmp_path):
     stamps = {json.loads(r.value)["change_timestamp"][11:] for r in lines.collect()}
     assert "00:10:00.000001+00:00" in stamps
     merged = str(tmp_path / "merged")
-    ndjson.compact_windows(spark, out, merged, closed_before="20240101-001200")
-    assert ndjson.read_windows(spark, merged).count() == 3
+    publish.publish_windows(spark, out, merged, closed_before="20240101-001200")
+    assert publish.read_published(spark, merged).count() == 3

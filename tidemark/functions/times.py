@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def window_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd-HHmmss")
 
 
+def micros_window_text(us: int) -> str:
+    """The same for a position in the driver, rounded down to the second."""
+    return (datetime(1970, 1, 1) + timedelta(seconds=us // PRECISION)).strftime("%Y%m%d-%H%M%S")
+
+
 def window_name(window: Column) -> Column:
     """`20240101-000000-to-20240101-000100` for a window struct."""
     return F.concat(window_text(window["start"]), F.lit("-to-"), window_text(window["end"]))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import midpoint, poll_index
+from tidemark.operators import segments
 from tidemark.operators.groups import attach_facts
 from tidemark.operators.polls import by_table, poll_facts, with_poll
 
@@ -113,50 +114,14 @@ def lookback_replay(
     return _emit(known, polled.columns, emissions)
 
 
-def delayed_progress(facts: DataFrame, start_us: int, step_us: int) -> DataFrame:
+def delayed_progress(facts: DataFrame, start_us: int, step_us: int, **cut: int) -> DataFrame:
     """Positions of every poll that can emit, where rows arrive late.
 
-    Whether a poll finds rows depends on the polls before it, so the recurrence is stepped
-    through table by table. It steps over poll facts, never over rows, and skips quiet stretches:
+    Whether a poll finds rows depends on the polls before it, so the recurrence is stepped through, in segments that
+    are repaired until they agree. It steps over poll facts, never over rows, and skips quiet stretches:
     polls without new rows emit nothing from the second one on and change nothing.
     """
-
-    def step(facts):
-        import pandas as pd
-
-        facts = facts.sort_values("poll")
-        start = prev = start_us
-        out = []
-        last_poll, last_max = None, None
-
-        def advance(poll: int, rows: int, new_max: int | None):
-            nonlocal start, prev
-            floor = (start + prev) // 2
-            found = [m for m in (new_max, last_max) if m is not None and m >= floor]
-            out.append((poll, floor, start, prev, rows, max([start, *found]) if found else None))
-            if found:
-                start, prev = max([start, *found]) + 1, start
-
-        for poll, new_max, rows in zip(facts["poll"], facts["max_us"], facts["rows"]):
-            if last_poll is not None and poll > last_poll + 1:
-                advance(last_poll + 1, 0, None)
-                last_max = None
-            advance(poll, rows, new_max)
-            last_poll, last_max = poll, new_max
-        if last_poll is not None:
-            advance(last_poll + 1, 0, None)
-        table = pd.DataFrame(
-            out,
-            columns=["poll", "scan_lo_us", "start_us", "prev_start_us", "rows", "reached_us"],
-        )
-        table.insert(0, "table_name", facts["table_name"].iloc[0])
-        return table.astype({"reached_us": "Int64"})
-
-    return facts.groupBy("table_name").applyInPandas(
-        step,
-        "table_name string, poll long, scan_lo_us long, start_us long, prev_start_us long, "
-        "rows long, reached_us long",
-    )
+    return segments.progress(facts, start_us, **cut)
 
 
 def delayed_replay(
@@ -168,15 +133,14 @@ def delayed_replay(
     """
     polled = with_poll(changes, start_us, step_us, arrival)
     progress = delayed_progress(poll_facts(polled), start_us, step_us)
-    # After every poll with new rows comes a row for the next poll, so `lead` is that poll.
-    plan = progress.select(
+    plan = progress.filter("rows > 0").select(
         "table_name",
         "poll",
         "rows",
         F.col("scan_lo_us").alias("_lo_us"),
         F.col("start_us").alias("_start_us"),
-        F.lead("scan_lo_us").over(by_table()).alias("_again_us"),
-    ).filter("rows > 0")
+        F.col("again_us").alias("_again_us"),
+    )
     known = attach_facts(polled, plan, ["table_name", "poll"], "rows", **attach)
     us = F.col("us")
     emissions = _emissions(

@@ -3,27 +3,30 @@
     python -m tidemark.plans.jobs multi --run-id 7 --tables 2 \\
         --source /shared/tables --output /shared/out
 
-Each job runs two streaming queries that can be stopped and started again at any time: the poll
-loop writes records, and a second query writes them as JSON lines by table and window.
+Each job runs three streaming queries that can be stopped and started again at any time: the poll
+loop writes records, a second query adds them as JSON lines to a raw store, and a third one publishes each
+window that the watermark has closed as a file with its name. `publish` does the last step once.
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.functions.records import to_records
+from tidemark.functions.times import micros_window_text
 from tidemark.operators.duplicates import CHANGE_KEY, ENTITY_KEY, check_key
 from tidemark.schema import CHANGE_COLUMNS, POLL_INTERVAL_SECONDS, WINDOW_SECONDS, TableConfig
-from tidemark.session import build_session
-from tidemark.sinks.ndjson import compact_windows
+from tidemark.session import build_session, folder_exists
+from tidemark.sinks.ndjson import placed_lines
+from tidemark.sinks.publish import publish_windows, stream_raw
 from tidemark.sources.tables import create_tables, table_path
-from tidemark.streaming.duplicates import flag_duplicates
 from tidemark.streaming.poll_loop import PollLoop, each_table, stored_tables
 from tidemark.streaming.records import RECORD_DDL, create_records, stream_records
-from tidemark.streaming.windows import write_record_files
+from tidemark.streaming.seen import flag_stream
 
 TABLE_PREFIX = "events"
 POLLING = "polling"
@@ -70,18 +73,46 @@ def write_stage(
     seconds: int = WINDOW_SECONDS,
     trigger: dict | None = None,
     schema: str | T.StructType = RECORD_DDL,
-):
-    """Start the query from records to JSON files, flagging duplicates if a key is given."""
+) -> StreamingQuery:
+    """Start the query from records to raw lines by window; with a key, another one before it flags duplicates."""
     records = stream_records(spark, records_path, schema)
     if duplicate_key:
-        records = flag_duplicates(records, duplicate_key)
-    return write_record_files(
-        records,
-        f"{output}/files",
-        f"{output}/files-checkpoint",
-        seconds=seconds,
-        fields=fields,
-        trigger=trigger,
+        flagged = f"{output}/flagged"
+        columns = [f for f in records.schema.fields if f.name != "is_duplicate"]
+        schema = T.StructType([*columns, T.StructField("is_duplicate", T.BooleanType())])
+        create_records(spark, f"{flagged}/rows", schema)
+        flagging = flag_stream(records, flagged, duplicate_key, trigger=trigger)
+        if not trigger:
+            flagging.awaitTermination()
+        records = stream_records(spark, f"{flagged}/rows", schema)
+    lines = placed_lines(records, seconds=seconds, fields=fields)
+    return stream_raw(lines, f"{output}/raw", f"{output}/raw-checkpoint", trigger)
+
+
+def publish_closed(loop: PollLoop, output: str, target: str | None = None) -> DataFrame | None:
+    """Publish the windows that the newest commit has closed, from `<output>/raw` to `<output>/files`.
+
+    A window is closed when the watermark of the slowest table has reached its end. Rows that come later are added
+    to the window's file by the next run. Returns the files of the run; None before the first commit.
+    """
+    mark = loop.lowest_watermark()
+    if mark is None or not folder_exists(loop.spark, f"{output}/raw"):
+        return None
+    return publish_windows(loop.spark, f"{output}/raw", target or f"{output}/files", micros_window_text(mark))
+
+
+def publish_stage(loop: PollLoop, output: str, seconds: int = WINDOW_SECONDS) -> StreamingQuery:
+    """Publish closed windows again and again, on a stream of ticks."""
+    ticks = loop.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+    def run(_: DataFrame, batch_id: int) -> None:
+        publish_closed(loop, output)
+
+    return (
+        ticks.writeStream.foreachBatch(run)
+        .option("checkpointLocation", f"{output}/files-checkpoint")
+        .trigger(**_every(seconds))
+        .start()
     )
 
 
@@ -107,6 +138,7 @@ def single_table(
     write_stage(
         spark, loop.records_path, output, fields, trigger=_every(poll_interval), schema=schema
     )
+    publish_stage(loop, output)
     return loop
 
 
@@ -138,6 +170,7 @@ def multi_table(
         trigger=_every(poll_interval),
         schema=schema,
     )
+    publish_stage(loop, output)
     return loop
 
 
@@ -148,9 +181,9 @@ def _every(seconds: int) -> dict:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tidemark")
     jobs = parser.add_subparsers(dest="job", required=True)
-    for name in ("create", "single", "multi", "compact"):
+    for name in ("create", "single", "multi", "publish"):
         job = jobs.add_parser(name)
-        job.add_argument("--source", required=True, help="folder of tables, or files to compact")
+        job.add_argument("--source", required=True, help="folder of tables, or of a run to publish")
         if name in ("create", "multi"):
             job.add_argument("--tables", type=int, required=True, help="number of tables")
         if name != "create":
@@ -164,17 +197,14 @@ def main(argv: list[str] | None = None) -> None:
     jobs.choices["multi"].add_argument(
         "--duplicate-key", choices=sorted(KEYS), help="flag duplicates by this key"
     )
-    jobs.choices["compact"].add_argument(
-        "--closed-before", required=True, help="end of the last window, as 20240101-000100"
-    )
     args = parser.parse_args(argv)
 
     spark = build_session(f"tidemark-{getattr(args, 'run_id', args.job)}")
     if args.job == "create":
         create_tables(spark, args.source, [t.table_name for t in table_configs(args.tables)])
         return
-    if args.job == "compact":
-        compact_windows(spark, args.source, args.output, args.closed_before)
+    if args.job == "publish":
+        publish_closed(PollLoop(spark, [], stored_tables(spark, ""), f"{args.source}/polls"), args.source, args.output)
         return
     common = {
         "poll_interval": args.poll_interval, "start_us": args.start_us, "mode": args.mode

@@ -382,6 +382,13 @@ FROM cdc GROUP BY table_name, us - us % {HOUR}""",
     "stream_record_files": f"WITH {CDC}{_window_rows()}",
     "live_poll": f"""WITH {CDC},{_lookback(step=5 * DAY, last_poll=POLLS + " - 1")}
 SELECT table_name, event_id, order_id, us, poll, is_late FROM emitted""",
+    "published_windows": f"""WITH {CDC},{_lookback(step=5 * DAY, last_poll=POLLS + " - 1")},
+marks AS (SELECT table_name, max(us) - 30000000 AS mark FROM cdc GROUP BY table_name),
+slowest AS (SELECT min(mark) AS mark FROM marks),
+placed AS (SELECT table_name, us - us % {HOUR} AS win FROM emitted)
+SELECT table_name || '/output-' || {_stamp("win")} || '-to-' || {_stamp(f"win + {HOUR}")}
+         || '-00000-of-00001.json' AS path, count(*) AS rows
+FROM placed, slowest WHERE win + {HOUR} <= mark GROUP BY ALL""",
     "live_poll_progress": f"""WITH {CDC},
 polls AS (
   SELECT t.table_name, k.poll, {START} + k.poll * {5 * DAY} AS start_us,

@@ -21,12 +21,13 @@ from tidemark.functions.times import (
 )
 from tidemark.operators import duplicates, polls, replay, windows
 from tidemark.operators.groups import attach_facts
-from tidemark.plans import feeds
+from tidemark.plans import feeds, jobs
 from tidemark.schema import FEED_TIMESTAMP, TableConfig
 from tidemark.session import shared_path, use_utc
-from tidemark.sinks import ndjson
+from tidemark.sinks import ndjson, publish
 from tidemark.sources import scan, tables
 from tidemark.streaming import duplicates as stream_duplicates
+from tidemark.streaming import seen
 from tidemark.streaming.poll_loop import PollLoop, each_table, stored_tables
 from tidemark.streaming.windows import (
     run_available,
@@ -349,10 +350,16 @@ def one_file_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = ndjson.placed_lines(_records(spark, sf_dir))
-    source, target = shared_path(spark, "shards"), shared_path(spark, "compacted")
-    lines.write.partitionBy(*ndjson.PLACE).text(source)
-    ndjson.compact_windows(spark, source, target, closed_before="20240121-000000")
-    return _written(spark, target)
+    source, target = shared_path(spark, "raw"), shared_path(spark, "compacted")
+    publish.write_raw(lines, source)
+    publish.publish_windows(spark, source, target, closed_before="20240121-000000")
+    return (
+        publish.read_published(spark, target)
+        .groupBy("dest", "win", "path")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("dest", "win")
+        .agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"))
+    )
 
 
 def _change_tables(spark: SparkSession, sf_dir: str) -> str:
@@ -384,7 +391,9 @@ def append_change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_dup_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = feeds.as_changes(feeds.stream(spark, sf_dir, "events"))
     narrow = changes.select("table_name", "event_id", ORDER, "us")
-    return run_available(stream_duplicates.flag_duplicates(narrow), "stream-dup")
+    path = shared_path(spark, "stream-dup")
+    seen.flag_stream(narrow, path).awaitTermination()
+    return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,20 +427,28 @@ def stream_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _poll_on(spark: SparkSession, sf_dir: str, lookback: bool) -> PollLoop:
-    """Polls every five days, until two quiet polls after the last row."""
+def _poll_loop(
+    spark: SparkSession, sf_dir: str, lookback: bool, path: str
+) -> tuple[PollLoop, list[int]]:
+    """Polls every five days, until two quiet polls after the last row, and the times at which they happen."""
     root = _change_tables(spark, sf_dir)
     step = 5 * DAY
     loop = PollLoop(
         spark,
         [TableConfig(name, poll_interval=5 * 86_400) for name in feeds.TABLES],
         stored_tables(spark, root),
-        shared_path(spark, "polls"),
+        path,
         lookback=lookback,
         start_us=START,
     )
-    for batch_id in range((_end(spark, sf_dir) - 1 - START) // step + 3):
-        loop.poll(batch_id, START + (batch_id + 1) * step)
+    polls_made = (_end(spark, sf_dir) - 1 - START) // step + 3
+    return loop, [START + (batch_id + 1) * step for batch_id in range(polls_made)]
+
+
+def _poll_on(spark: SparkSession, sf_dir: str, lookback: bool) -> PollLoop:
+    loop, ends = _poll_loop(spark, sf_dir, lookback, shared_path(spark, "polls"))
+    for batch_id, now in enumerate(ends):
+        loop.poll(batch_id, now)
     return loop
 
 
@@ -442,6 +459,23 @@ def live_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def published_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls every five days; the windows that a commit has closed become files, re-read rows join them later."""
+    output = shared_path(spark, "published")
+    loop, ends = _poll_loop(spark, sf_dir, True, f"{output}/polls")
+    for batch_id, now in enumerate(ends):
+        loop.poll(batch_id, now)
+        rows = loop.records().where(F.col("batch_id") == batch_id).drop("batch_id")
+        publish.write_raw(ndjson.placed_lines(rows, seconds=3600), f"{output}/raw")
+        if batch_id % 3 == 2 or now == ends[-1]:
+            jobs.publish_closed(loop, output)
+    return (
+        publish.read_published(spark, f"{output}/files")
+        .groupBy("path")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+
+
 def live_poll_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _poll_on(spark, sf_dir, lookback=False).progress().select(
         F.col("batch_id").alias("poll"),
@@ -519,6 +553,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_tumbling,
         stream_record_files,
         live_poll,
+        published_windows,
         live_poll_progress,
         live_feed,
     )

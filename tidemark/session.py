@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +73,50 @@ def folder_names(spark: SparkSession, path: str) -> set[str]:
     return {entry.getPath().getName() for entry in store.listStatus(found)}
 
 
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern with wildcards."""
+    found, store = _hadoop_path(spark, pattern)
+    statuses = store.globStatus(found)
+    return [] if statuses is None else [status.getPath().toString() for status in statuses]
+
+
+def move_files(spark: SparkSession, moves: list[tuple[str, str]], threads: int = 16) -> None:
+    """Rename files one by one, replacing what is there. A file that is gone was moved before."""
+    if not moves:
+        return
+    store = _hadoop_path(spark, moves[0][1])[1]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in {to.rsplit("/", 1)[0] for _, to in moves}:
+        store.mkdirs(path(folder))
+
+    def move(pair: tuple[str, str]) -> None:
+        source, to = path(pair[0]), path(pair[1])
+        if store.rename(source, to):
+            return
+        if store.exists(source):
+            store.delete(to, False)
+            if not store.rename(source, to):
+                raise OSError(f"could not move {pair[0]} to {pair[1]}")
+        elif not store.exists(to):
+            raise FileNotFoundError(f"neither {pair[0]} nor {pair[1]} exists")
+
+    with ThreadPoolExecutor(threads) as pool:
+        list(pool.map(move, moves))
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete files or folders that this library has written and needs no more."""
+    for name in paths:
+        found, store = _hadoop_path(spark, name)
+        store.delete(found, True)
+
+
+def mark_done(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    found, store = _hadoop_path(spark, path)
+    store.create(found, True).close()
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder nobody has used yet.
 

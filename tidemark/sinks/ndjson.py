@@ -10,13 +10,10 @@ from tidemark.functions.times import window_text
 from tidemark.operators.groups import attach_facts
 from tidemark.operators.windows import with_destination
 from tidemark.schema import WINDOW_SECONDS
-from tidemark.session import folder_exists, folder_names, stage
+from tidemark.session import stage
 
 PLACE = ["dest", "win"]
 STORED_DDL = "value string, dest string, win string"
-# Under the target of a compaction: which source files each window was merged from. Readers pass it over.
-MERGED = "_merged"
-MERGED_DDL = "dest string, win string, files long, mark long, run long"
 # Above this many rows a window of a table is written as several files.
 MAX_ROWS_PER_FILE = 5_000_000
 
@@ -53,28 +50,38 @@ def placed_lines(
     return with_destination(lines, event_time, seconds).select("value", *PLACE)
 
 
-def one_file_per_window(
+def sharded(
     rows: DataFrame, max_rows_per_file: int = MAX_ROWS_PER_FILE, **attach: int
-) -> DataFrame:
-    """Shuffle so that a window (`win`) of a table (`dest`) ends up in one task, for one file.
+) -> tuple[DataFrame, int]:
+    """Rows with `_shard` and `_shards`, and the number of tasks that write them.
 
-    `max_rows_per_file` is the size limit of a file, in rows (default `MAX_ROWS_PER_FILE`). A window with
-    more rows is cut into shards of about that size, one file each, so no task has to take a
-    window of unbounded size.
+    A window (`win`) of a table (`dest`) with more than `max_rows_per_file` rows is cut into shards of
+    about that size, so no task has to take a window of unbounded size.
     """
     groups = stage(rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("_rows")), "groups")
     total = groups.agg(F.sum("_rows")).first()[0] or 0
     large = groups.filter(F.col("_rows") > max_rows_per_file)
     known = attach_facts(rows, large, PLACE, "_rows", **attach)
-    shards = F.ceil(F.col("_rows") / max_rows_per_file)
+    shards = F.coalesce(F.ceil(F.col("_rows") / max_rows_per_file), F.lit(1).cast("long"))
     # The task number spreads equal rows too, and is the same when a task is run again.
     own = "value" if "value" in rows.columns else "event_time"
     spread = F.pmod(F.xxhash64(own) + F.spark_partition_id(), shards)
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(usual, total // max_rows_per_file)
+    cut = known.select(*rows.columns, spread.alias("_shard"), shards.alias("_shards"))
+    return cut, max(usual, total // max_rows_per_file)
+
+
+def one_file_per_window(
+    rows: DataFrame, max_rows_per_file: int = MAX_ROWS_PER_FILE, **attach: int
+) -> DataFrame:
+    """Shuffle so that a window (`win`) of a table (`dest`) ends up in one task, for one file.
+
+    `max_rows_per_file` is the size limit of a file, in rows (default `MAX_ROWS_PER_FILE`). Larger windows
+    have one file per shard.
+    """
+    cut, tasks = sharded(rows, max_rows_per_file, **attach)
     return (
-        known.withColumn("_shard", F.coalesce(spread, F.lit(0).cast("long")))
-        .repartition(tasks, *PLACE, "_shard")
+        cut.repartition(tasks, *PLACE, "_shard")
         .sortWithinPartitions(*PLACE, *[c for c in ("event_time",) if c in rows.columns])
         .select(*rows.columns)
     )
@@ -113,43 +120,3 @@ def written_files(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .select("path", "length")
     )
-
-
-def _listed(spark: SparkSession, path: str) -> DataFrame:
-    """(dest, win, files, mark): the files of each window, counted, and a hash of all their names, lengths and
-    times; contents are not read."""
-    if not any(name.startswith("dest=") for name in folder_names(spark, path)):
-        return spark.createDataFrame([], "dest string, win string, files long, mark long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    place = [F.col(c).cast("string").alias(c) for c in PLACE]
-    one = F.xxhash64("path", "length", "modificationTime")
-    return files.groupBy(*place).agg(F.count(F.lit(1)).alias("files"), F.bit_xor(one).alias("mark"))
-
-
-def compact_windows(
-    spark: SparkSession, source: str, target: str, closed_before: str, **options: int
-) -> None:
-    """Rewrite the small files of closed windows under `source` as one file each under `target`.
-
-    A window is closed if it ends at or before `closed_before` (`20240101-000100`). The files of a window are
-    listed before any is read, and the listing is recorded after the window is written: a window is
-    read again if its listing is no longer the recorded one, so a file that lands during a run is taken by
-    the next. A run without such windows writes nothing. Running it again replaces the same windows,
-    so a job that failed half way can simply be repeated.
-    """
-    end = F.substring_index("win", "-to-", -1)
-    new, record, run = _listed(spark, source).filter(end <= closed_before), f"{target}/{MERGED}", 0
-    if folder_exists(spark, record):
-        merged = spark.read.schema(MERGED_DDL).parquet(record)
-        run = (merged.agg(F.max("run")).first()[0] or 0) + 1
-        last = merged.groupBy(*PLACE).agg(
-            F.max_by("files", "run").alias("files"), F.max_by("mark", "run").alias("mark")
-        )
-        done = last.join(_listed(spark, target).select(*PLACE), PLACE, "left_semi")
-        new = new.join(done, [*PLACE, "files", "mark"], "left_anti")
-    new = stage(new, "new-windows")
-    if new.isEmpty():
-        return
-    rows = read_windows(spark, source).join(new.select(*PLACE), PLACE, "left_semi")
-    write_windows(rows, target, mode="overwrite", **options)
-    new.select(*PLACE, "files", "mark", F.lit(run).cast("long").alias("run")).write.mode("append").parquet(record)

@@ -22,6 +22,7 @@ from tidemark.schema import (
     WATERMARK_LAG_SECONDS,
     TableConfig,
 )
+from tidemark.session import matching_paths
 from tidemark.sources.scan import change_feed_scan, fan_in, poll_scan_micros
 from tidemark.sources.tables import scan_tables
 
@@ -122,6 +123,16 @@ class PollLoop:
         """Committed positions, one row per batch and table."""
         return self.spark.read.schema(PROGRESS_DDL).parquet(f"{self.root}/committed/*")
 
+    def last_commit(self) -> int | None:
+        """Number of the newest poll that was committed."""
+        found = matching_paths(self.spark, f"{self.root}/committed/batch=*/_SUCCESS")
+        return max((int(p.rsplit("/", 2)[1].removeprefix("batch=")) for p in found), default=None)
+
+    def lowest_watermark(self) -> int | None:
+        """The watermark of the slowest table at the newest commit, in microseconds: windows that end by then are closed."""
+        last = self.last_commit()
+        return None if last is None else min(row["watermark"] for row in self._load("committed", last))
+
     def _plan(self, batch_id: int, now_us: int) -> list[dict]:
         last = self._load("committed", batch_id - 1) if batch_id > 0 else None
         if batch_id > 0 and last is None:

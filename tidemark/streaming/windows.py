@@ -65,7 +65,7 @@ def write_record_files(
 ) -> StreamingQuery:
     """Records as JSON lines by table and window, late ones included, each exactly once.
 
-    Every micro-batch adds its own files to a window; `compact_windows` merges them later.
+    Every micro-batch adds its own files to a window; `publish_windows` merges them later.
     """
     lines = placed_lines(records, event_time, seconds, fields)
     return (
