@@ -186,3 +186,37 @@ def test_due_tables(spark):
     rows = [("late", 100, 50), ("waits", 100, 201), ("caught_up", 200, 100), ("due", 199, 200)]
     state = spark.createDataFrame(rows, "table_name string, start_us long, next_due_us long")
     assert tuples(polls.due_tables(state, 200), "table_name") == [("due",), ("late",)]
+
+
+def test_audit_of_commits(spark):
+    """Each kind of false commit is found, and only there."""
+    from tidemark.streaming.poll_loop import PROGRESS_DDL
+
+    names = [c.split()[0] for c in PROGRESS_DDL.split(", ")]
+    # Rows at 100 and 150, then none, then at 300.
+    states = [(0, 0, 0, 200, 2, 151, 0, 70), (75, 151, 0, 400, 1, 301, 151, 270), (226, 301, 151, 500, 0, 301, 151, 270)]
+    good = [
+        dict(zip(names, (k, "t", lo, start, prev, target, True, rows, nxt, nxt_prev, mark, 0, 0, "committed")))
+        for k, (lo, start, prev, target, rows, nxt, nxt_prev, mark) in enumerate(states)
+    ]
+    records = spark.createDataFrame([("t", 0, 100), ("t", 0, 150), ("t", 1, 300)], "table_name string, batch_id int, us long")
+
+    def checks(commits):
+        got = replay.commit_audit(spark.createDataFrame(commits, PROGRESS_DDL), records)
+        return [tuple(r)[2:] for r in got.orderBy("poll").collect()]
+
+    fine = (True, True, True, True)
+    assert checks(good) == [fine] * 3
+    for place, change, bad in [
+        (1, {"start": 150, "scan_lo": 75}, [fine, (False, True, True, True), fine]),
+        (1, {"scan_lo": 80}, [fine, (False, True, True, True), fine]),
+        (2, {"next_start": 302}, [fine, fine, (True, False, True, True)]),
+        (1, {"rows": 2}, [fine, (True, True, False, True), fine]),
+        (2, {"watermark": 269}, [fine, fine, (True, True, True, False)]),
+    ]:
+        commits = [{**row, **(change if k == place else {})} for k, row in enumerate(good)]
+        if place == 1 and "start" in change:
+            commits[1]["next_prev"] = 150
+            commits[2]["prev_start"] = commits[2]["next_prev"] = 150
+            commits[2]["scan_lo"] = (301 + 150) // 2
+        assert checks(commits) == bad, change

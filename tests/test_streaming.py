@@ -12,7 +12,7 @@ from tidemark.operators import duplicates as batch
 from tidemark.operators import windows as batch_windows
 from tidemark.sinks import ndjson, publish
 from tidemark.sources import tables
-from tidemark.streaming import duplicates
+from tidemark.streaming import duplicates, late
 from tidemark.streaming.windows import (
     stream_tables,
     stream_window_counts,
@@ -202,3 +202,17 @@ def test_record_files_keep_late_rows(spark, tmp_path):
     merged = str(tmp_path / "merged")
     publish.publish_windows(spark, out, merged, closed_before="20240101-001200")
     assert publish.read_published(spark, merged).count() == 3
+
+
+def test_arrivals_replayed_in_order(spark, tmp_path):
+    """A row two steps behind is dropped, one a step behind is not: the watermark is that of the batch before."""
+    minutes = [(0, "t1", 10), (1, "t1", 30), (2, "t1", 10), (2, "t2", 31), (3, "t1", 28), (3, "t2", 28), (3, "t1", 28), (4, "t1", 90), (5, "t1", 91)]
+    rows = [(step, t, at(f"{m // 60:02}:{m % 60:02}:00")) for step, t, m in minutes]
+    arrivals = spark.createDataFrame(rows, "step long, table_name string, change_timestamp timestamp")
+    kept, dropped = late.replay_arrivals(arrivals, str(tmp_path), "30 seconds", 60)
+    starts = [(t, (us - ZERO_US) // MINUTE, n) for t, us, n in tuples(kept, "table_name", "win_start_us", "rows")]
+    assert starts == [("t1", 10, 2), ("t1", 30, 1), ("t2", 31, 1)]
+    # In the last step with such rows two windows of tables came too late, one of them twice.
+    assert tuples(dropped, "step", "dropped_groups") == [(0, 0), (1, 0), (2, 0), (3, 2), (4, 0), (5, 0)]
+    none = late.replay_arrivals(arrivals.limit(0), str(tmp_path / "none"), "30 seconds", 60)
+    assert [df.count() for df in none] == [0, 0]

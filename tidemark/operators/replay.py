@@ -13,7 +13,7 @@ and of no other, and both are found by equality on the poll number.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import midpoint, poll_index
@@ -159,6 +159,40 @@ def progress_audit(progress: DataFrame) -> DataFrame:
     )
 
 
+def commit_audit(commits: DataFrame, records: DataFrame) -> DataFrame:
+    """Check the commits of live lookback polls against each other and against the records they wrote.
+
+    `commits` is `PollLoop.progress()`, `records` `PollLoop.records()`. Returns table_name, poll and
+
+    * `is_chained`: the poll began where the commit before it ended, and kept the start before that;
+    * `is_claim_valid`: it claimed the largest position it wrote, not below its start, or kept its place if it
+      wrote nothing;
+    * `is_count_valid`: it wrote as many rows as it committed;
+    * `is_mark_valid`: the watermark did not fall.
+
+    Rows are counted once per poll and table; nothing else is moved.
+    """
+    wrote = records.groupBy("table_name", "batch_id").agg(
+        F.count(F.lit(1)).alias("_wrote"), F.max("us").alias("_max_us")
+    )
+    order = Window.partitionBy("table_name").orderBy("batch_id")
+    last = lambda c: F.lag(c).over(order)
+    known = commits.join(wrote.withColumn("batch_id", F.col("batch_id").cast("long")), ["table_name", "batch_id"], "left")
+    chained = (last("next_start") == F.col("start")) & (last("next_prev") == F.col("prev_start"))
+    wrote_rows = F.coalesce("_wrote", F.lit(0).cast("long"))
+    moved = (F.col("next_start") == F.greatest("start", "_max_us") + 1) & (F.col("next_prev") == F.col("start"))
+    stayed = (F.col("next_start") == F.col("start")) & (F.col("next_prev") == F.col("prev_start"))
+    floor = F.col("scan_lo") == midpoint(F.col("start"), F.col("prev_start"))
+    return known.select(
+        "table_name",
+        F.col("batch_id").alias("poll"),
+        F.coalesce(chained & floor, floor).alias("is_chained"),
+        F.when(wrote_rows > 0, moved & (F.col("next_start") <= F.col("target"))).otherwise(stayed).alias("is_claim_valid"),
+        (wrote_rows == F.col("rows")).alias("is_count_valid"),
+        F.coalesce(last("watermark") <= F.col("watermark"), F.lit(True)).alias("is_mark_valid"),
+    )
+
+
 def backlog(progress: DataFrame, stop_us: int | Column) -> DataFrame:
     """How much of the range up to `stop_us` is left after each poll, and the fraction done."""
     stop = stop_us if isinstance(stop_us, Column) else F.lit(stop_us)

@@ -389,6 +389,49 @@ placed AS (SELECT table_name, us - us % {HOUR} AS win FROM emitted)
 SELECT table_name || '/output-' || {_stamp("win")} || '-to-' || {_stamp(f"win + {HOUR}")}
          || '-00000-of-00001.json' AS path, count(*) AS rows
 FROM placed, slowest WHERE win + {HOUR} <= mark GROUP BY ALL""",
+    "commit_audit": f"""WITH {CDC}
+SELECT t.table_name, k.poll,
+       NOT (t.table_name = 'events_3' AND k.poll = 3) AS is_chained,
+       NOT (t.table_name = 'events_3' AND k.poll = 2) AS is_claim_valid,
+       NOT (t.table_name = 'events_2' AND k.poll = 3) AS is_count_valid,
+       true AS is_mark_valid
+FROM (SELECT DISTINCT table_name FROM cdc) t
+JOIN (SELECT unnest(range(0, {POLLS})) AS poll) k ON true""",
+    "stream_late": f"""WITH {CDC},
+arrived AS (
+  SELECT table_name, us, us - us % {HOUR} AS win,
+         (us + (CAST(substr(order_id, 3) AS BIGINT) * 7919) % 10 * {DAY} - {START}) // {5 * DAY} AS step
+  FROM cdc
+),
+steps AS (SELECT step, max(us) AS us, row_number() OVER (ORDER BY step) AS place FROM arrived GROUP BY step),
+marks AS (
+  SELECT s.step, coalesce(max(e.us) - 30000000, 0) AS mark
+  FROM steps s LEFT JOIN steps e ON e.place <= s.place - 2 GROUP BY s.step
+),
+judged AS (SELECT a.*, win + {HOUR} <= mark AS is_late FROM arrived a JOIN marks USING (step))
+SELECT table_name, win AS win_start_us, count(*) AS rows, CAST(NULL AS BIGINT) AS step
+FROM judged WHERE NOT is_late GROUP BY ALL
+UNION ALL
+SELECT 'dropped', NULL, count(DISTINCT CASE WHEN is_late THEN (table_name, win) END), step FROM judged GROUP BY step""",
+    "append_rejects": f"""WITH {CDC},
+lines AS (SELECT table_name, CAST(substr(order_id, 3) AS BIGINT) AS number FROM cdc)
+SELECT CASE WHEN number % 83 = 0 THEN 'events_9' ELSE table_name END AS table_name,
+       CASE WHEN number % 83 = 0 THEN 'no such table' WHEN number % 97 = 0 THEN 'no change record'
+            WHEN number % 89 = 0 THEN 'no timestamp' ELSE 'stored' END AS outcome,
+       count(*) AS rows
+FROM lines GROUP BY ALL""",
+    "backfill_chunks": f"""WITH RECURSIVE {CDC},
+chunks AS (
+  SELECT CAST(0 AS BIGINT) AS chunk, {START} AS lo, {END} AS hi,
+         CASE WHEN {END} - least({START} + 100000000000, {END}) < 25000000000 THEN {END}
+              ELSE least({START} + 100000000000, {END}) END AS up
+  UNION ALL
+  SELECT chunk + 1, up, hi,
+         CASE WHEN hi - least(up + 100000000000, hi) < 25000000000 THEN hi ELSE least(up + 100000000000, hi) END
+  FROM chunks WHERE up < hi
+)
+SELECT c.table_name, k.chunk, count(*) AS rows
+FROM chunks k JOIN cdc c ON c.us >= k.lo AND c.us < k.up GROUP BY ALL""",
     "live_poll_progress": f"""WITH {CDC},
 polls AS (
   SELECT t.table_name, k.poll, {START} + k.poll * {5 * DAY} AS start_us,

@@ -22,12 +22,13 @@ from tidemark.functions.times import (
 from tidemark.operators import duplicates, polls, replay, windows
 from tidemark.operators.groups import attach_facts
 from tidemark.plans import feeds, jobs
+from tidemark.plans.backfill import Backfill
 from tidemark.schema import FEED_TIMESTAMP, TableConfig
 from tidemark.session import shared_path, use_utc
 from tidemark.sinks import ndjson, publish
-from tidemark.sources import scan, tables
+from tidemark.sources import appends, scan, tables
 from tidemark.streaming import duplicates as stream_duplicates
-from tidemark.streaming import seen
+from tidemark.streaming import late, seen
 from tidemark.streaming.poll_loop import PollLoop, each_table, stored_tables
 from tidemark.streaming.windows import (
     run_available,
@@ -476,6 +477,79 @@ def published_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def commit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits of live polls, with two false ones: a claim that is a second too low, and a row too many."""
+    loop = _poll_on(spark, sf_dir, lookback=True)
+    here = lambda table, poll: (F.col("table_name") == table) & (F.col("batch_id") == poll)
+    commits = loop.progress().withColumns(
+        {
+            "next_start": F.when(here("events_3", 2), F.col("next_start") - SECOND).otherwise(F.col("next_start")),
+            "rows": F.when(here("events_2", 3), F.col("rows") + 1).otherwise(F.col("rows")),
+        }
+    )
+    return replay.commit_audit(commits, loop.records())
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of an hour over changes that arrive up to nine days late, five days a batch.
+
+    Rows of `step` NULL are closed windows with what was kept; the others say how many windows came too late in a batch.
+    """
+    changes = feeds.changes(spark, sf_dir)
+    number = F.substring(F.col(ORDER), 3, 20).cast("long")
+    arrival = F.col("us") + number * 7919 % 10 * DAY
+    arrivals = changes.select(
+        "table_name", "change_timestamp", F.call_function("div", arrival - START, F.lit(5 * DAY)).alias("step")
+    )
+    # Two later rows close all windows: one moves the watermark, the next one shows it to the windows.
+    close = F.timestamp_micros(F.lit(_end(spark, sf_dir) + 40 * DAY))
+    for step in (1_000, 1_001):
+        arrivals = arrivals.unionByName(
+            spark.range(1).select(F.lit("closing").alias("table_name"), close.alias("change_timestamp"), F.lit(step).cast("long").alias("step"))
+        )
+    kept, dropped = late.replay_arrivals(arrivals, shared_path(spark, "late"), "30 seconds", 3600)
+    none = F.lit(None).cast("long")
+    return kept.select("table_name", "win_start_us", "rows", none.alias("step")).unionByName(
+        dropped.where(F.col("step") < 1_000).select(
+            F.lit("dropped").alias("table_name"), none.alias("win_start_us"), F.col("dropped_groups").alias("rows"), "step"
+        )
+    )
+
+
+def append_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes as JSON lines, some of them broken, appended by a stream: rows stored and rejected, by reason."""
+    root, path = shared_path(spark, "tables"), shared_path(spark, "lines")
+    tables.create_tables(spark, root, feeds.TABLES)
+    changes = feeds.changes(spark, sf_dir)
+    number = F.substring(F.col(ORDER), 3, 20).cast("long")
+    whole = F.to_json(F.struct("event_id", "change_type", "payload", "change_timestamp"))
+    untimed = F.to_json(F.struct("event_id", "change_type", "payload"))
+    line = F.when(number % 97 == 0, F.substring(whole, 1, 40)).when(number % 89 == 0, untimed).otherwise(whole)
+    table = F.when(number % 83 == 0, "events_9").otherwise(F.col("table_name"))
+    changes.select(line.alias("value"), table.alias("table_name")).write.partitionBy("table_name").text(path)
+    appends.append_stream(appends.stream_lines(spark, path), root, f"{path}-checkpoint").awaitTermination()
+    stored = tables.scan_tables(spark, root, [(name, START, _end(spark, sf_dir)) for name in feeds.TABLES])
+    stored = stored.select("table_name", F.lit(appends.STORED).alias("outcome"))
+    rejected = appends.rejected_lines(spark, root).select("table_name", F.col("reason").alias("outcome"))
+    return stored.unionByName(rejected).groupBy("table_name", "outcome").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def backfill_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backfill that breaks off in its third group, after the group's rows were written, and is gone on with."""
+    root, path = _change_tables(spark, sf_dir), shared_path(spark, "backfill")
+    ranges = [(name, START, _end(spark, sf_dir)) for name in feeds.TABLES]
+
+    def job() -> Backfill:
+        return Backfill(spark, stored_tables(spark, root), path, ranges, 100_000 * SECOND, chunks_at_once=5)
+
+    first = job()
+    first.run(most=2)
+    first.scan([(name, START, START + DAY) for name in feeds.TABLES]).write.parquet(f"{path}/rows/part=2")
+    second = job()
+    second.run()
+    return second.rows().groupBy("table_name", "chunk").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def live_poll_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _poll_on(spark, sf_dir, lookback=False).progress().select(
         F.col("batch_id").alias("poll"),
@@ -554,6 +628,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_record_files,
         live_poll,
         published_windows,
+        commit_audit,
+        stream_late,
+        append_rejects,
+        backfill_chunks,
         live_poll_progress,
         live_feed,
     )
