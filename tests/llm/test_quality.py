@@ -44,7 +44,7 @@ def plain_score(net, data):
 @pytest.mark.parametrize("n", [0, 1, 3, 127, 128, 129, 256, 300, 385, 5000])
 def test_score_covers_the_whole_text(monkeypatch, n):
     rng = np.random.default_rng(n)
-    sample = [(k % 2, *quality.sampled_chunks(rng.integers(0, 256, 400, dtype=np.uint8))) for k in range(8)]
+    sample = [quality.Sample.of(k % 2, rng.integers(0, 256, 400, dtype=np.uint8)) for k in range(8)]
     net = quality.fit(sample, steps=2)
     data = rng.integers(97, 100, n, dtype=np.uint8)
     monkeypatch.setattr(quality, "BLOCK", 1024)
@@ -83,6 +83,61 @@ def test_sample_is_bounded(spark):
     docs = documents(spark, [(i, sentence(i, 900), "en") for i in range(30)], extra=False)
     known = labels(spark, [(i, int(i % 3 == 0), 0) for i in range(30)])
     known = known.select("doc_id", "quality")
-    sample = quality.labelled_chunks(docs, known, "doc_id", "text", "quality", 12)
-    assert len(sample) == 12 and sum(s[0] for s in sample) == 6
-    assert all(len(s[1]) == quality.SAMPLE_CHUNKS for s in sample)
+    sample = quality.labelled_texts(docs, known, "doc_id", "text", "quality", 12)
+    assert len(sample) == 12 and sum(s.label for s in sample) == 6
+    # The texts are whole.
+    whole = {len(sentence(i, 900).encode()) for i in range(30)}
+    assert {s.size for s in sample} <= whole and all(s.halves == -(-s.size // quality.HALF) for s in sample)
+
+
+def loss(table, rows, target):
+    """The loss by scoring, text by text."""
+    net = quality._tables(table, 0.0)
+    out = 0.0
+    for r, t in zip(rows, target):
+        data = (r.pairs >> 8).astype(np.uint8)[: r.size]
+        p = quality.score_text(net, data)
+        out -= np.log(p if t else 1 - p) / len(rows)
+    return out
+
+
+def test_gradients_are_the_slopes_of_the_loss(monkeypatch):
+    """Texts of one half, of several, with and without repeated bytes; also when they are read in small blocks."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 60, 128, 129, 300, 700]
+    rows = [quality.Sample.of(k % 2, rng.integers(97, 110 if k % 3 else 99, n, dtype=np.uint8)) for k, n in enumerate(sizes)]
+    target = np.array([r.label for r in rows], np.float64)
+    shapes = {
+        "embed": (256, quality.EMBED), "filters": (quality.WIDTH, quality.EMBED, quality.FILTERS), "echo": (quality.FILTERS,),
+        "bias": (quality.FILTERS,), "dense": (quality.FILTERS, quality.HIDDEN), "dense_bias": (quality.HIDDEN,),
+        "out": (quality.HIDDEN,), "out_bias": (1,),
+    }
+    table = {k: rng.normal(0, 0.5, s) for k, s in shapes.items()}
+    # Exact enough for differences.
+    monkeypatch.setattr(quality, "_byte_tables", lambda t: np.einsum("be,wef->wbf", t["embed"], t["filters"]))
+    slopes = quality._gradients(table, rows, target)
+    monkeypatch.setattr(quality, "FIT_HALVES", 2)
+    assert all(np.allclose(g, slopes[k]) for k, g in quality._gradients(table, rows, target).items())
+    for name, slope in slopes.items():
+        for place in rng.choice(np.flatnonzero(slope), min(4, np.count_nonzero(slope)), replace=False):
+            step = np.zeros(slope.size)
+            step[place] = 1e-5
+            up, down = ({**table, name: table[name] + sign * step.reshape(slope.shape)} for sign in (1, -1))
+            wanted = (loss(up, rows, target) - loss(down, rows, target)) / 2e-5
+            assert slope.ravel()[place] == pytest.approx(wanted, rel=1e-3, abs=1e-7), (name, place)
+
+
+def test_a_defect_between_evenly_spaced_chunks_is_learned():
+    """A stretch of a tenth of the text, where none of six evenly spaced chunks would be."""
+    rng = np.random.default_rng(11)
+    words = [bytes(rng.integers(97, 123, int(rng.integers(2, 8)), dtype=np.uint8)) for _ in range(60)]
+    rows = []
+    for k in range(320):
+        data = np.frombuffer(b" ".join(words[i] for i in rng.integers(0, 60, 1200))[:5000], np.uint8).copy()
+        if k % 2 == 0:
+            at = int(rng.choice([1200, 2200, 3100, 4150]))
+            data[at : at + 600] = rng.integers(33, 48, 600, dtype=np.uint8)
+        rows.append((k % 2, data))
+    net = quality.fit([quality.Sample.of(*r) for r in rows[:240]], 0.5)
+    right = [(quality.score_text(net, data) >= 0.5) == bool(label) for label, data in rows[240:]]
+    assert np.mean(right) > 0.9

@@ -6,9 +6,8 @@ bytes stood there up to 40 bytes before (a filter alone can't see a repetition).
 response in the chunk goes through a small dense layer, the chunks of a text are averaged, and a
 logistic unit makes one probability of it.
 
-The network is fitted in the driver on a bounded sample: up to `SAMPLE` labelled texts, half of each
-label as far as there are any, and up to `SAMPLE_CHUNKS` evenly spaced chunks of each. Scoring reads
-every chunk of every text.
+The network is fitted in the driver on a bounded sample: up to `SAMPLE` labelled texts (`most` of `train`), half of
+each label as far as there are any. Both fitting and scoring read every chunk of a text; fitting does so in blocks.
 """
 
 from __future__ import annotations
@@ -32,10 +31,9 @@ EMBED = 8
 ECHO_LAGS = 40
 ECHO_BYTES = 8
 SAMPLE = 2000
-SAMPLE_CHUNKS = 6
 STEPS = 320  # of 64 texts each, at least; whole passes over the sample
 BLOCK = 1 << 15  # bytes per step, a multiple of HALF
-_AHEAD = 2 * HALF + WIDTH - 1
+FIT_HALVES = 1024  # halves of chunks that fitting looks at in one go
 
 
 class Network(NamedTuple):
@@ -89,25 +87,31 @@ def score_text(net: Network, data: np.ndarray) -> float:
     return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def sampled_chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `SAMPLE_CHUNKS` evenly spaced chunks of a text, zero padded, with their echo planes."""
-    halves = -(-max(len(data), 1) // HALF)
-    chunks = max(1, halves - 1)
-    pick = np.unique(np.linspace(0, chunks - 1, min(chunks, SAMPLE_CHUNKS)).astype(int))
-    padded = np.zeros(halves * HALF + _AHEAD, np.uint8)
-    padded[: len(data)] = data
-    echo = np.zeros(len(padded), np.uint8)
-    echo[: len(data)] = echoes(data)
-    x = np.stack([padded[c * HALF : c * HALF + _AHEAD] for c in pick])
-    e = np.stack([echo[c * HALF : c * HALF + 2 * HALF] for c in pick])
-    # Positions behind the end are not part of the text; scoring never sees them.
-    ends = np.clip(max(len(data), 1) - pick * HALF, 1, 2 * HALF)
-    e[np.arange(2 * HALF) >= ends[:, None]] = 2
-    return x, e
+class Sample(NamedTuple):
+    """A labelled text as fitting reads it: all its bytes in pairs, padded to whole halves."""
+
+    label: int
+    pairs: np.ndarray  # two bytes from each position
+    echo: np.ndarray
+    size: int  # positions of the text, at least one
+
+    @property
+    def halves(self) -> int:
+        return len(self.echo) // HALF
+
+    @classmethod
+    def of(cls, label: int, data: np.ndarray) -> Sample:
+        size = max(len(data), 1)
+        n = -(-size // HALF) * HALF
+        padded = np.zeros(n + WIDTH - 1, np.uint16)
+        padded[: len(data)] = data
+        echo = np.zeros(n, bool)
+        echo[: len(data)] = echoes(data)
+        return cls(label, (padded[:-1] << np.uint16(8)) | padded[1:], echo, size)
 
 
-def labelled_chunks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list[tuple]:
-    """(label, chunks, echo planes) of a sample of at most `most` labelled texts, in the driver.
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list[Sample]:
+    """A sample of at most `most` labelled texts, whole, in the driver.
 
     The sample goes by a hash of the id, so it is the same in every run. Both labels get half of it;
     what one label can't fill the other may.
@@ -123,36 +127,11 @@ def labelled_chunks(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     # At most `most` ids: bounded by the parameter.
     rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, body, begins in pieces(batch.column(2)):
-                made = [sampled_chunks(body[a:b]) for a, b in zip(begins, begins[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        batch.column(1).slice(lo, hi - lo),
-                        pa.array([x.tobytes() for x, _ in made], pa.binary()),
-                        pa.array([e.tobytes() for _, e in made], pa.binary()),
-                    ],
-                    names=["id", "label", "x", "e"],
-                )
+    got = rows.orderBy(F.xxhash64("_id"), "_text").limit(most).collect()
+    return [Sample.of(r["_label"], np.frombuffer((r["_text"] or "").encode(), np.uint8)) for r in got]
 
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType(
-        [T.StructField("id", kind), *T.StructType.fromDDL("label int, x binary, e binary")]
-    )
-    got = rows.mapInArrow(run, schema).orderBy(F.xxhash64("id"), "x").limit(most).collect()
-    return [
-        (
-            r["label"],
-            np.frombuffer(r["x"], np.uint8).reshape(-1, _AHEAD),
-            np.frombuffer(r["e"], np.uint8).reshape(-1, 2 * HALF),
-        )
-        for r in got
-    ]
-
-
-def fit(sample: list[tuple], share_of_one: float | None = None, steps: int = STEPS, seed: int = 3) -> Network:
+
+def fit(sample: list[Sample], share_of_one: float | None = None, steps: int = STEPS, seed: int = 3) -> Network:
     """Adam on the logistic loss. Without both labels the network says 1 (or the only label)."""
     rng = np.random.default_rng(seed)
     table = {
@@ -166,7 +145,7 @@ def fit(sample: list[tuple], share_of_one: float | None = None, steps: int = STE
         "out_bias": np.zeros(1),
     }
     table = {k: v.astype(np.float32) for k, v in table.items()}
-    target = np.array([s[0] for s in sample], np.float32)
+    target = np.array([s.label for s in sample], np.float32)
     if len(sample) == 0 or target.min() == target.max():
         table["out"][:] = 0
         table["out_bias"][:] = 3 if len(sample) == 0 or target[0] == 1 else -3
@@ -199,34 +178,63 @@ def _byte_tables(table: dict) -> np.ndarray:
     return np.einsum("be,wef->wbf", table["embed"], table["filters"]).astype(np.float32)
 
 
-def _gradients(table: dict, rows: list[tuple], target: np.ndarray) -> dict:
-    x = np.concatenate([r[1] for r in rows])
-    e = np.concatenate([r[2] for r in rows])
-    count = np.array([len(r[1]) for r in rows])
+def _strongest(table: dict, rows: list[Sample]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each half and filter the largest response and the bytes and the echo at its place: (halves, filters).
+
+    Looks at `FIT_HALVES` halves in one go, so a long text needs no more memory than its own bytes and a few
+    numbers for each half.
+    """
+    b = _byte_tables(table)
+    first = (b[0][:, None, :] + b[1][None, :, :]).reshape(-1, FILTERS)
+    last = (b[2][:, None, :] + b[3][None, :, :]).reshape(-1, FILTERS)
+    out = []
+    for r in rows:
+        for lo in range(0, r.halves, FIT_HALVES):
+            hi = min(lo + FIT_HALVES, r.halves)
+            one, two = r.pairs[lo * HALF : hi * HALF], r.pairs[lo * HALF + 2 : hi * HALF + 2]
+            echo = r.echo[lo * HALF : hi * HALF]
+            seen = np.take(first, one, axis=0)
+            seen += np.take(last, two, axis=0)
+            seen[echo] += table["echo"]
+            # Positions behind the end are not part of the text.
+            seen[max(0, r.size - lo * HALF) :] = -1e9
+            seen = seen.reshape(-1, HALF, FILTERS)
+            top = seen.argmax(axis=1)
+            place = np.arange(hi - lo)[:, None] * HALF + top
+            value = np.take_along_axis(seen, top[:, None, :], axis=1)[:, 0]
+            out.append((value, one[place], two[place], echo[place]))
+    value, one, two, echo = (np.concatenate(x) for x in zip(*out))
+    return value, one, two, echo, b
+
+
+def _gradients(table: dict, rows: list[Sample], target: np.ndarray) -> dict:
+    value, one, two, echo, per_byte = _strongest(table, rows)
+    # A chunk is two halves, the next one begins in the middle; a text of one half is one chunk.
+    halves = np.array([r.halves for r in rows])
+    count = np.maximum(halves - 1, 1)
     doc = np.repeat(np.arange(len(rows)), count)
-    per_byte = _byte_tables(table)
-    seen = sum(per_byte[j][x[:, j : j + 2 * HALF]] for j in range(WIDTH))
-    seen += (e == 1)[:, :, None] * table["echo"]
-    seen[e == 2] = -1e9
-    top = seen.argmax(axis=1)  # chunks x filters
-    chunk = np.arange(len(x))[:, None]
-    pooled = np.take_along_axis(seen, top[:, None, :], axis=1)[:, 0] + table["bias"]
+    begin = np.cumsum(halves) - halves
+    left = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + begin[doc]
+    right = left + (halves[doc] > 1)
+    later = value[right] > value[left]
+    pooled = np.where(later, value[right], value[left]) + table["bias"]
+    one, two, echo = (np.where(later, x[right], x[left]) for x in (one, two, echo))
     active = np.maximum(pooled, 0)
     hidden = np.tanh(active @ table["dense"] + table["dense_bias"])
-    mean = np.zeros((len(rows), HIDDEN), np.float32)
-    np.add.at(mean, doc, hidden)
-    mean /= count[:, None]
+    mean = np.add.reduceat(hidden, np.cumsum(count) - count, axis=0) / count[:, None]
     logit = mean @ table["out"] + table["out_bias"]
     d_logit = ((1 / (1 + np.exp(-logit))) - target) / len(rows)
     d_hidden = (d_logit[:, None] * table["out"] / count[:, None])[doc] * (1 - hidden**2)
     d_pooled = (d_hidden @ table["dense"].T) * (pooled > 0)
     d_byte = np.zeros_like(per_byte)
-    for j in range(WIDTH):
-        np.add.at(d_byte[j], (x[chunk, top + j], np.arange(FILTERS)[None, :]), d_pooled)
+    column = np.arange(FILTERS)[None, :]
+    for j, pair in enumerate((one >> 8, one & 255, two >> 8, two & 255)):
+        flat = (pair.astype(np.int64) * FILTERS + column).ravel()
+        d_byte[j] = np.bincount(flat, d_pooled.ravel(), 256 * FILTERS).reshape(256, FILTERS)
     return {
         "embed": np.einsum("wbf,wef->be", d_byte, table["filters"]),
         "filters": np.einsum("wbf,be->wef", d_byte, table["embed"]),
-        "echo": (d_pooled * (e[chunk, top] == 1)).sum(axis=0),
+        "echo": (d_pooled * echo).sum(axis=0),
         "bias": d_pooled.sum(axis=0),
         "dense": active.T @ d_hidden,
         "dense_bias": d_hidden.sum(axis=0),
@@ -259,7 +267,7 @@ def train(
 ) -> Network:
     """Fit the network on the labelled texts of `docs`. Labels other than 0 and 1 are not used."""
     shares = narrow(labels, label_col).toDF("v").where("v in (0, 1)").agg(F.avg("v")).first()[0]
-    return fit(labelled_chunks(docs, labels, id_col, text_col, label_col, most), shares)
+    return fit(labelled_texts(docs, labels, id_col, text_col, label_col, most), shares)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
