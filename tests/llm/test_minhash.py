@@ -70,10 +70,31 @@ def test_drop_keeps_columns_and_one_of_each(spark):
     kept = minhash.drop_near_duplicates(docs, shingle=4)
     assert kept.schema == docs.schema
     ids = sorted((r.doc_id for r in kept.collect() if r.doc_id is not None))
-    assert ids == [1, 2, 3, 4, 5, 6, 8, 11, 12]
+    # Two texts of id 8 are not alike, so both rows stay; two equal rows of id 7 are copies of 1.
+    assert ids == [1, 2, 3, 4, 5, 6, 8, 8, 11, 12]
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """No text goes without a link; equal rows leave one, and so do linked texts of one id."""
+    one, other, third = sentence(1, 60), sentence(2, 60), sentence(3, 60)
+    rows = [
+        (1, one, "en"), (1, other, "en"), (1, one + " tail", "en"), (1, None, "en"), (1, None, "en"),
+        (2, other, "en"), (2, third, "en"), (2, third, "en"), (3, third, "de"), (3, "few words", "en"),
+    ]
+    docs = documents(spark, rows)
+    kept = minhash.drop_near_duplicates(docs, shingle=5)
+    assert kept.schema == docs.schema
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    texts = {"one": [(1, one), (1, one + " tail")], "other": [(1, other)], "third": [(2, third)]}
+    assert len(got) == 5 and (1, None) in got and (3, "few words") in got
+    for choices in texts.values():
+        assert sum(x in got for x in choices) == 1
+    # The order of the rows does not matter.
+    again = minhash.drop_near_duplicates(documents(spark, rows[::-1]).repartition(3), shingle=5)
+    assert sorted(((r.doc_id, r.text) for r in again.collect()), key=str) == got
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert minhash.near_duplicates(empty).count() == 0

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -338,19 +338,25 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all columns of `docs`.
+    """One row of each group of linked texts, one with the smallest id, with all columns of `docs`.
 
-    Of several rows with that id one stays. Rows without an id all stay.
+    Rows are told apart by id and text: rows that share an id but not a text are linked by their texts only,
+    so texts that are not alike all stay. Of rows that agree in both one stays. Rows without an id all stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, percent)
-    mark, number = fresh(docs, "kept_id"), fresh(docs, "copy_no")
-    kept = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias(mark)).distinct()
-    stay = docs.join(kept, docs[id_col] == F.col(mark), "left_semi")
-    return _one_row_per_id(stay, id_col, number).unionByName(docs.where(docs[id_col].isNull()))
-
-
-def _one_row_per_id(docs: DataFrame, id_col: str, number: str) -> DataFrame:
-    """Partitioned as the join before it, so nothing moves; groups are the rows of one id."""
-    sortable = [F.col(quoted(c)) for c, kind in docs.dtypes if "map" not in kind]
-    order = Window.partitionBy(docs[id_col]).orderBy(*sortable)
-    return docs.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
+    row = fresh(docs, "row_of")
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    text = F.xxhash64(F.col(quoted(text_col))).alias("text")
+    named = docs.where(docs[id_col].isNotNull()).withColumn(row, F.struct(docs[id_col].alias("id"), text))
+    groups = near_duplicates(named.select(row, F.col(quoted(text_col))), row, text_col, shingle, percent)
+    kept = groups.where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    kept = stage(kept, "kept-rows")
+    once, many = kept.where("n = 1").select(F.col("id").alias("_kept")), kept.where("n > 1").select("id")
+    stay = named.join(once, F.col(row) == F.col("_kept"), "left_semi").select(*columns)
+    if not many.isEmpty():
+        # Rows that agree in id and text: the least of them, found before the shuffle.
+        cells = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).alias("cells")
+        some = rows_with_ids(named.select(F.col(row).alias("id"), cells), many)
+        order = F.struct(*[f"cells.c{k}" for k, (_, kind) in enumerate(docs.dtypes) if "map" not in kind])
+        least = some.groupBy("id").agg(F.min_by("cells", order).alias("cells"))
+        stay = stay.union(least.select(*[F.col(f"cells.c{k}") for k in range(len(columns))]).toDF(*docs.columns))
+    return stay.union(docs.where(docs[id_col].isNull()))
