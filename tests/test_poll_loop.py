@@ -343,3 +343,55 @@ def test_day_patterns():
     assert _days(ZERO_US, ZERO_US + 32 * day) == "change_date={2024-01-*,2024-02-01}"
     assert _days(ZERO_US - day, ZERO_US + 366 * day) == "change_date={2023-12-31,2024-*}"
     assert len(_days(0, ZERO_US + 40 * day).split(",")) < 70
+
+
+def test_old_commits_are_folded(spark, tmp_path, monkeypatch):
+    """Progress is the same as without folding; the commits a restart needs stay as they are."""
+    monkeypatch.setattr(poll_loop, "FOLD", 2)
+    positions = {"t1": micros(spark, [100 * k + 50 for k in range(6)])}
+    loop = loop_on(spark, tmp_path / "a", positions, start_us=0)
+    for batch_id in range(5):
+        loop.poll(batch_id, 100 * batch_id + 100)
+        if batch_id == 3:
+            # A new process goes on where the last one was.
+            loop = loop_on(spark, tmp_path / "a", positions, start_us=0)
+    loop.tables = [TableConfig("t1", 0)]
+    left = sorted(p.name for p in (tmp_path / "a" / "committed").glob("batch=*"))
+    assert left == ["batch=2", "batch=3", "batch=4"] and (tmp_path / "a" / "folded" / "upto=1").is_dir()
+    assert not (tmp_path / "a" / "planned" / "batch=0").exists()
+    monkeypatch.setattr(poll_loop, "FOLD", 99)
+    whole = loop_on(spark, tmp_path / "b", positions, start_us=0)
+    for batch_id in range(5):
+        whole.poll(batch_id, 100 * batch_id + 100)
+    columns = ["batch_id", "start", "prev_start", "rows", "next_start", "watermark"]
+    assert tuples(loop.progress(), *columns) == tuples(whole.progress(), *columns)
+    assert loop.progress().count() == 5
+
+
+def test_rows_lost_behind_the_write_are_noticed(spark, tmp_path, monkeypatch):
+    loop = loop_on(spark, tmp_path, {"t1": micros(spark, [50, 60])}, start_us=0)
+    monkeypatch.setattr(poll_loop.Observation, "get", property(lambda self: {"rows": 3}))
+    with pytest.raises(OSError, match="3 rows"):
+        loop.poll(0, 100)
+
+
+def test_stored_feeds_list_the_days_of_a_range(spark, tmp_path, monkeypatch):
+    rows = [("INSERT", at(f"{24 * d:02}:00:10"), d, "x") for d in range(4)]
+    ddl = "_CHANGE_TYPE string, _CHANGE_TIMESTAMP timestamp, number long, note string"
+    root, day = str(tmp_path), 86_400 * SECOND
+    tables.write_feed(spark.createDataFrame(rows, ddl), root, "feed")
+    tables.write_feed(spark.createDataFrame(rows[:1], ddl), root, "other")
+    spark.createDataFrame(rows, ddl).write.parquet(tables.table_path(root, "plain"))
+    stored = tables.StoredFeeds(spark, root)
+    got = stored.read("feed", ZERO_US + day, ZERO_US + 3 * day)
+    assert got.columns == ["_CHANGE_TYPE", "_CHANGE_TIMESTAMP", "number", "note"]
+    assert tuples(got, "number") == [(1,), (2,)]
+    assert len({p.split("/change_date=")[1][:10] for p in got.inputFiles()}) == 2
+    assert stored.read("feed", ZERO_US - 9 * day, ZERO_US - 8 * day).count() == 0
+    assert stored.read("plain", ZERO_US, ZERO_US + 1).count() == 4
+    # The schema is looked up once; the rest of the history is never listed again.
+    monkeypatch.setattr(tables, "folder_names", lambda *_: (_ for _ in ()).throw(AssertionError("listed")))
+    assert tuples(stored.read("feed", ZERO_US, ZERO_US + day), "number") == [(0,)]
+    monkeypatch.undo()
+    with pytest.raises(FileNotFoundError):
+        stored.read("missing", 0, 1)

@@ -56,8 +56,8 @@ def poll_calendar(facts: DataFrame, last_poll: int | None = None) -> DataFrame:
     """
     tables = facts.groupBy("table_name").agg(F.max("poll").alias("_last"))
     if last_poll is None:
-        everywhere = Window.partitionBy(F.lit(0))
-        tables = tables.withColumn("_last", F.max("_last").over(everywhere))
+        # One number; a window over all tables would gather them in one task.
+        tables = tables.withColumn("_last", F.lit(tables.agg(F.max("_last")).first()[0]).cast("long"))
     else:
         tables = tables.withColumn("_last", F.lit(last_poll).cast("long"))
     polls = tables.select(

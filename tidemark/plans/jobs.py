@@ -23,7 +23,7 @@ from tidemark.schema import CHANGE_COLUMNS, POLL_INTERVAL_SECONDS, WINDOW_SECOND
 from tidemark.session import build_session, folder_exists
 from tidemark.sinks.ndjson import placed_lines
 from tidemark.sinks.publish import publish_windows, stream_raw
-from tidemark.sources.tables import create_tables, table_path
+from tidemark.sources.tables import StoredFeeds, create_tables
 from tidemark.streaming.poll_loop import PollLoop, each_table, stored_tables
 from tidemark.streaming.records import RECORD_DDL, create_records, stream_records
 from tidemark.streaming.seen import flag_stream
@@ -53,7 +53,7 @@ def _loop(
 ) -> tuple[PollLoop, T.StructType]:
     """The poll loop and the schema of its records, whose payload a feed brings along."""
     if is_feed(mode):
-        scan = each_table(lambda name, lo, hi: spark.read.parquet(table_path(source, name)), mode)
+        scan = each_table(StoredFeeds(spark, source).read, mode)
         nothing = scan([(t.table_name, 0, 0) for t in tables])
         schema = to_records(nothing, start_us=0).schema
     else:

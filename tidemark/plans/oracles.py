@@ -449,6 +449,10 @@ SELECT poll, table_name, start_us, target_us, rows,
        greatest(max(max_us) OVER (PARTITION BY table_name ORDER BY poll), {START - 300000000})
          AS watermark_us
 FROM read""",
+    "stored_feed": f"""
+SELECT 'events' AS table_name, upper(event_type) AS change_type, event_id AS number, epoch_us(ts) AS us,
+       (epoch_us(ts) - {START}) // {5 * DAY} AS poll
+FROM events WHERE epoch_us(ts) >= {START}""",
     "live_feed": f"""
 SELECT 'orders' AS table_name, 'NULL' AS event_id, {ORDER_TYPE} AS change_type, o_orderkey,
        epoch_us(o_orderdate) AS us, (epoch_us(o_orderdate) - 694224000000000) // {365 * DAY} AS poll

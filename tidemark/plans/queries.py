@@ -23,7 +23,7 @@ from tidemark.operators import duplicates, polls, replay, windows
 from tidemark.operators.groups import attach_facts
 from tidemark.plans import feeds, jobs
 from tidemark.plans.backfill import Backfill
-from tidemark.schema import FEED_TIMESTAMP, TableConfig
+from tidemark.schema import FEED_TIMESTAMP, FEED_TYPE, TableConfig
 from tidemark.session import shared_path, use_utc
 from tidemark.sinks import ndjson, publish
 from tidemark.sources import appends, scan, tables
@@ -586,6 +586,32 @@ def live_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as a change feed stored by day, with columns of its own, polled every five days."""
+    source, step = shared_path(spark, "feeds"), 5 * DAY
+    events = feeds.load(spark, sf_dir, "events")
+    feed = events.select(
+        F.upper("event_type").alias(FEED_TYPE),
+        F.col("ts").cast("timestamp").alias(FEED_TIMESTAMP),
+        F.col("event_id").alias("number"),
+        "value",
+    )
+    tables.write_feed(feed, source, "events")
+    loop = PollLoop(
+        spark,
+        [TableConfig("events", poll_interval=5 * 86_400)],
+        each_table(tables.StoredFeeds(spark, source).read, "changes"),
+        shared_path(spark, "feed-polls"),
+        lookback=False,
+        start_us=START,
+    )
+    for batch_id in range((_end(spark, sf_dir) - 1 - START) // step + 1):
+        loop.poll(batch_id, START + (batch_id + 1) * step)
+    return loop.records().select(
+        "table_name", "change_type", "payload.number", "us", F.col("batch_id").cast("long").alias("poll")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -634,6 +660,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         backfill_chunks,
         live_poll_progress,
         live_feed,
+        stored_feed,
     )
 }
 

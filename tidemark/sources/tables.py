@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.schema import CHANGE_COLUMNS, CHANGE_DDL, PARTITION_DAY
+from tidemark.schema import CHANGE_COLUMNS, CHANGE_DDL, FEED_TIMESTAMP, PARTITION_DAY
 from tidemark.session import folder_names
 
 EPOCH = date(1970, 1, 1)
@@ -162,6 +162,43 @@ def scan_tables(spark: SparkSession, root: str, polls: list[tuple[str, int, int]
     return rows.join(F.broadcast(ranges), own).select(*CHANGE_COLUMNS, "table_name")
 
 
+def write_feed(feed: DataFrame, root: str, name: str) -> None:
+    """Append rows of a change feed, with columns of its own, by the day of their time."""
+    day = F.to_date(FEED_TIMESTAMP).alias(PARTITION_DAY)
+    feed.select("*", day).write.mode("append").partitionBy(PARTITION_DAY).parquet(table_path(root, name))
+
+
+class StoredFeeds:
+    """Change feeds stored under one root, each with columns of its own.
+
+    The schema of a feed is looked up once, in its newest day, and kept: columns that are added later are seen by the next
+    start. A feed stored by day is listed for the days of a range only; one that is not, as a whole.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._known: dict[str, tuple[T.StructType, bool]] = {}
+
+    def _look_up(self, name: str) -> tuple[T.StructType, bool]:
+        if name not in self._known:
+            require_tables(self.spark, self.root, [name])
+            path = table_path(self.root, name)
+            days = sorted(n for n in folder_names(self.spark, path) if n.startswith(f"{PARTITION_DAY}="))
+            schema = self.spark.read.parquet(f"{path}/{days[-1]}" if days else path).schema
+            if days:
+                schema = T.StructType([*schema.fields, T.StructField(PARTITION_DAY, T.DateType())])
+            self._known[name] = schema, bool(days)
+        return self._known[name]
+
+    def read(self, name: str, lo_us: int, hi_us: int) -> DataFrame:
+        """The feed's own columns; rows of the days of the range if it is stored by day, of all days if not."""
+        schema, by_day = self._look_up(name)
+        path = table_path(self.root, name)
+        if not by_day:
+            return self.spark.read.schema(schema).parquet(path)
+        return _read_pattern(self.spark, path, _days(lo_us, hi_us), schema).drop(PARTITION_DAY)
+
+
 def stream_table(
     spark: SparkSession,
     root: str,

@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -22,11 +22,13 @@ from tidemark.schema import (
     WATERMARK_LAG_SECONDS,
     TableConfig,
 )
-from tidemark.session import matching_paths
+from tidemark.session import matching_paths, remove_paths
 from tidemark.sources.scan import change_feed_scan, fan_in, poll_scan_micros
 from tidemark.sources.tables import scan_tables
 
 SECOND = 1_000_000
+# Commits that are put into one file, and that stay as they are.
+FOLD = 256
 
 PROGRESS_DDL = (
     "batch_id long, table_name string, scan_lo long, start long, prev_start long, target long, "
@@ -103,6 +105,7 @@ class PollLoop:
             self._save("planned", batch_id, plan)
         found = self._emit(batch_id, [row for row in plan if row["is_due"]])
         self._save("committed", batch_id, [self._advance(row, found) for row in plan])
+        self._fold(batch_id)
 
     def start(self, trigger: str | None = None) -> StreamingQuery:
         """Poll on a tick stream, at the shortest interval of any table."""
@@ -121,7 +124,34 @@ class PollLoop:
 
     def progress(self) -> DataFrame:
         """Committed positions, one row per batch and table."""
-        return self.spark.read.schema(PROGRESS_DDL).parquet(f"{self.root}/committed/*")
+        recent = self.spark.read.schema(PROGRESS_DDL).parquet(f"{self.root}/committed/*")
+        last = self._folded()
+        if last is None:
+            return recent
+        # Commits that were folded but not yet removed are read once.
+        folded = self.spark.read.schema(PROGRESS_DDL).parquet(f"{self.root}/folded/*")
+        return folded.unionByName(recent.where(F.col("batch_id") > last))
+
+    def _folded(self) -> int | None:
+        """The last batch whose commit was folded."""
+        found = matching_paths(self.spark, f"{self.root}/folded/upto=*/_SUCCESS")
+        return max((int(p.rsplit("/", 2)[1].removeprefix("upto=")) for p in found), default=None)
+
+    def _fold(self, batch_id: int) -> None:
+        """Put the commits of `FOLD` batches into one file, and remove their folders and those of their plans.
+
+        The last `FOLD` batches are left as they are, so no batch that can be repeated is touched.
+        """
+        upto, last = batch_id - FOLD, self._folded()
+        first = 0 if last is None else last + 1
+        if upto - first + 1 < FOLD:
+            return
+        folders = [f"{self.root}/committed/batch={b}" for b in range(first, upto + 1)]
+        commits = self.spark.read.schema(PROGRESS_DDL).parquet(*folders)
+        commits.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+            f"{self.root}/folded/upto={upto}"
+        )
+        remove_paths(self.spark, [*folders, *[f"{self.root}/planned/batch={b}" for b in range(first, upto + 1)]])
 
     def last_commit(self) -> int | None:
         """Number of the newest poll that was committed."""
@@ -186,7 +216,10 @@ class PollLoop:
         written = to_records(changes, start_us=F.col("_start")).drop("_start")
         path = f"{self.records_path}/batch={batch_id}"
         # Records that were written to the end are kept, as a reader may have seen them.
+        wrote = None
         if not self._exists(f"{path}/_SUCCESS"):
+            wrote = Observation()
+            written = written.observe(wrote, F.count(F.lit(1)).alias("rows"))
             written.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         stats = (
             self.spark.read.schema(written.schema)
@@ -194,7 +227,10 @@ class PollLoop:
             .groupBy("table_name")
             .agg(F.count(F.lit(1)).alias("rows"), F.max("us").alias("max_us"))
         )
-        return {r["table_name"]: (r["rows"], r["max_us"]) for r in stats.collect()}
+        found = {r["table_name"]: (r["rows"], r["max_us"]) for r in stats.collect()}
+        if wrote is not None and wrote.get["rows"] != sum(rows for rows, _ in found.values()):
+            raise OSError(f"batch {batch_id}: {wrote.get['rows']} rows were written, {found} are there")
+        return found
 
     def _advance(self, row: dict, found: dict[str, tuple[int, int]]) -> dict:
         """The committed form of a planned row."""
