@@ -51,8 +51,6 @@ def test_odd_documents(spark):
     assert plain(narrow(spark, []), 1000) == []
     with pytest.raises(ValueError):
         sharding.assign(narrow(spark), 0)
-    with pytest.raises(ValueError):
-        sharding.assign(narrow(spark).withColumnRenamed("lang", "Shard"), 10)
 
 
 def test_extra_columns_stay(spark):
@@ -60,6 +58,30 @@ def test_extra_columns_stay(spark):
     assert sharding.assign(docs, 1000).columns == [*docs.columns, "key", "n_bytes", "depth", "shard", "page"]
 
 
+def test_columns_in_the_way(spark, tmp_path):
+    """Columns of the same names, in any case, are kept; the new ones give way."""
+    docs = narrow(spark).withColumnRenamed("lang", "Shard").withColumnRenamed("source", "page")
+    docs = docs.withColumn("n", docs["n_chars"]).withColumn("task", docs["n_chars"]).withColumn("depth", docs["n_chars"])
+    docs = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.where("doc_id = 1"))
+    got = sharding.assign(docs, 500)
+    assert got.columns == [*docs.columns, "key", "n_bytes", "depth_", "shard_", "page_"]
+    assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert {r.page_ for r in got.where("doc_id = 1").collect()} == {0, 1, 2}
+    sharding.write(docs, str(tmp_path / "out"), 500)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_a_crowd_over_many_tasks(spark):
+    """Equal rows that come in many tasks fill their pages one after the other."""
+    rows = [(1, "x" * 40, "en")] * 997 + [(i, "y" * 30, "de") for i in range(2, 60)]
+    got = plain(narrow(spark, rows).repartition(13), 400)
+    pages = defaultdict(int)
+    for r in got:
+        if r["doc_id"] == 1:
+            pages[r["page"]] += 1
+    assert sorted(pages) == list(range(100)) and sorted(pages.values()) == [7] + [10] * 99
+
+
 def test_files(spark, tmp_path):
     rows = [(i, sentence(i, 20), "en") for i in range(100)]
     docs = narrow(spark, rows)

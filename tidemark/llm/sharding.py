@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import fresh, quoted
+from tidemark.operators.groups import attach_facts
 from tidemark.session import stage
 
 KEY_BITS = 60
@@ -78,43 +79,52 @@ def assign(
 
     `shard` is the prefix as a text of zeros and ones, empty if everything fits one shard. `page` is 0
     except for equal rows that don't fit together. NULL ids and texts count as empty; an empty table gives no
-    rows. Columns of these names in `docs` must be renamed first.
+    rows. Where `docs` has a column of such a name, the new one is named `key_`, ...
     """
     if limit < 1:
         raise ValueError("the limit must be positive")
-    taken = {c.lower() for c in docs.columns} & {"key", "n_bytes", "depth", "shard", "page"}
-    if taken:
-        raise ValueError(f"columns in the way: {sorted(taken)}")
-    size = F.octet_length(F.coalesce(F.col(quoted(text_col)), F.lit(""))).cast("long")
-    keyed = docs.withColumn("key", key_of(id_col, text_col)).withColumn("n_bytes", size)
+    names = new_columns(docs)
+    inner = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    by = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    size = F.octet_length(F.coalesce(F.col(by[text_col]), F.lit(""))).cast("long")
+    keyed = inner.withColumns({"key": key_of(by[id_col], by[text_col]), "n_bytes": size})
     leaves = directory(stage(keyed.select("key", F.col("n_bytes").alias("bytes")), "keys"), limit)
     bits = sorted(r[0] for r in leaves.select("cell_bits").distinct().collect())
-    cell, deep = fresh(docs, "cell_at"), fresh(docs, "cell_depth")
     placed = keyed.withColumn("depth", F.lit(None).cast("int"))
     for b in bits:
-        here = leaves.where(F.col("cell_bits") == b).select(F.col("cell").alias(cell), F.col("depth").alias(deep))
+        here = leaves.where(F.col("cell_bits") == b).select(F.col("cell").alias("cell_at"), F.col("depth").alias("cell_depth"))
         at = _prefix(F.col("key"), F.lit(b))
-        placed = placed.join(here, at == F.col(cell), "left")
-        placed = placed.withColumn("depth", F.coalesce("depth", F.col(deep))).drop(cell, deep)
+        placed = placed.join(here, at == F.col("cell_at"), "left")
+        placed = placed.withColumn("depth", F.coalesce("depth", "cell_depth")).drop("cell_at", "cell_depth")
     bin_text = F.lpad(F.bin(_prefix(F.col("key"), F.col("depth"))), F.col("depth"), F.lit("0"))
     placed = placed.withColumn("shard", F.when(F.col("depth") == 0, "").otherwise(bin_text))
     # Rows of one key that don't fit: only these are numbered.
     many = stage(
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b"), F.max("n_bytes").alias("m"))
         .where((F.col("n") > 1) & (F.col("b") > limit))
-        .select("key", F.greatest(F.lit(1), F.floor(limit / F.col("m"))).alias("page_rows")),
+        .select("key", "n", F.greatest(F.lit(1), F.floor(limit / F.col("m"))).alias("page_rows")),
         "pages",
     )
-    number, rows = fresh(placed, "number"), fresh(placed, "page_rows")
-    many = many.withColumnRenamed("page_rows", rows)
-    alone = placed.join(many, "key", "left_anti").withColumn("page", F.lit(0).cast("long"))
+    out = [*by.values(), "key", "n_bytes", "depth", "shard", "page"]
     if many.isEmpty():
-        return placed.withColumn("page", F.lit(0).cast("long"))
-    crowd = placed.join(many, "key").withColumn(
-        number, F.row_number().over(Window.partitionBy("key").orderBy("n_bytes"))
-    )
-    crowd = crowd.withColumn("page", F.floor((F.col(number) - 1) / F.col(rows)).cast("long")).drop(number, rows)
-    return alone.unionByName(crowd)
+        return placed.withColumn("page", F.lit(0).cast("long")).select(*out).toDF(*docs.columns, *names)
+    known = attach_facts(placed, many, ["key"], "n")
+    alone = known.where(F.col("n").isNull()).withColumn("page", F.lit(0).cast("long"))
+    # A row's number: the rows of its key in tasks before its own, and its place within the task. The rows are written
+    # first, so that a task's number is the same whenever it is looked at.
+    crowd = stage(known.where(F.col("n").isNotNull()), "crowd").withColumn("task", F.spark_partition_id())
+    counts = crowd.groupBy("key", "task").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("key", "task", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("ahead"), "rows")
+    numbered = attach_facts(crowd, ahead, ["key", "task"], "rows")
+    own = F.row_number().over(Window.partitionBy("key", "task").orderBy("n_bytes")) - 1
+    numbered = numbered.withColumn("page", F.floor((F.col("ahead") + own) / F.col("page_rows")).cast("long"))
+    return alone.select(*out).unionByName(numbered.select(*out)).toDF(*docs.columns, *names)
+
+
+def new_columns(docs: DataFrame) -> list[str]:
+    """The names of key, n_bytes, depth, shard and page beside the columns of `docs`."""
+    return [fresh(docs, name) for name in ("key", "n_bytes", "depth", "shard", "page")]
 
 
 def write(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -122,8 +132,9 @@ def write(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "d
 
     Every shard is written by one task, which holds no more than the shards it writes.
     """
+    key, n_bytes, depth, shard, page = new_columns(docs)
     placed = assign(docs, limit, id_col, text_col)
-    name = F.when(F.col("depth") == 0, "all").otherwise(F.col("shard"))
-    out = placed.withColumn("shard", name).drop("key", "n_bytes", "depth")
+    name = F.when(F.col(depth) == 0, "all").otherwise(F.col(shard))
+    out = placed.withColumn(shard, name).drop(key, n_bytes, depth)
     # The prefix keeps its zeros as text.
-    out.repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
+    out.repartition(shard, page).write.partitionBy(shard, page).parquet(path)
