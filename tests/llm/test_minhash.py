@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tests.llm.helpers import ODD, documents, groups, sentence, shingles
+from tests.llm.helpers import ODD, SF, documents, groups, sentence, shingles
 from tidemark.llm import components, minhash
 
 
@@ -95,6 +95,14 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     assert sorted(((r.doc_id, r.text) for r in again.collect()), key=str) == got
 
 
+def test_drop_on_given_documents(spark):
+    """With buckets whose members stay in several components, which are compared among each other."""
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    named = groups([(r.doc_id, r.text) for r in docs.collect()], 5)
+    kept = [r.doc_id for r in minhash.drop_near_duplicates(docs).select("doc_id").collect()]
+    assert sorted(kept) == sorted(i for i, root in named.items() if i == root)
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert minhash.near_duplicates(empty).count() == 0

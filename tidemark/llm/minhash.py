@@ -215,7 +215,9 @@ def _cross_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     def run(table: pa.Table) -> pa.Table:
         ids = table["id"].to_pylist()
         held = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
-        _, group = np.unique(np.array(table["component"].to_pylist()), return_inverse=True)
+        # Components may be of any kind, structs too.
+        number: dict[str, int] = {}
+        group = np.array([number.setdefault(repr(c), len(number)) for c in table["component"].to_pylist()])
         found = _linked(held, group, table["own"].to_numpy(), percent) if len(ids) > 1 else []
         id_type = table.schema.field("id").type
         a = pa.array([ids[x] for x, _ in found], id_type)
