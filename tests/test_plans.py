@@ -101,3 +101,20 @@ def test_duplicate_flags_need_no_sort_of_all_rows(spark):
     flagged = duplicates.flag_duplicates(rows, row_id=["order_id"])
     assert "SortAggregate" not in flagged._jdf.queryExecution().executedPlan().toString()
     assert flagged.filter("not is_duplicate").count() == 7
+
+
+def test_staged_tables_of_a_block_are_removed(spark):
+    from tidemark.session import cleared, folder_exists, shared_path, stage
+
+    path = shared_path(spark, "kept")
+    spark.range(3).write.parquet(path)
+    inside = []
+    with cleared(spark):
+        with cleared(spark):
+            inside.append(shared_path(spark, "inner"))
+            spark.range(2).write.parquet(inside[0])
+        assert not folder_exists(spark, inside[0])
+        held = stage(spark.range(5), "outer")
+        inside.append(held.inputFiles()[0].rsplit("/", 1)[0])
+        assert held.count() == 5
+    assert not any(folder_exists(spark, p) for p in inside) and folder_exists(spark, path)

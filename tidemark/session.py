@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -117,10 +120,28 @@ def mark_done(spark: SparkSession, path: str) -> None:
     store.create(found, True).close()
 
 
+_blocks = threading.local()
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """What this thread stages in the block is removed at its end: for jobs that go on for long.
+
+    Nothing that leaves the block may read from a staged table.
+    """
+    stack = _blocks.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        remove_paths(spark, stack.pop())
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder nobody has used yet.
 
-    All of an application's paths lie in one folder, which is removed when the application ends.
+    All of an application's paths lie in one folder, which is removed when the application ends, or when the
+    block of `cleared` ends.
     """
     app, base = spark.sparkContext.applicationId, shared_folder(spark)
     if (app, base) not in _app_folders:
@@ -129,7 +150,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
         store.mkdirs(found)
         store.deleteOnExit(found)
         _app_folders[app, base] = folder
-    return f"{_app_folders[app, base]}/{label}-{uuid.uuid4().hex}"
+    path = f"{_app_folders[app, base]}/{label}-{uuid.uuid4().hex}"
+    if _blocks.__dict__.get("stack"):
+        _blocks.stack[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.session import (
+    cleared,
     folder_exists,
     folder_names,
     mark_done,
@@ -186,6 +187,19 @@ def publish_windows(
     last = _last_run(spark, target)
     if last >= 0:
         _finish(spark, target, last)
+    with cleared(spark):
+        made = _run(spark, source, target, last, closed_before, max_rows_per_file, **attach)
+    if not made:
+        return published_files(spark, target, [])
+    if last >= 0:
+        remove_paths(spark, [f"{target}/{folder}/run={last}" for folder in (KNOWN, RUNS)])
+    return published_files(spark, target).where(F.col("run") == last + 1)
+
+
+def _run(
+    spark: SparkSession, source: str, target: str, last: int, closed_before: str, max_rows: int, **attach: int
+) -> bool:
+    """The run after `last`; False if there is nothing new to look at."""
     run, known, before = last + 1, None, ""
     if last >= 0:
         known = spark.read.schema("path string, closed string").parquet(f"{target}/{KNOWN}/run={last}")
@@ -194,7 +208,7 @@ def publish_windows(
     closed = max(closed_before, before)
     rows, listed = _changed(_Raw(spark, source), known, before, closed)
     if rows is None:
-        return published_files(spark, target, [])
+        return False
     rows = stage(rows, "raw-rows")
     windows = stage(rows.select(*PLACE).distinct(), "windows")
     plan = spark.createDataFrame([], PLAN_DDL)
@@ -202,16 +216,14 @@ def publish_windows(
         days = [r["day"] for r in windows.select(F.substring("win", 1, 8).alias("day")).distinct().collect()]
         old = stage(published_files(spark, target, days).join(windows, PLACE, "left_semi"), "old-files")
         held = read_published(spark, target, old).select("value", *PLACE)
-        plan = _write_aside(rows.unionByName(held), old, target, run, max_rows_per_file, **attach)
+        plan = _write_aside(rows.unionByName(held), old, target, run, max_rows, **attach)
     state = listed.select("path", F.lit(closed).alias("closed")).unionByName(
         spark.createDataFrame([(None, closed)], "path string, closed string")
     )
     for table, folder in ((state, KNOWN), (plan, RUNS)):
         table.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{target}/{folder}/run={run}")
     _finish(spark, target, run)
-    if last >= 0:
-        remove_paths(spark, [f"{target}/{folder}/run={last}" for folder in (KNOWN, RUNS)])
-    return published_files(spark, target).where(F.col("run") == run)
+    return True
 
 
 def _write_aside(

@@ -24,7 +24,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tidemark.operators import duplicates
 from tidemark.operators.duplicates import ENTITY_KEY
 from tidemark.operators.groups import attach_facts, same_keys
-from tidemark.session import matching_paths, remove_paths, stage
+from tidemark.session import cleared, matching_paths, remove_paths, stage
 
 BUCKETS = 64
 FILTER_BITS = 1 << 26
@@ -238,8 +238,11 @@ def flag_stream(
     seen = SeenKeys(spark, f"{path}/seen", keys, **seen_options)
 
     def run(rows: DataFrame, batch_id: int) -> None:
-        flagged = flag_batch(seen, rows, batch_id, order_by)
-        flagged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/rows/batch={batch_id}")
+        with cleared(spark):
+            flagged = flag_batch(seen, rows, batch_id, order_by)
+            flagged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+                f"{path}/rows/batch={batch_id}"
+            )
 
     return (
         stream.writeStream.foreachBatch(run)
