@@ -347,8 +347,12 @@ def drop_near_duplicates(
     """
     row = fresh(docs, "row_of")
     columns = [F.col(quoted(c)) for c in docs.columns]
-    text = F.xxhash64(F.col(quoted(text_col))).alias("text")
-    named = docs.where(docs[id_col].isNotNull()).withColumn(row, F.struct(docs[id_col].alias("id"), text))
+    text = F.xxhash64(F.col(quoted(text_col)))
+    known = docs.where(docs[id_col].isNotNull())
+    texts = known.groupBy(docs[id_col]).agg(F.min(text).alias("_lo"), F.max(text).alias("_hi"))
+    # Where no id has two texts, the id alone tells rows apart, and less is moved.
+    alone = texts.where("_lo <> _hi").isEmpty()
+    named = known.withColumn(row, docs[id_col] if alone else F.struct(docs[id_col].alias("id"), text.alias("text")))
     groups = near_duplicates(named.select(row, F.col(quoted(text_col))), row, text_col, shingle, percent)
     kept = groups.where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     kept = stage(kept, "kept-rows")
