@@ -204,6 +204,19 @@ def test_record_files_keep_late_rows(spark, tmp_path):
     assert publish.read_published(spark, merged).count() == 3
 
 
+def test_windows_of_one_input_task_are_opened_by_many(spark, tmp_path):
+    rows = [change("t1", "1", at(f"{m // 60:02}:{m % 60:02}:00")) for m in range(64)]
+    source, out = str(tmp_path / "source"), tmp_path / "files"
+    change_frame(spark, rows).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    write_record_files(to_records(stream), str(out), str(tmp_path / "checkpoint")).awaitTermination()
+    names = [f.name for f in out.glob("dest=*/win=*/part-*")]
+    assert len(names) == 64 and len({n[:10] for n in names}) > 1
+    assert not list(out.glob("dest=*/win=*/.*.crc"))
+    assert ndjson.read_windows(spark, str(out)).count() == 64
+    assert spark.conf.get("fs.file.impl", None) is None
+
+
 def test_arrivals_replayed_in_order(spark, tmp_path):
     """A row two steps behind is dropped, one a step behind is not: the watermark is that of the batch before."""
     minutes = [(0, "t1", 10), (1, "t1", 30), (2, "t1", 10), (2, "t2", 31), (3, "t1", 28), (3, "t2", 28), (3, "t1", 28), (4, "t1", 90), (5, "t1", 91)]

@@ -10,7 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.operators.windows import tumbling
 from tidemark.schema import WINDOW_SECONDS
-from tidemark.session import shared_path
+from tidemark.session import plain_files, shared_path, write_tasks
 from tidemark.sinks.ndjson import PLACE, placed_lines
 from tidemark.sources.scan import union_all
 from tidemark.sources.tables import stream_table
@@ -65,18 +65,25 @@ def write_record_files(
 ) -> StreamingQuery:
     """Records as JSON lines by table and window, late ones included, each exactly once.
 
-    Every micro-batch adds its own files to a window; `publish_windows` merges them later.
+    Every micro-batch adds its own files to a window; `publish_windows` merges them later. Opening a file costs
+    far more than a row does, so the windows of each input task are dealt over all tasks; files become neither
+    more nor larger by that.
     """
     lines = placed_lines(records, event_time, seconds, fields)
-    return (
-        lines.writeStream.format("text")
+    # The task number is the same when a task is run again.
+    dealt = lines.withColumn("_task", F.spark_partition_id()).repartition(
+        write_tasks(records.sparkSession), *PLACE, "_task"
+    )
+    writer = (
+        dealt.select(*lines.columns).writeStream.format("text")
         .partitionBy(*PLACE)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    with plain_files(records.sparkSession):
+        return writer.start()
 
 
 def stop_idle(query: StreamingQuery, timeout: float = 300) -> None:
