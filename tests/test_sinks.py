@@ -46,6 +46,19 @@ def test_one_file_per_table_and_window(spark, records, tmp_path):
     assert all(stamps == sorted(stamps) for stamps in order.values())
 
 
+def test_windows_are_plain_files_written_by_all_cores(spark, records, tmp_path):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        ndjson.write_windows(with_destination(records.coalesce(1)), str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    names = [f.name for f in (tmp_path / "out").glob("dest=*/win=*/part-*")]
+    assert len(names) == 6 and len({n[:10] for n in names}) > 1
+    assert not list((tmp_path / "out").glob("dest=*/win=*/.*.crc"))
+    assert ndjson.read_windows(spark, str(tmp_path / "out")).count() == 300
+
+
 def test_large_windows_are_written_in_shards(spark, records, tmp_path):
     path = str(tmp_path / "out")
     ndjson.write_windows(with_destination(records.repartition(6)), path, max_rows_per_file=10)

@@ -10,7 +10,7 @@ from tidemark.functions.times import window_text
 from tidemark.operators.groups import attach_facts
 from tidemark.operators.windows import with_destination
 from tidemark.schema import WINDOW_SECONDS
-from tidemark.session import stage
+from tidemark.session import PLAIN_FILES, listed_in_blocks, stage, write_tasks
 
 PLACE = ["dest", "win"]
 STORED_DDL = "value string, dest string, win string"
@@ -66,9 +66,8 @@ def sharded(
     # The task number spreads equal rows too, and is the same when a task is run again.
     own = "value" if "value" in rows.columns else "event_time"
     spread = F.pmod(F.xxhash64(own) + F.spark_partition_id(), shards)
-    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = known.select(*rows.columns, spread.alias("_shard"), shards.alias("_shards"))
-    return cut, max(usual, total // max_rows_per_file)
+    return cut, max(write_tasks(rows.sparkSession), total // max_rows_per_file)
 
 
 def one_file_per_window(
@@ -101,22 +100,24 @@ def write_windows(
     """
     gathered = one_file_per_window(rows, **options)
     line = F.col("value") if "value" in rows.columns else json_line(rows, fields)
-    gathered.select(line.alias("value"), *PLACE).write.mode(mode).option(
-        "partitionOverwriteMode", "dynamic"
+    gathered.select(line.alias("value"), *PLACE).write.mode(mode).options(
+        partitionOverwriteMode="dynamic", **PLAIN_FILES
     ).partitionBy(*PLACE).text(path)
 
 
 def read_windows(spark: SparkSession, path: str) -> DataFrame:
     """The lines under `path` with their `dest` and `win`."""
-    return spark.read.schema(STORED_DDL).text(path)
+    with listed_in_blocks(spark):
+        return spark.read.schema(STORED_DDL).text(path)
 
 
 def written_files(spark: SparkSession, path: str) -> DataFrame:
     """Paths and lengths of the files under `path`; their contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "part-*")
-        .load(path)
-        .select("path", "length")
-    )
+    with listed_in_blocks(spark):
+        found = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "part-*")
+            .load(path)
+        )
+    return found.select("path", "length")
