@@ -38,6 +38,19 @@ def names(tables, minutes, shards=1):
     }
 
 
+def test_raw_files_are_shared_by_input_tasks(spark, tmp_path):
+    """Three hours in each of 16 input tasks: two files an hour, opened by several tasks, without checksum files."""
+    rows = [change("t0", str(n), at(f"0{n % 3}:{n % 60:02}:00")) for n in range(480)]
+    records = to_records(change_frame(spark, rows).repartition(16))
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    publish.write_raw(ndjson.placed_lines(records), str(raw))
+    files = [f.name for f in raw.glob("ends=*/part-*")]
+    assert len(files) <= 8 and len({n[:10] for n in files}) > 1
+    publish.publish_windows(spark, str(raw), out, "20240102-000000")
+    assert not [f for k in (raw, Path(out) / "t0") for f in k.rglob(".*.crc")]
+    assert publish.read_published(spark, out).count() == 480
+
+
 @pytest.mark.parametrize("layout", ["raw", "windows"])
 def test_closed_windows_have_names(spark, placed, tmp_path, layout):
     source, target = str(tmp_path / "raw"), str(tmp_path / "out")

@@ -23,16 +23,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark.session import (
+    PLAIN_FILES,
     cleared,
     folder_exists,
     folder_names,
+    listed_in_blocks,
     mark_done,
     matching_paths,
     move_files,
     remove_paths,
     stage,
+    write_tasks,
 )
-from tidemark.sinks.ndjson import MAX_ROWS_PER_FILE, PLACE, STORED_DDL, sharded
+from tidemark.sinks.ndjson import MAX_ROWS_PER_FILE, PLACE, STORED_DDL, sharded, written_files
 
 RAW_DDL = f"{STORED_DDL}, ends string"
 KNOWN, FILES, RUNS, ATTEMPT = "_known", "_files", "_runs", "_attempt"
@@ -42,6 +45,8 @@ PLAN_DDL = (
 )
 # Plan rows: a file that is moved to its place, or an older one that goes away.
 _PUT, _GONE = "put", "gone"
+# Input tasks whose rows of an hour share a raw file.
+TASKS_PER_FILE = 8
 _HOUR = 11  # characters of `20240101-00`
 
 
@@ -55,8 +60,15 @@ def with_hour(lines: DataFrame) -> DataFrame:
 
 
 def write_raw(lines: DataFrame, path: str, mode: str = "append") -> None:
-    """Add lines (`value`, `dest`, `win`) to a raw store, a few files per task, whatever the number of windows."""
-    with_hour(lines).write.mode(mode).partitionBy("ends").parquet(path)
+    """Add lines (`value`, `dest`, `win`) to a raw store, a file per hour and `TASKS_PER_FILE` input tasks.
+
+    The hours are dealt over tasks, so that no task opens the files of all of them.
+    """
+    # The task number is the same when a task is run again.
+    group = F.call_function("div", F.spark_partition_id(), F.lit(TASKS_PER_FILE))
+    dealt = with_hour(lines).withColumn("_group", group)
+    dealt = dealt.repartition(write_tasks(lines.sparkSession), "ends", "_group").drop("_group")
+    dealt.write.mode(mode).options(**PLAIN_FILES).partitionBy("ends").parquet(path)
 
 
 def stream_raw(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -85,7 +97,8 @@ class _Raw:
         """(path, ends): names only; contents are not read. Committed files only if a stream wrote them."""
         if self.empty:
             return self.spark.createDataFrame([], "path string, ends string")
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.source)
+        with listed_in_blocks(self.spark):
+            files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.source)
         hour = F.col("ends").cast("string") if self.by_hour else F.substring(window_end("win"), 1, _HOUR)
         return files.select("path", hour.alias("ends"))
 
@@ -93,9 +106,10 @@ class _Raw:
         read = self.spark.read.option("basePath", self.source)
         if not paths:
             return self.spark.createDataFrame([], STORED_DDL)
-        if self.by_hour:
-            return read.schema(RAW_DDL).parquet(*paths).select("value", *PLACE)
-        return read.schema(STORED_DDL).text(paths)
+        with listed_in_blocks(self.spark):
+            if self.by_hour:
+                return read.schema(RAW_DDL).parquet(*paths).select("value", *PLACE)
+            return read.schema(STORED_DDL).text(paths)
 
 
 def _last_run(spark: SparkSession, target: str) -> int:
@@ -143,7 +157,8 @@ def read_published(spark: SparkSession, target: str, files: DataFrame | None = N
     names = [r["path"] for r in files.select("path").collect()]
     if not names:
         return spark.createDataFrame([], f"{STORED_DDL}, path string")
-    lines = spark.read.text([f"{target}/{n}" for n in names]).select("value", "_metadata.file_path")
+    with listed_in_blocks(spark):
+        lines = spark.read.text([f"{target}/{n}" for n in names]).select("value", "_metadata.file_path")
     # The last two parts of the name; the path of the metadata is escaped as a URL.
     plain = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
     path = F.substring_index(plain, "/", -2)
@@ -236,11 +251,11 @@ def _write_aside(
     named = cut.select("value", name.alias("file"))
     attempt = f"{target}/{ATTEMPT}/run={run}"
     gathered = named.repartition(tasks, "file").sortWithinPartitions("file")
-    gathered.write.mode("overwrite").option("partitionOverwriteMode", "static").option(
-        "maxRecordsPerFile", 0
+    gathered.write.mode("overwrite").options(
+        partitionOverwriteMode="static", maxRecordsPerFile=0, **PLAIN_FILES
     ).partitionBy("file").text(attempt)
     # One row per file that was written: `.../file=<escaped name>/part-...`.
-    found = spark.createDataFrame([(p,) for p in matching_paths(spark, f"{attempt}/file=*/part-*")], "source string")
+    found = stage(written_files(spark, attempt).select(F.col("path").alias("source")), "written")
     plain = F.replace(F.substring_index(F.substring_index("source", "/", -2), "/", 1), F.lit("+"), F.lit("%2B"))
     path = F.substring(F.url_decode(plain), len("file=") + 1, 1 << 20)
     files = found.select("source", path.alias("path"))
