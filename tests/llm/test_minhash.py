@@ -116,3 +116,28 @@ def test_components_of_a_path_and_a_star(spark):
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
+
+
+def test_pairs_that_cannot_be_linked_go_no_further(spark):
+    """Parity maps never take a pair of sets that are alike, and do take those that are clearly not."""
+    rnd = random.Random(5)
+    base = sentence(1, 200).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 120):
+        w = base + [f"more{x}" for x in range(rnd.choice([0, 0, 300]))]
+        for place in rnd.sample(range(len(w)), rnd.randint(0, 40)):
+            w[place] = f"new{rnd.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    # An id with two rows: one of them is like the first.
+    rows += [(500, "quite another text of some words"), (500, " ".join([*base, "end"]))]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    sk = minhash.sketches(docs, "id", "text", 4)
+    pairs = spark.createDataFrame([(0, k) for k in [*range(1, 120), 500]], "a long, b long")
+    got = {r.b for r in minhash.possible(pairs, sk, 80).collect()}
+    first = shingles(rows[0][1], 4)
+    like = lambda t: len(first & shingles(t, 4)) / len(first | shingles(t, 4))
+    best = {k: max(like(t) for i, t in rows if i == k) for k, _ in rows[1:]}
+    assert {k for k, x in best.items() if x >= 0.8} <= got
+    assert len({k for k, x in best.items() if x >= 0.8}) > 5
+    assert not {k for k, x in best.items() if x < 0.6} & got
+    assert len({k for k, x in best.items() if x < 0.6}) > 5
