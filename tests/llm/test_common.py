@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, letter_words, white_words
 from tidemark.llm import common
@@ -60,3 +61,19 @@ def test_prefixes():
 def test_grams_need_enough_words():
     h = np.arange(5, dtype=np.uint64)
     assert len(common.grams(h, 6)) == 0 and len(common.grams(h, 5)) == 1
+
+
+def test_rows_by_ids(spark):
+    """Kept or dropped by an exact match; copies of rows stay copies; ids may be structs."""
+    rows = [(k % 400, f"t{k}") for k in range(500)] + [(7, "t7")]
+    docs = spark.createDataFrame(rows, "key long, id string")
+    ids = spark.createDataFrame([(k,) for k in [*range(0, 90, 3), 7, 5000]], "id long")
+    meant = {*range(0, 90, 3), 7}
+    for has in (True, False):
+        got = sorted(tuple(r) for r in common.rows_by_ids(docs, ids, "key", has).collect())
+        assert got == sorted(r for r in rows if (r[0] in meant) == has)
+        pair = lambda c: F.struct(F.col(c).alias("x"), F.lit("y").alias("y")).alias(c)
+        named = common.rows_by_ids(docs.select(pair("key"), "id"), ids.select(pair("id")), "key", has)
+        assert sorted((r.key.x, r.id) for r in named.collect()) == got
+    assert common.rows_by_ids(docs, ids.limit(0), "key", False).count() == len(rows)
+    assert common.rows_by_ids(docs, ids.limit(0), "key", True).count() == 0

@@ -141,3 +141,22 @@ def test_pairs_that_cannot_be_linked_go_no_further(spark):
     assert len({k for k, x in best.items() if x >= 0.8}) > 5
     assert not {k for k, x in best.items() if x < 0.6} & got
     assert len({k for k, x in best.items() if x < 0.6}) > 5
+
+
+def test_texts_that_stay_are_not_moved(spark, tmp_path):
+    """Also where the ids are too many to be broadcast: only rows whose id may be dropped go into a shuffled join."""
+    rows = [(k, sentence(k, 40)) for k in range(300)] + [(300 + k, sentence(k, 40)) for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = minhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "docs")))
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    joins = [line for line in plan.splitlines() if "Join Left" in line]
+    # Rows without the mark of an id to drop pass by; of the others, those with the id are taken out.
+    assert [("LeftAnti" in j, "rightHint=(strategy=broadcast)" in j) for j in joins] == [
+        (True, True), (True, False), (False, True)
+    ]

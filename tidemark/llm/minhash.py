@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import U64, fresh, grams, list_array, mix, narrow, pieces, quoted, rows_with_ids, signed, words
+from tidemark.llm.common import U64, fresh, grams, list_array, mix, narrow, pieces, quoted, rows_by_ids, rows_with_ids, signed, words
 from tidemark.llm.components import components
 from tidemark.session import stage
 
@@ -147,7 +147,8 @@ def possible(pairs: DataFrame, sk: DataFrame, percent: int) -> DataFrame:
     (x + y - d) / 2. Where an id has several rows, any two of them keep a pair.
     """
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = sk.where("n > 0").select("id", "n", "parity").distinct().join(ends, "id", "left_semi")
+    # Only the maps that are asked for are moved.
+    held = rows_with_ids(sk.where("n > 0").select("id", "n", "parity"), ends).distinct()
     sides = [held.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}")) for k in "ab"]
     both = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "na", "nb", "pa", "pb")
 
@@ -400,10 +401,14 @@ def drop_near_duplicates(
     alone = texts.where("_lo <> _hi").isEmpty()
     named = known.withColumn(row, docs[id_col] if alone else F.struct(docs[id_col].alias("id"), text.alias("text")))
     groups = near_duplicates(named.select(row, F.col(quoted(text_col))), row, text_col, shingle, percent)
-    kept = groups.where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    kept = stage(kept, "kept-rows")
-    once, many = kept.where("n = 1").select(F.col("id").alias("_kept")), kept.where("n > 1").select("id")
-    stay = named.join(once, F.col(row) == F.col("_kept"), "left_semi").select(*columns)
+    held = groups.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    held = stage(held, "kept-rows")
+    stays = F.col("kept") & (F.col("n") == 1)
+    many = held.where("kept and n > 1").select("id")
+    # Most texts stay where they are: those that few ids, of rows to keep or of others, can't mean.
+    total, n_stay = held.agg(F.count(F.lit(1)), F.count_if(stays)).first()
+    has = 2 * n_stay < total
+    stay = rows_by_ids(named, held.where(stays if has else ~stays).select("id"), row, has).select(*columns)
     if not many.isEmpty():
         # Rows that agree in id and text: the least of them, found before the shuffle.
         cells = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).alias("cells")
