@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import public_tokenizers
@@ -61,6 +62,32 @@ def test_memory_starts_anew(tok, monkeypatch):
     assert len(own.memo) <= 10 and len(own.older) <= 10
 
 
+def test_runs_of_texts(tok, monkeypatch):
+    """New pieces of a run are merged together, in rows, and remembered; those are what single pieces give."""
+    texts = [t or "" for _, t, _ in ODD] + random_texts(600)
+    want = [tok.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "ROWS", 7)
+    for memo in (bpe.MEMO, 10):
+        monkeypatch.setattr(bpe, "MEMO", memo)
+        own = bpe.Tokenizer(tok.ranks, tok.sound)
+        assert own.encode_all(texts[:300]) + own.encode_all(texts[300:]) == want
+        assert own.encode_all([]) == [] and own.encode_all([""]) == [[]]
+        assert len(own.memo) <= max(memo, 10) + 7
+
+
+def test_rows_merge_as_defined(tok):
+    rnd = random.Random(3)
+    some = [bytes(rnd.choices(b"aeinst \xc3\xa9!01\x00\xff", k=rnd.randint(1, 90))) for _ in range(3000)]
+    want = [[tok.ranks[p]] if p in tok.ranks else bpe.merged(tok.ranks, p) for p in some]
+    assert list(map(list, tok.encode_rows(some))) == want
+    # A token that a later merge outranks, and bytes that are no tokens: those pieces go one by one.
+    odd = {bytes([i]): i for i in range(256)} | {b"bc": 300, b"aab": 256, b"aa": 299, b"ab": 298, b"abab": 400}
+    own = bpe.Tokenizer(odd)
+    every = [bytes(x) for n in range(1, 8) for x in itertools.product(b"abc", repeat=n)]
+    assert list(map(list, own.encode_rows(every))) == [[odd[p]] if p in odd else bpe.merged(odd, p) for p in every]
+    assert bpe.Tokenizer({b"a": 0, b"aa": 1}).encode_all(["aaa", "aa", "a"]) == [[1, 0], [1], [0]]
+
+
 def test_tokens_that_merging_never_makes():
     ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256, b"xy": 257}
     tok = bpe.Tokenizer(ranks)
