@@ -107,3 +107,28 @@ def test_empty_table_and_other_ids(spark, tmp_path):
     packing.write(named, str(tmp_path / "named"), PATH)
     got = packing.read(spark, str(tmp_path / "named"), "string").orderBy("doc_id").collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [("a", 0, 0), ("b", 0, 2)]
+
+
+def test_words_of_a_run_are_looked_up_once(library, monkeypatch):
+    """What is remembered is asked for once for each different word of a run, not for each occurrence."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    words, text = packing.Words(library.to_str()), "one two three " * 500 + "w" * 100
+    words.young = Counted()
+    column = pa.array([text, text])
+    for _ in range(2):
+        Counted.asked = 0
+        (run,) = packing.pieces(column, 1 << 20)
+        got = words.encode(*run[2:])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole(library, text)] * 2
+        assert 0 < Counted.asked <= 8 and len(words.young) == 3

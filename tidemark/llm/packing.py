@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ FILE_TOKENS = 1 << 22
 MEMO = 200_000
 MEMO_BYTES = 64  # longer words are not remembered
 LONG_WORD = 4096
-PIECE_BYTES = 1 << 18
+PIECE_BYTES = 1 << 20
 
 # ASCII letters and digits, the second bytes of the letters of Latin-1 in UTF-8, and the marks of ASCII
 # but for the one that special tokens have behind letters.
@@ -245,19 +246,24 @@ class Words:
         if len(self.young) > MEMO:
             self.older, self.young = self.young, {}
         split = [self._split(t) for t in self._texts(body, begins)]
+        # The words of this run, in a table of their own: small enough to stay in the cache.
+        here: dict[bytes, bytes | None] = dict.fromkeys(chain.from_iterable(split))
         known, older, new = self.young, self.older, []
-        for word in set().union(*split) - known.keys():
-            if word in older:
-                known[word] = older[word]
-            else:
-                new.append(word)
+        for word in here:
+            ids = known.get(word)
+            if ids is None:
+                ids = older.get(word)
+                if ids is None:
+                    new.append(word)
+                    continue
+                known[word] = ids
+            here[word] = ids
         for lo in range(0, len(new), 2048):
             some = new[lo : lo + 2048]
-            known.update(zip(some, self._ids(some)))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > MEMO_BYTES:
-                del known[word]
+            made = self._ids(some)
+            here.update(zip(some, made))
+            known.update((w, ids) for w, ids in zip(some, made) if len(w) <= MEMO_BYTES)
+        out = [b"".join(map(here.__getitem__, words)) for words in split]
         return out
 
 
