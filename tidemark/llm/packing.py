@@ -199,7 +199,7 @@ class Words:
 
     def _split(self, text: bytes) -> list[bytes]:
         found = text.split()
-        if max(map(len, found), default=0) > LONG_WORD:
+        if len(text) > LONG_WORD and max(map(len, found), default=0) > LONG_WORD:
             found = [p for w in found for p in (re.split(rb"(?=[0-9])", w) if len(w) > LONG_WORD else [w]) if p]
         return found
 
@@ -216,8 +216,8 @@ class Words:
         at = begins.tolist()
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as bytes of u32."""
+    def _ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word as bytes of u32, by word."""
         found: dict[bytes, bytes] = {}
         plain, letters, rest = [], [], []
         for word in words:
@@ -239,7 +239,7 @@ class Words:
                 rest += own
         made = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
         found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, made))
-        return list(map(found.__getitem__, words))
+        return found
 
     def encode(self, body: np.ndarray, begins: np.ndarray) -> list[bytes]:
         """The ids of each of some texts, which begin at `begins`, as bytes of u32, little-endian."""
@@ -259,12 +259,13 @@ class Words:
                 known[word] = ids
             here[word] = ids
         for lo in range(0, len(new), 2048):
-            some = new[lo : lo + 2048]
-            made = self._ids(some)
-            here.update(zip(some, made))
-            known.update((w, ids) for w, ids in zip(some, made) if len(w) <= MEMO_BYTES)
-        out = [b"".join(map(here.__getitem__, words)) for words in split]
-        return out
+            made = self._ids(new[lo : lo + 2048])
+            here.update(made)
+            known.update(made)
+        for word in new:
+            if len(word) > MEMO_BYTES:
+                del known[word]
+        return [b"".join(map(here.__getitem__, words)) for words in split]
 
 
 def write(
